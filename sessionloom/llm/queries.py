@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import token_counts, token_files
+from . import packing, quality, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op2_quality": quality.query,
+    "op6_toxicity": toxicity.query,
     "op8_token_files": token_files.query,
     "op9_token_counts": token_counts.query,
+    "op10_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
