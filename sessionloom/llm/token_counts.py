@@ -81,8 +81,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     # each task has already dropped its own repeats, so the most common content comes once from a task
     contents = contents.repartition("digest")
     contents.mapInArrow(_encode(path, name), CACHE).write.mode("append").option("compression", "zstd").parquet(cache_path)
-    # rows of one content may be many: adaptive execution splits such a partition of this join
+    # rows of one content may be many: adaptive execution splits such a partition of this
+    # join, which it can do only where no aggregate stands between the exchange and the join
     counts = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = staged(counts, "counts")
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
