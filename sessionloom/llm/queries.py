@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, token_counts, token_files, toxicity
+from . import lm_scoring, near_dedup, packing, quality, token_counts, token_files, toxicity
 
 QUERIES = {
     "op2_quality": quality.query,
     "op4_near_dedup": near_dedup.query,
+    "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
     "op8_token_files": token_files.query,
     "op9_token_counts": token_counts.query,
