@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, near_dedup, packing, quality, token_counts, token_files, toxicity
+from . import decontaminate, lm_scoring, near_dedup, packing, quality, token_counts, token_files, toxicity
 
 QUERIES = {
     "op2_quality": quality.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_near_dedup": near_dedup.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
