@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, near_dedup, packing, quality, token_counts, token_files, toxicity
+from . import decontaminate, lm_scoring, near_dedup, packing, pii, quality, token_counts, token_files, topk, toxicity
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_quality": quality.query,
     "op3_decontaminate": decontaminate.query,
     "op4_near_dedup": near_dedup.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_toxicity": toxicity.query,
+    "op7_topk": topk.query,
     "op8_token_files": token_files.query,
     "op9_token_counts": token_counts.query,
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": topk.SQL,
+}
