@@ -38,8 +38,8 @@ _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, _COUNT, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, _COUNT, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIDE = (np.arange(2 * COMPOSITES, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-#: Of the minhashes, how many must agree for a pair to be compared in full: six standard deviations below what the threshold lets expect.
-LEAST_AGREEING = int(_COUNT * 0.75 - 6 * (_COUNT * 0.75 * 0.25) ** 0.5)
+#: Of the minhashes, how many must agree for a pair to be compared in full: 4.5 standard deviations below what the threshold lets expect.
+LEAST_AGREEING = int(_COUNT * 0.75 - 4.5 * (_COUNT * 0.75 * 0.25) ** 0.5)
 _SIGNED = "doc_id long, n_shingles long, digest binary, halves array<long>, sketch binary"
 
 
@@ -134,6 +134,41 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, id, c``: members of buckets that hold several components."""
+    member = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return staged(member.join(mixed, "key"), "mixed-buckets")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h)], ["id", "h"])
+
+
+def _shared(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``id, n, s``: how many of the ``n`` shingles of each set any other of the sets has, where a link is possible at all.
+
+    Two sets share at most the lesser ``s``, so those where that is too little
+    for any partner are left out.
+    """
+    spread = sets.select("id", "s").mapInArrow(_spread, "id long, h long")
+    several = spread.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    counts = spread.join(several, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+    sizes = reps.groupBy("id").agg(F.max("n_shingles").alias("n"))
+    return counts.join(sizes, "id").where(DENOMINATOR * F.col("s") >= NUMERATOR * F.col("n")).select("id", "n", "s")
+
+
+def _pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs of a bucket's members across components that could share enough; ``once``: both sides are the same."""
+    x, y = (t.select("key", *(F.col(c).alias(c + e) for c in ("id", "c", "n", "s"))) for t, e in ((x, "x"), (y, "y")))
+    enough = (DENOMINATOR + NUMERATOR) * F.least("sx", "sy") >= NUMERATOR * (F.col("nx") + F.col("ny"))
+    joined = x.join(y, "key").where((F.col("idx") < F.col("idy") if once else F.col("idx") != F.col("idy")) & (F.col("cx") != F.col("cy")) & enough)
+    return joined.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -167,13 +202,19 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = _across(stars, labels).join(likely, ["a", "b"], "left_anti")
     links = links.union(staged(_full(more, sets), "links-stars"))
     labels = staged(components(links), "labels")
-    # whatever else shares a bucket across components
-    member = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    member = staged(member.join(mixed, "key"), "mixed-buckets")
-    x, y = member.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), member.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    found = staged(_full(_sketched(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), reps), sets), "links-rest")
+    # what else shares a bucket across components: first with its most central member, then all
+    member = _mixed(buckets, labels)
+    shared = staged(_shared(sets.join(member.select("id").distinct(), "id", "left_semi"), reps), "shared")
+    member = staged(member.join(shared, "id"), "mixed")
+    central = member.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("part"), (-F.col("id")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("id"))
+    tested = stars.select("a", "b")
+    middle = _pairs(central.join(member, ["key", "id"]), member).join(tested, ["a", "b"], "left_anti")
+    middle = staged(middle, "central")
+    links = links.union(staged(_full(_sketched(middle, reps), sets), "links-central"))
+    labels = staged(components(links), "labels")
+    member = staged(_mixed(buckets, labels).join(shared, "id"), "mixed")
+    rest = _pairs(member, member, once=True).join(tested.union(middle), ["a", "b"], "left_anti")
+    found = staged(_full(_sketched(rest, reps), sets), "links-rest")
     if not found.isEmpty():
         labels = staged(components(links.union(found)), "labels")
 
