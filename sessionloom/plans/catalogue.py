@@ -2,5 +2,488 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as X
+from ..operators import assessment as A
+from ..operators import matching as M
+from ..operators import query as Q
+from ..operators import trajectory as T
+from ..operators.catalog import active_manifests, compaction_groups, upload_backlog, validate_manifests
+from ..sources import lift
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+EV = """
+with ev as (
+  select cast(event_id as varchar) as id, cast(event_id as varchar) as record_id,
+    case user_id % 3 when 0 then 'codex' when 1 then 'pi' else 'cursor' end as harness,
+    'u' || user_id as session_id, event_id % 4 = 0 as is_hook,
+    'u' || user_id || case when event_id % 4 = 0 then ':hooks' else ':rollout' end as source_id,
+    event_id as position, cast(0 as bigint) as sub_index, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as "timestamp",
+    case event_type when 'view' then 'tool_call' when 'click' then 'tool_result' when 'purchase' then 'message' when 'signup' then 'metadata' when 'error' then 'unknown' end as kind,
+    case when event_type = 'purchase' then case when value < 10 then 'assistant' else 'user' end end as role,
+    event_type || ' ' || props as text,
+    case when event_type in ('view', 'click') then cast(cast(json_extract_string(props, '$.k') as bigint) % 10 as varchar) end as tool_call_id,
+    event_id as batch_ord, props
+  from events
+)"""
+COLLAPSED = """, ranked as (
+  select *, row_number() over (partition by harness, session_id, kind, tool_call_id, case when not (kind in ('tool_call', 'tool_result') and tool_call_id is not null) then id end
+    order by is_hook, source_id, position, sub_index) as n
+  from {source}
+), col as (select * from ranked where n = 1 or tool_call_id is null or kind not in ('tool_call', 'tool_result'))"""
+AT = EV + """, seen as (
+  select *, row_number() over (partition by harness, session_id order by "timestamp", source_id, position, sub_index, id) as nth from ev
+)"""
+STEPS = AT + """, kept as (
+  select * from seen where kind in ('tool_call', 'tool_result') or (kind = 'message' and role = 'assistant')
+), calls as (
+  select *, case when kind = 'tool_result' and tool_call_id is not null then
+    max(case when kind = 'tool_call' then nth end) over (partition by harness, session_id, tool_call_id order by nth rows between unbounded preceding and 1 preceding) end as call_at
+  from kept
+), own as (
+  select *, call_at is null as is_head, sum(case when call_at is null then 1 else 0 end) over (partition by harness, session_id order by nth rows between unbounded preceding and current row) - 1 as o from calls
+), steps as (
+  select *, max(case when is_head then o end) over (partition by harness, session_id, coalesce(call_at, nth)) as step from own
+)"""
+PAIRS = """
+with st as (
+  select conv_id - conv_id % 2 as pair, conv_id % 2 as side, turn as idx, role || '/' || cast(length(text) // 100 as varchar) as key, text from conversations
+), o as (select pair, idx, key, text from st where side = 0), c as (select pair, idx, key, text from st where side = 1)"""
+UNORDERED = PAIRS + """, ro as (select *, row_number() over (partition by pair, key order by idx) as nth from o),
+rc as (select *, row_number() over (partition by pair, key order by idx) as nth from c),
+m as (select rc.pair, rc.idx as candidate_step, ro.idx as oracle_step from rc join ro on rc.pair = ro.pair and rc.key = ro.key and rc.nth = ro.nth)"""
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- filters and selection -------------------------------------------------
+
+_CONJ = Q.Query(harness="pi", kind="tool_call", text='"k": 1')
+
+
+@register("event_filter_conj", EV + " select id, session_id, position, text from ev where harness = 'pi' and kind = 'tool_call' and contains(text, '\"k\": 1')")
+def event_filter_conj(spark, d):
+    return lift.events(spark, d).where(_CONJ.checked().on_events()).select("id", "session_id", "position", "text")
+
+
+@register("text_contains_cs", "select 'c' || conv_id as session_id, turn as position, text from conversations where contains(text, 'The')")
+def text_contains_cs(spark, d):
+    return lift.messages(spark, d).where(Q.Query(text="The").checked().on_events()).select("session_id", "position", "text")
+
+
+@register("time_range_inclusive", EV + " select id, \"timestamp\" from ev where \"timestamp\" >= '2024-01-02T00:00:00.123Z' and \"timestamp\" <= '2024-01-05T10:30:00.000Z'")
+def time_range_inclusive(spark, d):
+    q = Q.Query(since="2024-01-02T02:00:00.1239+02:00", until="2024-01-05T10:30:00Z")
+    return lift.events(spark, d).where(q.checked().on_events()).select("id", "timestamp")
+
+
+@register("stable_ids", EV + " select id, sha256(to_json([source_id, cast(position as varchar), sha256(text)])) as record_key from ev")
+def stable_ids(spark, d):
+    return lift.events(spark, d).select("id", X.stable_id("source_id", "position", F.sha2("text", 256)).alias("record_key"))
+
+
+@register("ts_normalize_ms", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as canonical from events")
+def ts_normalize_ms(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")
+    return e.select("event_id", X.canonical_time(X.instant(text)).alias("canonical"))
+
+
+@register("dedupe_first_by_id", EV + ", two as (select *, 0 as b from ev where event_id_mod < 2 union all select *, 1 as b from ev where event_id_mod > 0) select id, min(b) as batch from two group by id".replace("event_id_mod", "position % 3"))
+def dedupe_first_by_id(spark, d):
+    e = lift.events(spark, d).drop("batch_ord")
+    two = e.where("position % 3 < 2").withColumn("batch", F.lit(0)).union(e.where("position % 3 > 0").withColumn("batch", F.lit(1)))
+    return Q.distinct_first(two.withColumn("batch_ord", F.col("batch"))).select("id", "batch")
+
+
+@register("hook_collapse", EV + COLLAPSED.format(source="ev") + " select id, kind, tool_call_id, is_hook from col")
+def hook_collapse(spark, d):
+    return Q.collapse_hooks(lift.events(spark, d)).select("id", "kind", "tool_call_id", "is_hook")
+
+
+@register("filter_then_collapse", EV + ", f as (select * from ev where contains(text, '7'))" + COLLAPSED.format(source="f") + " select id, session_id, is_hook from col")
+def filter_then_collapse(spark, d):
+    return Q.select_events(lift.events(spark, d), Q.Query(text="7")).select("id", "session_id", "is_hook")
+
+
+@register(
+    "query_ordered_page",
+    EV + ", f as (select * from ev where kind = 'message')" + COLLAPSED.format(source="f")
+    + ", p as (select *, row_number() over (order by harness, session_id, source_id, position, sub_index) as place from col) select cast(place as integer) as place, id, harness, session_id, text from p where place > 40 and place <= 60",
+)
+def query_ordered_page(spark, d):
+    chosen = Q.select_events(lift.events(spark, d), Q.Query(kind="message"))
+    return Q.ordered_page(chosen, offset=40, limit=20).select("place", "id", "harness", "session_id", "text")
+
+
+@register("keyset_page", EV + ", k as (select distinct hex(harness) || ':' || hex(session_id) as key from ev), p as (select key from k where key > '636F646578:7533' order by key limit 11) select key, row_number() over (order by key) > 10 as beyond from p")
+def keyset_page(spark, d):
+    keys = lift.events(spark, d).select(F.concat_ws(":", F.hex("harness"), F.hex("session_id")).alias("key")).distinct()
+    page = Q.keyset_page(keys, "636F646578:7533", limit=10)
+    # at most eleven rows are numbered
+    return page.withColumn("beyond", F.row_number().over(Window.orderBy("key")) > 10)
+
+
+_BYTES = "octet_length(encode(text))"
+
+
+@register("byte_budget_prefix", f"with r as (select conv_id, turn, cast(coalesce(sum({_BYTES}) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as bytes_before from conversations) select * from r where bytes_before < 1000")
+def byte_budget_prefix(spark, d):
+    rows = lift.messages(spark, d)
+    return Q.byte_budget(rows, F.octet_length("text"), 1000, "turn", partition=("conv_id",)).select("conv_id", "turn", "bytes_before")
+
+
+@register("page_byte_budget", f"with r as (select conv_id, turn, sum({_BYTES}) over (partition by conv_id order by turn) as upto from conversations) select conv_id, turn from r where upto <= 1000")
+def page_byte_budget(spark, d):
+    return Q.byte_budget(lift.messages(spark, d), F.octet_length("text"), 1000, "turn", partition=("conv_id",), crossing=False).select("conv_id", "turn")
+
+
+_SUMMARY = ", r as (select harness, session_id, count(distinct id) as records from ev group by all), e as (select harness, session_id, count(*) as events, min(\"timestamp\") as first_timestamp, max(\"timestamp\") as last_timestamp from col group by all) select r.harness, r.session_id, r.records, {n} as events, first_timestamp, last_timestamp from r {join} e on r.harness = e.harness and r.session_id = e.session_id"
+
+
+@register("session_summaries", EV + COLLAPSED.format(source="ev") + _SUMMARY.format(n="coalesce(e.events, 0)", join="left join"))
+def session_summaries(spark, d):
+    e = lift.events(spark, d)
+    return Q.summaries(e.select(F.col("record_id").alias("id"), *Q.SESSION), e, Q.Query())
+
+
+@register("session_summaries_filtered", EV + ", f as (select * from ev where kind = 'tool_result' and contains(text, '42'))" + COLLAPSED.format(source="f") + _SUMMARY.format(n="e.events", join="join"))
+def session_summaries_filtered(spark, d):
+    e = lift.events(spark, d)
+    return Q.summaries(e.select(F.col("record_id").alias("id"), *Q.SESSION), e, Q.Query(kind="tool_result", text="42"))
+
+
+@register(
+    "session_search",
+    "select 'pi' as harness, 'c' || conv_id as session_id, count(*) as events, arg_min(left(text, 100), turn) filter (where text <> '') as preview from conversations group by conv_id having bool_or(coalesce(contains(lower(text), 'tion'), false))",
+)
+def session_search(spark, d):
+    return Q.search_sessions(lift.messages(spark, d), "TION")
+
+
+@register("session_ambiguity", "with s as (select case user_id % 3 when 0 then 'codex' when 1 then 'pi' else 'cursor' end as harness, 's' || (user_id % 40) as session_id from events) select session_id, count(distinct harness) as harnesses from s group by session_id having count(distinct harness) > 1")
+def session_ambiguity(spark, d):
+    e = lift.events(spark, d).withColumn("session_id", F.concat(F.lit("s"), (F.substring("session_id", 2, 20).cast("long") % 40).cast("string")))
+    return Q.ambiguous_sessions(e)
+
+
+@register("find_event", EV + " select id, kind, text, is_hook from ev where id = '4' order by batch_ord limit 1")
+def find_event(spark, d):
+    return Q.find_event(lift.events(spark, d), "4").select("id", "kind", "text", "is_hook")
+
+
+@register("export_semi", EV + ", f as (select * from ev where kind = 'message' and contains(text, '1'))" + COLLAPSED.format(source="f") + " select id, session_id from ev where id in (select record_id from col)")
+def export_semi(spark, d):
+    e = lift.events(spark, d)
+    recs, _ = Q.export(e.select(F.col("record_id").alias("id"), *Q.SESSION), e, Q.Query(kind="message", text="1"))
+    return recs.select("id", "session_id")
+
+
+@register("bounded_items", "with i as (select conv_id, turn, text, octet_length(encode(text)) > 600 as cut from conversations) select conv_id, turn, cut, case when cut then left(text, 40) else text end as shown from i")
+def bounded_items(spark, d):
+    m = lift.messages(spark, d)
+    cut = F.octet_length("text") > 600
+    return m.select("conv_id", "turn", cut.alias("cut"), F.when(cut, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("shown"))
+
+
+@register("status_counts", EV + " select harness, count(distinct source_id) as sources, count(*) as seen, count(*) filter (where kind = 'unknown') as unknown, count(*) filter (where is_hook) as pending, cast(coalesce(sum(length(text)) filter (where is_hook), 0) as bigint) as pending_bytes, max(\"timestamp\") as newest from ev group by harness")
+def status_counts(spark, d):
+    return lift.events(spark, d).groupBy("harness").agg(
+        F.countDistinct("source_id").alias("sources"), F.count("*").alias("seen"), F.count_if(F.col("kind") == "unknown").alias("unknown"), F.count_if("is_hook").alias("pending"),
+        F.coalesce(F.sum(F.when(F.col("is_hook"), F.octet_length("text"))), F.lit(0)).cast("long").alias("pending_bytes"), F.max("timestamp").alias("newest"),
+    )
+
+
+@register("block_explode", "select event_id, unnest(range(cast(json_extract_string(props, '$.k') as bigint) % 4)) as sub_index from events")
+def block_explode(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.get_json_object("props", "$.k").cast("long") % 4
+    return e.select("event_id", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))).alias("sub_index"))
+
+
+@register("tool_parts_json", "select event_id, event_type as name, cast(json_extract_string(props, '$.k') as bigint) as argument from events where event_type in ('view', 'click')")
+def tool_parts_json(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("view", "click"))
+    payload = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")))
+    parsed = F.from_json(payload, "name string, arguments string")
+    return e.select("event_id", parsed["name"].alias("name"), F.get_json_object(parsed["arguments"], "$.k").cast("long").alias("argument"))
+
+
+# --- catalog of batches ----------------------------------------------------
+
+
+def _batches(spark, d):
+    """One batch a day; every third replaces the two days before it."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    b = e.groupBy(day.cast("long").alias("day")).agg(F.sum(F.octet_length("props")).alias("bytes"), F.count("*").alias("ids"))
+    name = lambda c: F.concat(F.lit("b"), c.cast("string"))
+    replaces = F.when(F.col("day") % 3 == 2, F.array(name(F.col("day") - 1), name(F.col("day") - 2))).otherwise(F.array().cast("array<string>"))
+    return b.select(F.lit("me").alias("collector_id"), name(F.col("day")).alias("batch_id"), "day", "bytes", "ids", replaces.alias("replaces"))
+
+
+_B = "with b as (select date_diff('day', date '2024-01-01', cast(ts as date)) as day, cast(sum(octet_length(encode(props))) as bigint) as bytes, count(*) as ids from events group by 1)"
+
+
+@register("manifest_active_anti", _B + " select 'b' || day as batch_id, bytes from b where day not in (select day - 1 from b where day % 3 = 2 union all select day - 2 from b where day % 3 = 2)")
+def manifest_active_anti(spark, d):
+    return active_manifests(_batches(spark, d)).select("batch_id", "bytes")
+
+
+@register("upload_backlog", _B + " select r.remote, count(*) as backlog, cast(sum(bytes) as bigint) as bytes from b, (values ('east', 2), ('west', 5)) r(remote, k) where b.day % r.k <> 0 group by r.remote")
+def upload_backlog_query(spark, d):
+    b = _batches(spark, d)
+    remotes = spark.createDataFrame([("east", 2), ("west", 5)], "remote string, k int")
+    done = b.join(F.broadcast(remotes), F.col("day") % F.col("k") == 0).select("remote", "batch_id")
+    return upload_backlog(b, remotes.select("remote"), done)
+
+
+@register(
+    "compaction_groups",
+    _B.replace("with", "with recursive") + ", s as (select *, row_number() over (order by day) as r from b), f as (select r, day, case when bytes > 4000 then 0 else bytes end as size, 0 as g, bytes <= 4000 as member from s where r = 1 union all select s.r, s.day, "
+    "case when s.bytes > 4000 then 0 when f.size + s.bytes > 4000 then s.bytes else f.size + s.bytes end, f.g + case when f.size > 0 and f.size + s.bytes > 4000 then 1 else 0 end, s.bytes <= 4000 from f join s on s.r = f.r + 1), "
+    "n as (select g, count(*) as members, min(day) as first_day, max(day) as last_day from f where member group by g having count(*) >= 2) select members, first_day, last_day from n",
+)
+def compaction_groups_query(spark, d):
+    groups = compaction_groups(_batches(spark, d), 4000, order="day")
+    return groups.groupBy("group").agg(F.count("*").alias("members"), F.min("day").alias("first_day"), F.max("day").alias("last_day")).drop("group")
+
+
+@register("manifest_validate")
+def manifest_validate(spark, d):
+    return validate_manifests(_golden(spark))
+
+
+def _golden(spark):
+    file = {"path": "records/part-0.parquet", "size": 1, "sha256": "a" * 64}
+    other = {"path": "events/part-0.parquet", "size": 1, "sha256": "b" * 64}
+    base = {"schema_version": 1, "collector_id": "me", "batch_id": "b1", "created_at": "2026-10-01T10:00:00.000Z", "sessions": [], "files": [file, other], "replaces": []}
+    patches = [
+        {}, {"schema_version": 2}, {"batch_id": "../b"}, {"created_at": "2026-02-30T10:00:00Z"}, {"files": []}, {"files": [file, file, other]}, {"files": [{**file, "path": "records/../x"}, other]},
+        {"files": [{**file, "sha256": "A" * 64}, other]}, {"files": [file]}, {"replaces": ["b1"]}, {"replaces": ["x", "x"]}, {"replaces": ["x", "y"]}, {"files": [{**file, "size": 1 << 53}, other]},
+    ]
+    from ..schemas import MANIFEST
+
+    return spark.createDataFrame([{**base, **p} for p in patches], MANIFEST)
+
+
+# --- trajectories ----------------------------------------------------------
+
+
+@register("steps_asof_attach", STEPS + " select harness, session_id, id, cast(call_at as bigint) as call_at from steps where kind = 'tool_result'")
+def steps_asof_attach(spark, d):
+    s = T.steps(T.chronology(lift.events(spark, d)))
+    return s.where("kind = 'tool_result'").select("harness", "session_id", "id", F.col("call_at").cast("long").alias("call_at"))
+
+
+@register("step_numbering", STEPS + " select harness, session_id, id, cast(step as bigint) as step, is_head from steps")
+def step_numbering(spark, d):
+    return T.steps(T.chronology(lift.events(spark, d))).select("harness", "session_id", "id", F.col("step").cast("long").alias("step"), "is_head")
+
+
+@register("final_output", AT + ", h as (select harness, session_id, arg_max(kind, nth) as k, arg_max(role, nth) as r, arg_max(text, nth) as t from seen where kind in ('message', 'tool_call', 'tool_result') group by all) select harness, session_id, t as final_output from h where k = 'message' and r = 'assistant'")
+def final_output(spark, d):
+    return T.final_output(T.chronology(lift.events(spark, d)))
+
+
+@register(
+    "branch_ancestry",
+    "with recursive e as (select 'u' || user_id as session_id, event_id as id, lag(event_id) over (partition by user_id order by event_id) as parent_id from events where user_id < 3), l as (select session_id, max(id) as leaf from e group by 1), "
+    "w as (select e.session_id, l.leaf, e.id, e.parent_id, 0 as hops from e join l on e.session_id = l.session_id and e.id = l.leaf union all select w.session_id, w.leaf, e.id, e.parent_id, w.hops + 1 from w join e on e.session_id = w.session_id and e.id = w.parent_id) select session_id, leaf, id, hops from w",
+)
+def branch_ancestry(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id < 3")
+    entry = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_id"))
+    return T.ancestry(entry, T.leaves_of(entry))
+
+
+@register("judge_prefix_len", "select 'c' || conv_id as session_id, turn as position, row_number() over w as prefix_events, cast(sum(length(text)) over w as bigint) as prefix_chars from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and current row)")
+def judge_prefix_len(spark, d):
+    m = lift.messages(spark, d).withColumn("at", F.col("turn"))
+    p = T.judge_prefix(m)
+    return p.select("session_id", F.col("at").alias("position"), "prefix_events", "prefix_chars")
+
+
+# --- matching --------------------------------------------------------------
+
+
+@register("match_strict", PAIRS + " select c.pair, c.idx as candidate_step, o.idx as oracle_step from c join o on c.pair = o.pair and c.idx = o.idx and c.key = o.key")
+def match_strict(spark, d):
+    return M.strict(*lift.run_pairs(spark, d))
+
+
+@register("match_unordered", UNORDERED + " select * from m")
+def match_unordered(spark, d):
+    return M.unordered(*lift.run_pairs(spark, d))
+
+
+@register("match_required")
+def match_required(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    return M.required(o, c, o.where("idx % 2 = 0").select("pair", "idx"))
+
+
+@register("align_monotone")
+def align_monotone(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    scored = M.bm25(c.select("pair", F.col("idx").alias("doc"), "text"), o.select("pair", F.col("idx").alias("query"), "text"), ("pair",))
+    aligned = M.monotone(scored.select("pair", F.col("doc").alias("candidate_step"), F.col("query").alias("oracle_step"), "score"))
+    return aligned.withColumn("similarity", F.round("similarity", 6))
+
+
+_BM25 = """
+with cw as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where text is not null), ct as (select doc, term, count(*) as tf from cw group by all),
+sz as (select doc_id as doc, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as size from documents where text is not null), st as (select count(*) as docs, avg(size) as av from sz), df as (select term, count(*) as df from ct group by 1),
+q as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark)
+, s as (select ct.doc, q.query, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))) as score from q join ct on q.term = ct.term join df on df.term = q.term join sz on sz.doc = ct.doc cross join st group by all)
+"""
+
+
+def _bm25_documents(spark, d):
+    docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    return M.bm25(docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("query"), "text"))
+
+
+@register("bm25_scores", _BM25 + "select doc, query, round(score, 6) as score from s")
+def bm25_scores(spark, d):
+    return _bm25_documents(spark, d).withColumn("score", F.round("score", 6))
+
+
+@register("bm25_topk", _BM25 + ", r as (select *, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from s) select query, doc, cast(rank as integer) as rank from r where rank <= 5")
+def bm25_topk(spark, d):
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "doc"))
+    return _bm25_documents(spark, d).withColumn("rank", rank).where("rank <= 5").select("query", "doc", "rank")
+
+
+@register("diff_strict", PAIRS + " select coalesce(o.pair, c.pair) as pair, coalesce(o.idx, c.idx) + 1 as step, case when o.key is null then 'added' when c.key is null then 'missing' else 'changed' end as change from o full join c on o.pair = c.pair and o.idx = c.idx where o.key is distinct from c.key")
+def diff_strict(spark, d):
+    return M.diff_strict(*lift.run_pairs(spark, d))
+
+
+_ALIGNED = UNORDERED + ", x as (select c.pair, c.idx + 1 as step, 'added' as change from c left join m on m.pair = c.pair and m.candidate_step = c.idx where m.pair is null union all select o.pair, o.idx + 1, 'missing' from o left join m on m.pair = o.pair and m.oracle_step = o.idx where m.pair is null)"
+
+
+@register("diff_aligned", _ALIGNED + " select * from x")
+def diff_aligned(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    return M.diff_aligned(o, c, M.unordered(o, c))
+
+
+@register("repeated_steps", PAIRS + ", r as (select pair, idx, row_number() over (partition by pair, key order by idx) as n from c) select pair, idx + 1 as step from r where n > 1")
+def repeated_steps(spark, d):
+    return M.repeated(lift.run_pairs(spark, d)[1])
+
+
+_COVER = ", os as (select pair, count(*) as n from o group by 1), cs as (select pair, count(*) as n, count(distinct key) as k from c group by 1), ms as (select pair, count(distinct oracle_step) as n from m group by 1), g as (select os.pair, round(coalesce(ms.n, 0) / os.n, 6) as coverage, round((cs.n - cs.k) / cs.n, 6) as repetition from os join cs on os.pair = cs.pair left join ms on ms.pair = os.pair)"
+
+
+def _diagnosed(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    g = M.diagnostics(o, c, M.unordered(o, c))
+    return g.withColumns({k: F.round(k, 6) for k in ("coverage", "repetition")})
+
+
+@register("reference_coverage", UNORDERED + _COVER + " select * from g")
+def reference_coverage(spark, d):
+    return _diagnosed(spark, d)
+
+
+@register(
+    "gate_assess",
+    UNORDERED + _COVER + ", f as (select pair, case when coverage < 0.5 then 'coverage ' || printf('%.4f', coverage) || ' is below 0.5000' end as a, case when repetition > 0.2 then 'repetition ' || printf('%.4f', repetition) || ' is above 0.2000' end as b from g) select pair, concat_ws('; ', a, b) as failures, a is null and b is null as passed from f",
+)
+def gate_assess(spark, d):
+    out = A.gate_failures(_diagnosed(spark, d), {"coverage": 0.5}, {"repetition": 0.2})
+    return out.select("pair", F.array_join("failures", "; ").alias("failures"), "passed")
+
+
+@register(
+    "best_variant",
+    _ALIGNED + ", v as (select pair, 'aligned' as variant, count(*) as n, 1 as ord from x group by 1 union all select coalesce(o.pair, c.pair), 'strict', count(*), 0 from o full join c on o.pair = c.pair and o.idx = c.idx where o.key is distinct from c.key group by 1), "
+    "r as (select *, row_number() over (partition by pair order by n > 3, case when n <= 3 then 0 else n end, ord) as k from v) select pair, variant, n <= 3 as passed from r where k = 1",
+)
+def best_variant(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    variants = [("strict", 0, M.diff_strict(o, c)), ("aligned", 1, M.diff_aligned(o, c, M.unordered(o, c)))]
+    checks = None
+    for name, order, changes in variants:
+        v = changes.groupBy("pair").agg(F.count("*").alias("n_changes")).select("pair", F.lit(name).alias("variant"), (F.col("n_changes") <= 3).alias("passed"), (F.col("n_changes") > 3).cast("int").alias("n_failures"), "n_changes", F.lit(order).alias("ord"))
+        checks = v if checks is None else checks.union(v)
+    return A.best_variant(checks)
+
+
+@register("last_oracle_so_far", UNORDERED + " select c.pair, c.idx as candidate_step, last_value(m.oracle_step ignore nulls) over (partition by c.pair order by c.idx rows between unbounded preceding and current row) as oracle_so_far from c left join m on m.pair = c.pair and m.candidate_step = c.idx")
+def last_oracle_so_far(spark, d):
+    o, c = lift.run_pairs(spark, d)
+    return M.last_matched(c, M.unordered(o, c))
+
+
+# --- labels ----------------------------------------------------------------
+
+
+def _revisions(spark, d):
+    """Labels as revisions: every seventh document is a task, of whose steps some are relabelled."""
+    r = spark.read.parquet(f"{d}/labels.parquet")
+    key = [(F.col("doc_id") % 7).cast("string").alias("task"), (F.floor(F.col("doc_id") / 7) % 5).cast("string").alias("trajectory"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("step")]
+    rows = r.select(*key, F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("reward"), "toxic")
+    before = F.lag("id").over(Window.partitionBy(*A.LABEL_KEY).orderBy("seq"))
+    return rows.withColumn("supersedes", F.when(F.col("seq") % 11 != 0, before))
+
+
+_REV = "with k as (select cast(doc_id % 7 as varchar) as task, cast((doc_id // 7) % 5 as varchar) as trajectory, case when doc_id % 4 <> 0 then doc_id % 4 end as step, doc_id as seq, cast(doc_id as varchar) as id, quality as reward, toxic from labels), rev as (select *, lag(id) over (partition by task, trajectory, step order by seq) as prev from k), cur as (select * from rev qualify row_number() over (partition by task, trajectory, step order by seq desc) = 1)"
+
+
+@register("labels_current", _REV + " select task, trajectory, step, id, reward from cur")
+def labels_current(spark, d):
+    return A.current_labels(_revisions(spark, d)).select("task", "trajectory", "step", "id", "reward")
+
+
+@register("label_chain_valid", _REV + " select id, case when seq % 11 <> 0 then prev end is not distinct from prev as valid from rev")
+def label_chain_valid(spark, d):
+    return A.label_chain(_revisions(spark, d)).select("id", "valid")
+
+
+@register("human_assess", _REV + ", s as (select cast(t as varchar) as trajectory, 4 as steps from range(5) r(t)) select task, cur.trajectory, max(case when step is null then reward end) as task_reward, round(avg(case when step is not null then reward end), 6) as mean_reward, round(count(step) / max(s.steps), 6) as coverage from cur join s on s.trajectory = cur.trajectory group by all")
+def human_assess(spark, d):
+    steps = spark.range(20).select((F.col("id") % 5).cast("string").alias("trajectory"))
+    out = A.human_assessment(_revisions(spark, d), steps)
+    return out.withColumns({"mean_reward": F.round("mean_reward", 6), "coverage": F.round("coverage", 6)})
+
+
+@register(
+    "calibrate_grouping_sets",
+    "with p as (select 'j' || (doc_id % 3) as judge, quality as human, case when doc_id % 5 = 0 then 1 - quality else quality end as predicted from labels), t as (select judge, count(*) as n, count(*) filter (where predicted = 1 and human = 1) as tp, count(*) filter (where predicted = 0 and human = 0) as tn, count(*) filter (where predicted = 1 and human = 0) as fp, count(*) filter (where predicted = 0 and human = 1) as fn from p group by grouping sets ((), (judge))) "
+    "select judge, n, tp, tn, fp, fn, round((tp + tn) / n, 6) as agreement, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall from t",
+)
+def calibrate_grouping_sets(spark, d):
+    r = spark.read.parquet(f"{d}/labels.parquet")
+    pairs = r.select(F.concat(F.lit("j"), (F.col("doc_id") % 3).cast("string")).alias("judge"), F.col("quality").alias("human"), F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("predicted"))
+    out = A.calibrate(pairs)
+    return out.withColumns({k: F.round(k, 6) for k in ("agreement", "precision", "recall")})
+
+
+@register("required_work_coverage", "select doc_id % 9 as pair, round(count(*) filter (where quality = 1) / count(*), 6) as coverage from labels group by 1")
+def required_work_coverage(spark, d):
+    r = spark.read.parquet(f"{d}/labels.parquet").select((F.col("doc_id") % 9).alias("pair"), (F.col("quality") == 1).alias("passed"))
+    return A.work_coverage(r).withColumn("coverage", F.round("coverage", 6))
+
+
+@register("mean_rewards", "select doc_id % 9 as pair, d.dimension, round(avg(case d.dimension when 'quality' then quality else toxic end), 6) as mean_reward from labels, (values ('quality'), ('toxic')) d(dimension) group by all")
+def mean_rewards(spark, d):
+    r = spark.read.parquet(f"{d}/labels.parquet")
+    scores = r.select((F.col("doc_id") % 9).alias("pair"), F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("dimension", "reward"))
+    return A.mean_rewards(scores).withColumn("mean_reward", F.round("mean_reward", 6))
