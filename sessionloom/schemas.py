@@ -5,10 +5,13 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 1
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "binary": T.BinaryType()}
+
+
 def _struct(required: str, optional: str = "") -> T.StructType:
     """Fields as ``name:type`` words; those of ``optional`` may be null."""
     fields = [(x, False) for x in required.split()] + [(x, True) for x in optional.split()]
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t), null) for x, null in fields for n, t in [x.split(":", 1)]])
+    return T.StructType([T.StructField(n, _TYPES[t], null) for x, null in fields for n, t in [x.split(":")]])
 
 
 RECORDS = _struct(
@@ -19,17 +22,14 @@ EVENTS = _struct(
     "id:string record_id:string harness:string session_id:string source_id:string position:bigint sub_index:bigint kind:string payload_json:string",
     "parent_session_id:string native_id:string parent_id:string timestamp:string role:string text:string model:string tool_call_id:string",
 )
-SESSION = "struct<harness:string,session_id:string,records:bigint,events:bigint,first_timestamp:string,last_timestamp:string>"
-FILE = "struct<path:string,size:bigint,sha256:string>"
+SESSION = _struct("", "harness:string session_id:string records:bigint events:bigint first_timestamp:string last_timestamp:string")
+FILE = _struct("", "path:string size:bigint sha256:string")
 MANIFEST = T.StructType(
     [
-        T.StructField("schema_version", T.LongType()),
-        T.StructField("collector_id", T.StringType()),
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("created_at", T.StringType()),
-        T.StructField("sessions", T._parse_datatype_string(f"array<{SESSION}>")),
-        T.StructField("files", T._parse_datatype_string(f"array<{FILE}>")),
-        T.StructField("replaces", T._parse_datatype_string("array<string>")),
+        *_struct("", "schema_version:bigint collector_id:string batch_id:string created_at:string"),
+        T.StructField("sessions", T.ArrayType(SESSION)),
+        T.StructField("files", T.ArrayType(FILE)),
+        T.StructField("replaces", T.ArrayType(T.StringType())),
     ]
 )
 #: Where an event stands among those of its session.
