@@ -10,10 +10,13 @@ composites are formed.
 
 Documents with equal shingle sets are one class from the start.  In a bucket
 each class is compared with the bucket's least class first; the links found
-join classes into components, and only where a bucket still holds several
-components are their members compared with each other, so a large group of
-near copies costs about one comparison a member.  Every link is confirmed on
-full shingle sets.
+join classes into components.  Where a bucket still holds several components,
+each member's shingles that any other such member has bound what it can share
+with anyone (an edited copy's own shingles match nothing).  What the bounds leave
+is compared in full by tiles of sets, members outside the largest component of
+those that share buckets against all of them, so a large group of near copies
+costs about one comparison a member.  Every link is confirmed on full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -161,12 +164,85 @@ def _shared(sets: DataFrame, reps: DataFrame) -> DataFrame:
     return counts.join(sizes, "id").where(DENOMINATOR * F.col("s") >= NUMERATOR * F.col("n")).select("id", "n", "s")
 
 
-def _pairs(x: DataFrame, y: DataFrame, once: bool = False) -> DataFrame:
-    """Pairs of a bucket's members across components that could share enough; ``once``: both sides are the same."""
-    x, y = (t.select("key", *(F.col(c).alias(c + e) for c in ("id", "c", "n", "s"))) for t, e in ((x, "x"), (y, "y")))
-    enough = (DENOMINATOR + NUMERATOR) * F.least("sx", "sy") >= NUMERATOR * (F.col("nx") + F.col("ny"))
-    joined = x.join(y, "key").where((F.col("idx") < F.col("idy") if once else F.col("idx") != F.col("idy")) & (F.col("cx") != F.col("cy")) & enough)
-    return joined.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+def _within_families(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components among members that share buckets, directly or through others.
+
+    A family is dealt out as tiles of about :data:`TILE` sets: those outside its
+    largest component against all.  A task holds two tiles; sets are sent once
+    for each tile on the other side, and no pairs are formed outside a tile.
+    """
+    least = member.groupBy("key").agg(F.min("id").alias("a"))
+    ties = member.select("key", "id").join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    families = staged(components(ties), "families")
+    own = member.groupBy("id").agg(F.min("c").alias("c")).join(families.select("id", F.col("component").alias("f")), "id")
+    own = staged(own, "family-members")
+    sizes = own.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("x"))
+    several = sizes.where(F.col("n") > F.col("x.n")).select("f", F.col("x.c").alias("large"), _tiles(F.col("n")).alias("right"), _tiles(F.col("n") - F.col("x.n")).alias("left"))
+    placed = own.join(several, "f").join(sets, "id").withColumn("h", F.xxhash64("id"))
+
+    def dealt(rows: DataFrame, side: int, here: str, there: str) -> DataFrame:
+        tile, others = F.pmod("h", here).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col(there) - 1)).alias("o")
+        out = rows.select("f", tile, others, "id", "c", "s")
+        return out.select("f", F.lit(side).alias("side"), *((F.col("t").alias("i"), F.col("o").alias("j")) if side == 0 else (F.col("o").alias("i"), F.col("t").alias("j"))), "id", "c", "s")
+
+    both = dealt(placed.where("c <> large"), 0, "left", "right").union(dealt(placed, 1, "right", "left"))
+    group = ("f", "i", "j")
+    return both.repartition(*group).sortWithinPartitions(*group, "side").select(*group, "side", "id", "c", "s").mapInArrow(_tile_links, "a long, b long").distinct()
+
+
+#: Sets in a tile.
+TILE = 128
+
+
+def _tiles(n):
+    return F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over a stretch of shingles at a time."""
+    every = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    _, code, count = np.unique(every, return_inverse=True, return_counts=True)
+    keep = count[code] > 1
+    code, row = np.unique(code[keep], return_inverse=True)[1], row[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, int(code.max(initial=-1)) + 1, 4096):
+        a, b = np.searchsorted(code, (k, k + 4096))
+        ones = np.zeros((len(left) + len(right), 4096), np.float32)
+        ones[row[a:b], code[a:b] - k] = 1
+        out += ones[: len(left)] @ ones[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each left set, a link to every other component that has one in the right tile."""
+    sides: list[list[tuple[int, int, np.ndarray]]] = [[], []]
+    at: tuple | None = None
+
+    def done() -> pa.RecordBatch:
+        (left, right), found = sides, []
+        if left and right:
+            both = _overlaps([x[2] for x in left], [x[2] for x in right])
+            n, m = (np.array([len(x[2]) for x in side]) for side in sides)
+            c, d = (np.array([x[1] for x in side]) for side in sides)
+            linked = (DENOMINATOR * both >= NUMERATOR * (n[:, None] + m[None, :] - both)) & (c[:, None] != d[None, :])
+            for k in np.nonzero(linked.any(1))[0]:
+                _, first = np.unique(d[linked[k]], return_index=True)
+                found += [(left[k][0], right[j][0]) for j in np.nonzero(linked[k])[0][first]]
+        for side in sides:
+            side.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[e] for x in found], pa.int64()) for e in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for *group, side, i, c, s in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if at is not None and at != group:
+                yield done()
+            at = group
+            sides[side].append((i, c, np.frombuffer(s, np.uint64)))
+    if at is not None:
+        yield done()
 
 
 def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,19 +278,11 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     more = _across(stars, labels).join(likely, ["a", "b"], "left_anti")
     links = links.union(staged(_full(more, sets), "links-stars"))
     labels = staged(components(links), "labels")
-    # what else shares a bucket across components: first with its most central member, then all
+    # what else shares a bucket across components
     member = _mixed(buckets, labels)
-    shared = staged(_shared(sets.join(member.select("id").distinct(), "id", "left_semi"), reps), "shared")
+    shared = _shared(sets.join(member.select("id").distinct(), "id", "left_semi"), reps)
     member = staged(member.join(shared, "id"), "mixed")
-    central = member.groupBy("key").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("part"), (-F.col("id")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("id"))
-    tested = stars.select("a", "b")
-    middle = _pairs(central.join(member, ["key", "id"]), member).join(tested, ["a", "b"], "left_anti")
-    middle = staged(middle, "central")
-    links = links.union(staged(_full(_sketched(middle, reps), sets), "links-central"))
-    labels = staged(components(links), "labels")
-    member = staged(_mixed(buckets, labels).join(shared, "id"), "mixed")
-    rest = _pairs(member, member, once=True).join(tested.union(middle), ["a", "b"], "left_anti")
-    found = staged(_full(_sketched(rest, reps), sets), "links-rest")
+    found = staged(_within_families(member, sets), "links-rest")
     if not found.isEmpty():
         labels = staged(components(links.union(found)), "labels")
 
