@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": near_dedup.SQL,
     "op7_topk": topk.SQL,
 }
