@@ -316,12 +316,12 @@ with recursive t as (
   select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g
   from t where len(w) > 0
 ), c as (select doc_id, count(*) as k from g group by doc_id
-), both as (select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by all
+), pair as (select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by all
 ), links as (
-  select both.a, both.b from both join c x on x.doc_id = both.a join c y on y.doc_id = both.b where 100 * both.k >= 75 * (x.k + y.k - both.k)
+  select pair.a, pair.b from pair join c x on x.doc_id = pair.a join c y on y.doc_id = pair.b where 100 * pair.k >= 75 * (x.k + y.k - pair.k)
 ), e as (select a, b from links union all select b, a from links
-), r(id, at) as (select doc_id, doc_id from c union select r.id, e.b from r join e on r.at = e.a
-), m as (select id, min(at) as component from r group by id)
+), r(id, reached) as (select doc_id, doc_id from c union select r.id, e.b from r join e on r.reached = e.a
+), m as (select id, min(reached) as component from r group by id)
 select d.doc_id, coalesce(c.k, 0) as n_shingles, coalesce(m.component, d.doc_id) as component_id, d.doc_id = coalesce(m.component, d.doc_id) as kept
 from documents d left join c on c.doc_id = d.doc_id left join m on m.id = d.doc_id
 """
