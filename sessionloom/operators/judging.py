@@ -1,0 +1,71 @@
+"""Judgments of steps by a model that is passed in, kept in a table so that a run can go on where it stopped."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import payloads
+
+SCORES = "pair string, subject string, dimension string, reward int, rationale string, raw string, error string"
+
+
+def judge_inputs(steps: DataFrame, prefix: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
+    """``pair, subject, dimension, input`` of each step, with what came before it.
+
+    ``steps`` is ``pair, idx, dimension, text`` and ``prefix`` ``pair, idx,
+    events`` (an array).  An input above ``max_bytes`` is an error, before any
+    model is asked; nothing is cut.
+    """
+    whole = F.to_json(F.struct("text", "events"))
+    joined = steps.join(prefix, ["pair", "idx"]).select("pair", F.concat(F.lit("step:"), (F.col("idx") + 1).cast("string")).alias("subject"), "dimension", whole.alias("input"))
+    checked = F.when(F.octet_length("input") <= max_bytes, F.col("input")).otherwise(F.raise_error(F.lit("a judge's input is too large")).cast("string"))
+    return joined.withColumn("input", checked)
+
+
+def remaining(inputs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Inputs that have no valid score yet."""
+    done = scores.where("error is null").select("pair", "subject", "dimension")
+    return inputs.join(done, ["pair", "subject", "dimension"], "left_anti")
+
+
+def judge(inputs: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """Ask ``complete`` once for each input.  An invalid reply is kept with its error and has no reward: it never counts as zero."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                raw, reward, rationale, error = None, None, None, None
+                try:
+                    raw = complete(r.input)
+                    reward, rationale = payloads.judgment(raw)
+                except ValueError as e:
+                    error = str(e)
+                rows.append((r.pair, r.subject, r.dimension, reward, rationale, raw, error))
+            out = pd.DataFrame(rows, columns=["pair", "subject", "dimension", "reward", "rationale", "raw", "error"])
+            yield out.astype({"reward": "Int32"})
+
+    return inputs.select("pair", "subject", "dimension", "input").mapInPandas(run, SCORES)
+
+
+def evaluate(inputs: DataFrame, path: str, complete: Callable[[str], str]) -> DataFrame:
+    """Judge what ``path`` (a Parquet table of scores) lacks, append it, and return all valid scores.
+
+    Raises if any reply was invalid; those that were valid stay stored.
+    """
+    spark = inputs.sparkSession
+    from .archive import exists
+
+    if exists(spark, path):
+        inputs = remaining(inputs, spark.read.schema(SCORES).parquet(path))
+    judge(inputs, complete).write.mode("append").parquet(path)
+    scores = spark.read.schema(SCORES).parquet(path)
+    valid = scores.where("error is null").dropDuplicates(["pair", "subject", "dimension"])
+    left = inputs.join(valid, ["pair", "subject", "dimension"], "left_anti")
+    if not left.isEmpty():
+        raise ValueError("some replies of the judge were invalid; run again to ask for those alone")
+    return valid

@@ -1,0 +1,77 @@
+"""Append-only label revisions and accepted variants, as Parquet tables."""
+
+from __future__ import annotations
+
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.payloads import dumps
+from ..sources.normalize import stable_id
+from .archive import exists
+from .assessment import LABEL_KEY, current_labels, label_chain
+
+LABELS = "id string, task string, trajectory string, step long, reward int, reviewer string, note string, origin string, oracle boolean, created_at string, supersedes string, seq long"
+MAX_VARIANTS = 5
+VARIANTS = "variant string, policy string, trajectory string, ord long"
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LABELS).parquet(path) if exists(spark, path) else spark.createDataFrame([], LABELS)
+
+
+def _digest(label: dict) -> str:
+    return stable_id(dumps({k: v for k, v in label.items() if k not in ("id", "seq")}))
+
+
+def annotate(spark: SparkSession, path: str, task: str, trajectory: str, reward: int, reviewer: str, step: int | None = None, note: str = "", origin: str = "human", oracle: bool = False, replace: bool = False) -> dict:
+    """Add a label.  The same one again changes nothing; another for the same key needs ``replace`` and supersedes it."""
+    if reward not in (0, 1) or isinstance(reward, bool) or not task.strip() or not reviewer.strip() or (step is not None and step < 1):
+        raise ValueError("a label has a task, a reviewer, a reward of 0 or 1 and a step from 1 on")
+    labels = read_labels(spark, path)
+    same_key = (F.col("task") == task) & (F.col("trajectory") == trajectory) & F.col("step").eqNullSafe(F.lit(step).cast("long"))
+    old = current_labels(labels.where(same_key)).collect()
+    own = {"reward": reward, "reviewer": reviewer, "note": note, "origin": origin, "oracle": oracle}
+    if old and all(old[0][k] == v for k, v in own.items()):
+        return old[0].asDict()
+    if old and not replace:
+        raise ValueError("there is a label already; replace=True records a revision")
+    label = {"task": task, "trajectory": trajectory, "step": step, **own, "created_at": datetime.now(timezone.utc).isoformat(), "supersedes": old[0]["id"] if old else None}
+    label |= {"id": _digest(label), "seq": (labels.agg(F.max("seq")).first()[0] or 0) + 1}
+    spark.createDataFrame([label], LABELS).coalesce(1).write.mode("append").parquet(path)
+    return label
+
+
+def broken_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Revisions that don't supersede the one before them."""
+    return label_chain(read_labels(spark, path)).where("not valid")
+
+
+def listing(labels: DataFrame) -> DataFrame:
+    """All revisions, with whether each is current."""
+    now = current_labels(labels).select("id", F.lit(True).alias("current"))
+    return labels.join(now, "id", "left").withColumn("current", F.coalesce("current", F.lit(False)))
+
+
+def snapshot(spark: SparkSession, path: str, variant: str, policy: str, trajectory: str) -> DataFrame:
+    """Accept a trajectory as a variant of a baseline: five at most, of one policy, each once."""
+    have = spark.read.schema(VARIANTS).parquet(path) if exists(spark, path) else spark.createDataFrame([], VARIANTS)
+    rows = have.collect()  # at most MAX_VARIANTS
+    if any(r["trajectory"] == trajectory for r in rows):
+        return have
+    if any(r["policy"] != policy for r in rows):
+        raise ValueError("a baseline has one policy")
+    if len(rows) >= MAX_VARIANTS:
+        raise ValueError(f"a baseline has at most {MAX_VARIANTS} variants")
+    spark.createDataFrame([(variant, policy, trajectory, len(rows))], VARIANTS).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(VARIANTS).parquet(path)
+
+
+def accepted_oracles(labels: DataFrame, task: str) -> DataFrame:
+    """Trajectories whose current label of the task as a whole accepts them as references."""
+    now = current_labels(labels.where(F.col("task") == F.lit(task)))
+    return now.where("step is null and oracle and reward = 1").select("trajectory")
+
+
+__all__ = ["LABEL_KEY", "accepted_oracles", "annotate", "broken_labels", "listing", "read_labels", "snapshot"]
