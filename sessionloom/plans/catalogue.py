@@ -487,3 +487,49 @@ def mean_rewards(spark, d):
     r = spark.read.parquet(f"{d}/labels.parquet")
     scores = r.select((F.col("doc_id") % 9).alias("pair"), F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("dimension", "reward"))
     return A.mean_rewards(scores).withColumn("mean_reward", F.round("mean_reward", 6))
+
+
+# --- ingest ----------------------------------------------------------------
+
+
+@register("jsonl_ingest_offsets", "select user_id, event_id, cast(coalesce(sum(octet_length(encode(props)) + 1) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as position from events")
+def jsonl_ingest_offsets(spark, d):
+    """Byte positions of lines, were each user's properties a file."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return e.select("user_id", "event_id", F.coalesce(F.sum(F.octet_length("props") + 1).over(before), F.lit(0)).cast("long").alias("position"))
+
+
+def _statuses(batches):
+    import pyarrow as pa
+
+    from ..sources import normalize
+
+    source = {"harness": "pi", "session": "s", "source_id": "x"}
+    for batch in batches:
+        found = [normalize.parse(source, i, raw.encode()) for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x["status"] for x in found]), pa.array([len(x["events"]) for x in found], pa.int64())], ["event_id", "status", "events"])
+
+
+@register("record_status", "select event_id, case event_id % 4 when 0 then 'malformed' when 1 then 'malformed' when 2 then 'parsed' else 'unknown' end as status, cast(case when event_id % 4 < 2 then 0 else 1 end as bigint) as events from events")
+def record_status(spark, d):
+    """Status of lines: cut off, followed by something, of a known type, of none."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.substring("props", 1, 4)).when(k == 1, F.concat("props", F.lit(" x"))).when(k == 2, F.replace("props", F.lit('{"k"'), F.lit('{"type": "compaction", "k"'))).otherwise(F.col("props"))
+    return e.select("event_id", raw.alias("raw")).mapInArrow(_statuses, "event_id long, status string, events long")
+
+
+@register(
+    "inventory_verify",
+    "select cast(doc_id as varchar) as path, case when doc_id % 10 = 1 then 'missing' when doc_id % 10 = 2 then 'unlisted' else 'changed' end as problem from documents where text is not null and (doc_id % 10 in (1, 2) or (doc_id % 10 = 3 and text <> ''))",
+)
+def inventory_verify(spark, d):
+    """An inventory of texts as files against files of which some are lost, added or cut."""
+    from ..operators.catalog import verify_inventory
+
+    t = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text", (F.col("doc_id") % 10).alias("k"))
+    inventory = t.where("k <> 2").select("path", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+    content = F.when(F.col("k") == 3, F.expr("left(text, char_length(text) - 1)")).otherwise(F.col("text")).cast("binary")
+    files = t.where("k <> 1").select("path", content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return verify_inventory(files, inventory)
