@@ -15,6 +15,8 @@ import re
 import sys
 from array import array
 
+from . import words
+
 #: Unicode's White_Space property, which the tokenizer's \\s stands for.
 _WS = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A space that isn't a safe place to cut: inside a run of white space, or after some at the end.
@@ -91,7 +93,7 @@ class ChunkEncoder:
     memory stays bounded however many distinct words a corpus has.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,10 +186,13 @@ class ChunkEncoder:
 
 
 _encoders: dict[str, ChunkEncoder] = {}
+words.others.append(_encoders)
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a file; kept while the worker lives."""
+    """The worker's encoder for a file; kept until another operator needs the memory."""
     if path not in _encoders:
+        words.forget()
+        _encoders.clear()
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]

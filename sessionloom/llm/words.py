@@ -7,7 +7,9 @@ import xxhash
 
 #: Odd multipliers that tell the places of a shingle apart.
 _PLACES = np.array([xxhash.xxh64_intdigest(b"place", seed=k) | 1 for k in range(8)], dtype=np.uint64)
-_LIMIT = 600_000
+_LIMIT = 300_000
+#: What other operators remember in a worker; one operator's memory goes when another begins.
+others: list[dict] = []
 
 
 class _Hashes(dict):
@@ -20,6 +22,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Drop the remembered hashes."""
+    _hashes.clear()
+
+
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -27,6 +34,8 @@ def words(text: str | None) -> list[bytes]:
 
 def hashed(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers a bounded number of them."""
+    for held in others:
+        held.clear()
     if len(_hashes) > _LIMIT:
         _hashes.clear()
     return np.fromiter(map(_hashes.__getitem__, found), np.int64, len(found)).view(np.uint64)
