@@ -4,7 +4,9 @@ The items of a benchmark are a stated query set, taken in blocks of bounded size
 A first pass counts in how many documents each of a block's word n-grams occurs;
 the rare ones of each item are its seeds.  A second pass finds seeds in every
 whole text and aligns the passage around them with the item by the
-Smith-Waterman recurrence over words, which scores edited copies too.
+Smith-Waterman recurrence over words, which scores edited copies too.  Copies of
+a leak can make any n-gram common, so a passage around common ones alone is
+aligned as well, unless it shares too few words with the item to score enough.
 """
 
 from __future__ import annotations
@@ -88,8 +90,8 @@ class Items:
     def seeds(self, frequency: np.ndarray, ratio: float) -> np.ndarray:
         """Which n-grams are rare: as rare, up to ``ratio``, as the middle one of an item that has them.
 
-        Copies of an item raise all its n-grams alike, so that a passage which
-        very many documents hold still has seeds.
+        Copies of a whole item raise all its n-grams alike, so that it still has
+        seeds; those of an edited one raise some, which :meth:`find` makes up for.
         """
         rare = np.zeros(len(self.grams), bool)
         own = defaultdict(list)
@@ -102,31 +104,36 @@ class Items:
         return rare
 
     def find(self, h: np.ndarray, rare: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
-        """(item, score, first word, words, seeds) of every item that aligns with a passage of the text."""
+        """(item, score, first word, words, seeds) of every item that aligns with a passage of the text.
+
+        A passage without a rare n-gram is aligned where its words allow ``least``:
+        no alignment matches more of the item's words than occur in the passage.
+        """
         where, which = self.hits(h)
-        keep = rare[which] if len(which) else np.zeros(0, bool)
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for p, g in zip(where[keep].tolist(), which[keep].tolist()):
+        by_item: dict[int, list[tuple[int, bool]]] = defaultdict(list)
+        for p, g, seed in zip(where.tolist(), which.tolist(), rare[which].tolist()):
             for k, at in self.places[g]:
-                by_item[k].append(p - at)
+                by_item[k].append((p - at, seed))
         out = []
         for k, starts in sorted(by_item.items()):
             item, n = self.words[k], len(self.words[k])
             starts.sort()
             best = (0.0, 0, 0)
-            first = last = starts[0]
-            for s in [*starts[1:], None]:
+            first = last = starts[0][0]
+            seeded = False
+            for s, seed in [*starts, (None, False)]:
                 if s is not None and s - last <= n:
-                    last = s
+                    last, seeded = s, seeded or seed
                     continue
                 low, high = max(0, first - n // 2), min(len(h), last + n + n // 2 + 1)
-                score, b, e = align(item, h[low:high])
-                if score > best[0]:
-                    best = (score, low + b, low + e)
-                first = last = s
+                if seeded or np.isin(item, h[low:high]).sum() / n >= least:
+                    score, b, e = align(item, h[low:high])
+                    if score > best[0]:
+                        best = (score, low + b, low + e)
+                first, last, seeded = s, s, seed
             score = best[0] / (MATCH * n)
             if score >= least:
-                out.append((self.ids[k], score, best[1], best[2] - best[1], len(starts)))
+                out.append((self.ids[k], score, best[1], best[2] - best[1], sum(seed for _, seed in starts)))
         return out
 
 
@@ -197,8 +204,10 @@ def find_leaks(
 
     ``doc_id, item_id, score, first_word, n_words, n_seeds, passage``: the score
     is that of the best local alignment over that of the item with itself (1: an
-    exact copy), and at least ``least``.  ``block_items`` bounds the items taken
-    at once.
+    exact copy), and at least ``least``; ``n_seeds`` counts the item's rare n-grams
+    in the document, and may be 0 where copies of the leak made all of them
+    common.  A copy of which no ``seed`` words in a row survive is not found.
+    ``block_items`` bounds the items taken at once.
 
     Null and empty texts, and items of fewer than ``seed`` words, align with
     nothing; a null document id stays null; repeated rows of a document each give

@@ -275,6 +275,20 @@ def test_a_passage_in_very_many_documents_still_has_seeds(spark):
     assert got.count() == 300
 
 
+@pytest.mark.parametrize("copies,others", [(5, 40), (300, 40), (100, 200)])
+def test_an_edited_passage_in_many_documents_is_found(spark, copies, others):
+    words = [f"q{k}" for k in range(40)]
+    edited = ["changed" if k % 5 == 4 else w for k, w in enumerate(words)]
+    half = words[:22]
+    rows = [(i, f"start {i} {' '.join(edited)} end {i}") for i in range(copies)] + [(1000 + i, f"start {' '.join(half)} end {i}") for i in range(copies)]
+    rows += [(5000 + i, f"nothing of it in {i} but q1 q2 q3 alone") for i in range(others)]
+    df, bench = table(spark, rows), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == {i: 0.7125 if i < 1000 else 0.55 for i, _ in rows if i < 5000}
+    # the edited copies alone, without the other half of the item anywhere
+    assert decontaminate.drop_leaks(df.where("doc_id < 1000 or doc_id >= 5000"), bench).count() == others
+
+
 def toxic_rows():
     rnd = random.Random(8)
     plain = [f"p{k}" for k in range(300)]
