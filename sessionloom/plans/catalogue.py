@@ -306,7 +306,15 @@ def final_output(spark, d):
     "w as (select e.session_id, l.leaf, e.id, e.parent_id, 0 as hops from e join l on e.session_id = l.session_id and e.id = l.leaf union all select w.session_id, w.leaf, e.id, e.parent_id, w.hops + 1 from w join e on e.session_id = w.session_id and e.id = w.parent_id) select session_id, leaf, id, hops from w",
 )
 def branch_ancestry(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("user_id < 3")
+    return _chains(spark.read.parquet(f"{d}/events.parquet").where("user_id < 3"))
+
+
+@register("branch_ancestry_whole")
+def branch_ancestry_whole(spark, d):
+    return _chains(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def _chains(e):
     entry = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("id"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent_id"))
     return T.ancestry(entry, T.leaves_of(entry))
 
