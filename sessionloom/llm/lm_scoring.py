@@ -10,8 +10,9 @@ level after the other until one is missing.
 Probabilities are smoothed with a Dirichlet prior, p(w|v) = (c(vw) + K p(w)) /
 (c(v) + K), with p(w) = (c(w) + 1) / (N + V + 1).
 
-The filter is broadcast if its size is within a stated bound; beyond it the same
-quantised counts are joined to the tokens by a shuffle.  Words are known by
+The filter is broadcast if its size is within a stated bound; beyond it its
+blocks stay where they are and what texts ask of them is brought there by a
+shuffle, so that the same bits answer at every size.  Words are known by
 64-bit hashes: of V distinct ones, V squared / 2**65 pairs are expected to clash.
 """
 
@@ -32,6 +33,7 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 BASE = 1.5
 BITS, PROBES, LEVELS = 8, 4, 60
 _FLUSH = 2_000_000
+_CHUNK = 1 << 20
 _STEPS = np.floor(np.log(np.arange(1, 1 << 12)) / np.log(BASE) + 1e-9).astype(np.int64) + 1
 
 
@@ -235,6 +237,15 @@ class Model:
         p = (both + self.prior * (c + 1) / self.size) / (before + self.prior)
         return np.log10(np.minimum(p, 1.0))
 
+    def scores(self, c: np.ndarray, both: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Score of each of the texts that lie one after the other."""
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        before = np.concatenate([[0.0], c[:-1]])
+        # a text begins as often as one ends
+        before[starts] = c[ends - 1]
+        return np.add.reduceat(self.log10(c, before, both), starts)
+
 
 def _score(model_of):
     """Per text: row number, tokens, those known among the common words and the sum of their log counts, the rest, and the model's score."""
@@ -265,12 +276,9 @@ def _score(model_of):
             if model.filters:
                 words_f, pairs_f = model.filters
                 c = TYPICAL[words_f.levels(u)][inverse]
-                before = np.concatenate([[0.0], c[:-1]])
-                # a text begins as often as one ends
-                before[starts] = c[ends - 1]
                 pairs, back = np.unique(np.concatenate([bigrams(x) for x in hs]), return_inverse=True)
                 both = TYPICAL[pairs_f.levels(pairs)][back]
-                score = np.add.reduceat(model.log10(c, before, both), starts)
+                score = model.scores(c, both, lengths)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -292,37 +300,128 @@ def _score(model_of):
 _SCORED = "doc_id long, row long, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the way without a broadcast: a row for each distinct (history, word) of a text."""
-    from pyspark import TaskContext
+_ASKED = "kind int, block int, chunk long, n long, blob binary"
 
-    row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        for text in batch.column(1).to_pylist():
-            h = token_hashes(text)
-            pair, first, n = np.unique(bigrams(h), return_index=True, return_counts=True)
-            before = np.concatenate([h[-1:], h[:-1]])[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(pair), row)), pa.array(before.view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(pair.view(np.int64)), pa.array(n)], ["row", "before", "word", "pair", "n"]
-            )
-            row += 1
 
+def _asked_rows(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "block", "chunk", "n", "blob"])
+
+
+def _asked(bits: int, asks: bool):
+    """Chunks of texts, each known by its first row: the n-grams it asks of each block (``asks``), or else where they stand in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        chunk = -1
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows, places = [], [np.array([len(x) for x in held], np.uint32)]
+            for kind, h in ((1, np.concatenate(held)), (2, np.concatenate([bigrams(x) for x in held]))):
+                u, back = np.unique(h, return_inverse=True)
+                places.append(back.astype(np.uint32))
+                ends = np.searchsorted(u >> np.uint64(64 - bits), np.arange(1 << bits), side="right") if asks else []
+                start = 0
+                for block, end in enumerate(ends):
+                    if end > start:
+                        rows.append((kind, block, chunk, int(end - start), pack(_planes(np.diff(u[start:end], prepend=np.uint64(0))))))
+                    start = end
+            if not asks:
+                rows.append((0, 0, chunk, len(held), pack(b"".join(_planes(x) for x in places))))
+            return _asked_rows(rows)
+
+        for batch in batches:
+            if chunk < 0 and batch.num_rows:
+                chunk = batch.column(2)[0].as_py() << 40
+            for text in batch.column(1).to_pylist():
+                held.append(token_hashes(text))
+                size += len(held[-1])
+                if size >= _CHUNK:
+                    yield flush()
+                    chunk, size = chunk + len(held), 0
+                    held.clear()
+        if held:
+            yield flush()
+
+    return run
 
-def _typical_column(c: str):
-    """:data:`TYPICAL` of a count's level, in SQL."""
-    q = F.least(F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / float(np.log(BASE)) + 1e-9) + 1, F.lit(LEVELS)).cast("int")
-    return F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.element_at(F.array(*(F.lit(float(x)) for x in TYPICAL)), q + 1))
+
+def _plain(raw: np.ndarray, dtype: type) -> np.ndarray:
+    """Undo :func:`_planes`."""
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+
+
+def _answered(bits: int):
+    """Levels of what is asked of a block; rows come sorted by kind and block, each block's filter (chunk -1) first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        at, own = None, None
+        for batch in batches:
+            rows = []
+            for kind, block, chunk, n, blob in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if chunk < 0:
+                    at, own = (kind, block), Filter(bits, [(block, blob)])
+                    continue
+                h = np.cumsum(_plain(np.frombuffer(unpack(blob), np.uint8), np.uint64), dtype=np.uint64)
+                found = own.levels(h) if at == (kind, block) else np.zeros(n, np.int64)
+                rows.append((kind, block, chunk, n, pack(found.astype(np.uint8).tobytes())))
+            yield _asked_rows(rows)
+
+    return run
+
+
+def _put_together(model: Model):
+    """Scores of a chunk's texts; rows come sorted by chunk, kind and block, so that the levels are in the order of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, texts, places, levels = None, 0, b"", {1: [], 2: []}
+
+        def done() -> pa.RecordBatch:
+            raw = np.frombuffer(unpack(places), np.uint8)
+            lengths = _plain(raw[: 4 * texts], np.uint32).astype(np.int64)
+            total = int(lengths.sum())
+            backs = (_plain(raw[4 * (texts + k * total) : 4 * (texts + (k + 1) * total)], np.uint32) for k in (0, 1))
+            c, both = (TYPICAL[np.frombuffer(b"".join(levels[kind]), np.uint8)][back] for kind, back in zip((1, 2), backs))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + texts)), pa.array(model.scores(c, both, lengths))], ["row", "asked"])
+
+        for batch in batches:
+            for kind, chunk, n, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if chunk != at:
+                    if at is not None:
+                        yield done()
+                    at, levels = chunk, {1: [], 2: []}
+                if kind == 0:
+                    texts, places = n, blob
+                else:
+                    levels[kind].append(unpack(blob))
+        if at is not None:
+            yield done()
+
+    return run
 
 
-def _joined_scores(rows: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """The same scores from joins with the quantised counts, for a filter beyond the bound."""
-    unigrams = staged(counts.where("kind = 1").select("n", "blob").mapInArrow(_rows, "h long, c long"), "unigrams")
-    pairs = staged(counts.where("kind = 2").select("n", "blob").mapInArrow(_rows, "h long, c long"), "bigrams")
-    p = rows.mapInArrow(_positions, "row long, before long, word long, pair long, n long")
-    for name, table in (("before", unigrams), ("word", unigrams), ("pair", pairs)):
-        p = p.join(table.select(F.col("h").alias(name), F.col("c").alias("c_" + name)), name, "left")
-    prob = (_typical_column("c_pair") + model.prior * (_typical_column("c_word") + 1) / model.size) / (_typical_column("c_before") + model.prior)
-    return p.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.least(prob, F.lit(1.0)))).alias("joined"))
+def _asked_scores(rows: DataFrame, merged: DataFrame, model: Model, bits: int, partitions: int) -> DataFrame:
+    """The same scores with the filter's blocks left distributed, for a filter beyond the bound."""
+    # within a union a task's number is not that of the table's own partition
+    rows = rows.withColumn("part", F.spark_partition_id())
+    blocks = merged.select("kind", "block", F.lit(-1).cast("long").alias("chunk"), "n", F.col("filter").alias("blob"))
+    asks = blocks.union(rows.mapInArrow(_asked(bits, True), _ASKED)).repartition(2 * partitions, "kind", "block").sortWithinPartitions("kind", "block", "chunk")
+    answers = asks.mapInArrow(_answered(bits), _ASKED).union(rows.mapInArrow(_asked(bits, False), _ASKED))
+    dealt = answers.repartition(2 * partitions, "chunk").sortWithinPartitions("chunk", "kind", "block")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return dealt.mapInArrow(_put_together(Model(model.tokens, model.types, none, None, model.prior)), "row long, asked double")
 
 
 def lm_scores(
@@ -333,7 +432,8 @@ def lm_scores(
     Gives ``doc_id, n_tokens, n_known, train_tokens, base_score, score``: tokens
     are words and an end; ``base_score`` is the log10 probability under add-one
     unigrams, from exact counts, and ``score`` that under the bigram model.
-    ``max_filter_mb`` bounds what is broadcast of the filter and
+    ``max_filter_mb`` bounds a filter that is broadcast (a larger one gives the
+    same scores from where it lies) and
     ``common_words`` the exact counts beside it; the counts of other words are
     joined.
 
@@ -383,9 +483,8 @@ def lm_scores(
     out = scored.drop("rare", "times").join(rest, "row", "left")
     score = F.col("score")
     if filters is None:
-        counted = sent.repartition(2 * partitions, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_merge((1, 2)), schema).drop("filter")
-        out = out.join(_joined_scores(rows, staged(counted, "counts"), model), "row", "left")
-        score = F.coalesce("joined", F.lit(0.0))
+        out = out.join(_asked_scores(rows, merged, model, bits, partitions), "row", "left")
+        score = F.col("asked")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(model.size))
     return out.select(
         "doc_id",

@@ -218,6 +218,14 @@ def test_language_model(spark, docs, nothing):
     assert untrained.train_tokens == 0 and untrained.base_score == 0
 
 
+def test_the_filter_answers_alike_broadcast_or_not(spark):
+    rnd = random.Random(12)
+    df = table(spark, [(i, " ".join(f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(rnd.randint(0, 200)))) for i in range(300)] + AWKWARD).repartition(3, "doc_id")
+    training = df.where("doc_id % 2 = 0")
+    one, two = ([(r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_scoring.lm_scores(df, training, max_filter_mb=m).collect()] for m in (256, 0))
+    assert Counter(one) == Counter(two)
+
+
 def test_pii_spans(spark, docs, nothing):
     texts = ["mail a.b@c.de or 1.2.3.4, not 1.2.3.400", "card 4111 1111 1111 1111 phone +1 (555) 010-9999", None, "", "é +49 30 1234567"]
     df = table(spark, list(enumerate(texts)) + [(1, texts[1]), (None, texts[0])])
