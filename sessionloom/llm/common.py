@@ -3,7 +3,8 @@
 Everything the operators keep between jobs goes under the folder that
 ``spark.checkpoint.dir`` names (or the SparkContext's checkpoint folder), the
 one place that the driver and all executors share.  Only where neither is set
-(plain local tests) is a temporary folder made and set.
+and the master is local (plain tests) is a temporary folder made and set; a
+cluster without such a folder is an error.
 """
 
 from __future__ import annotations
@@ -63,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder URI that the driver and every executor can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sessionloom-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/") + "/sessionloom"
@@ -84,7 +87,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sessionloom_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a staged table all of whose readers have been written themselves."""
+    delete(table.sparkSession, table._sessionloom_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

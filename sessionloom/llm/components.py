@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop, staged
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = staged(small, "links")
+        before, edges = edges, staged(small, "links")
+        drop(before)
         now = _print(edges)
         if now == seen:
             break

@@ -9,14 +9,17 @@ only one document has can't make any pair meet, and is dropped before pairs of
 composites are formed.
 
 Documents with equal shingle sets are one class from the start.  In a bucket
-each class is compared with the bucket's least class first; the links found
-join classes into components.  Where a bucket still holds several components,
-each member's shingles that any other such member has bound what it can share
-with anyone (an edited copy's own shingles match nothing).  What the bounds leave
-is compared in full by tiles of sets, members outside the largest component of
-those that share buckets against all of them, so a large group of near copies
-costs about one comparison a member.  Every link is confirmed on full
-shingle sets.
+each class is compared with the bucket's least class, its hub, first; the links
+found join classes into components.  Buckets that still hold several components are
+then known by their hubs alone: two classes that share such a bucket share its
+hub, so what has a hub in common is a superset of what shares a bucket, with one
+row for a hub and class in place of one for each of the hundreds of tables in
+which close copies meet.  Each member's shingles that any other such member has
+bound what it can share with anyone (an edited copy's own shingles match
+nothing).  What the bounds leave is compared in full by tiles of sets, members
+outside the largest component of those that hubs tie together against all of
+them, so a large group of near copies costs about one comparison a member.
+Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_index, pick, prepare, row_columns, staged, with_row
+from .common import column_index, drop, pick, prepare, row_columns, staged, with_row
 from .components import components
 from .words import mix, shingles
 
@@ -105,8 +108,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """``key, id``: the tables' buckets that hold more than one class."""
+def _buckets(reps: DataFrame) -> DataFrame:
+    """``key, a, id``: the tables' buckets that hold several classes ``id``, each with its least one, the hub ``a``."""
     single = reps.select("id", F.posexplode("halves").alias("k", "h"))
     shared = single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     left = single.join(shared, "h").groupBy("id").agg(
@@ -114,8 +117,10 @@ def _candidates(reps: DataFrame) -> DataFrame:
     )
     pairs = F.flatten(F.transform("first", lambda a: F.transform(F.col("second"), lambda b: F.xxhash64(a, b))))
     keys = staged(left.select("id", F.explode(pairs).alias("key")), "buckets")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").select("key", "least")
-    return staged(keys.join(several, "key"), "shared-buckets")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").select("key", "a")
+    out = staged(keys.join(several, "key").select("key", "a", "id"), "shared-buckets")
+    drop(keys)
+    return out
 
 
 def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -131,17 +136,16 @@ def _full(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't yet in one component."""
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the components ``ca`` and ``cb`` of their ends."""
     x, y = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    return pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, id, c``: members of buckets that hold several components."""
-    member = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return staged(member.join(mixed, "key"), "mixed-buckets")
+def _mixed(members: DataFrame, by: str) -> DataFrame:
+    """``a, id, c``: the members ``id`` of what holds, ``by`` its column, several components ``c``."""
+    mixed = members.groupBy(by).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(by)
+    return staged(members.join(mixed, by).select("a", "id", "c").distinct(), "mixed")
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +169,14 @@ def _shared(sets: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _within_families(member: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across components among members that share buckets, directly or through others.
+    """Links across components among members that share hubs, directly or through others.
 
     A family is dealt out as tiles of about :data:`TILE` sets: those outside its
     largest component against all.  A task holds two tiles; sets are sent once
     for each tile on the other side, and no pairs are formed outside a tile.
     """
-    least = member.groupBy("key").agg(F.min("id").alias("a"))
-    ties = member.select("key", "id").join(least, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    # a hub's own number may be that of a member: the two are one node, which only makes a family larger
+    ties = member.where("id <> a").select("a", F.col("id").alias("b"))
     families = staged(components(ties), "families")
     own = member.groupBy("id").agg(F.min("c").alias("c")).join(families.select("id", F.col("component").alias("f")), "id")
     own = staged(own, "family-members")
@@ -252,9 +256,10 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     similarity of 0.75 or more; ``component_id`` is the least id reachable.
 
     A null or empty text has no shingles and is linked with nothing, not even
-    with another such text.  Rows that repeat an id are one document.  A row
-    with a null id can't be named by a link: its component is null and it is
-    kept.  No rows give an empty result.
+    with another such text.  Rows that repeat an id are one document: whatever
+    any of its texts is linked with is one component, which all its rows have.
+    A row with a null id can't be named by a link: its component is null and it
+    is kept.  No rows give an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -266,37 +271,50 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reps = named.join(classes, (named.digest == classes.digest) & (named.doc_id == classes.id)).select("id", "n_shingles", "halves", "sketch")
     reps = staged(reps.dropDuplicates(["id", "sketch"]), "representatives")
 
-    buckets = _candidates(reps)
-    stars = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = staged(_sketched(stars, reps), "stars")
+    buckets = _buckets(reps)
+    stars = staged(_sketched(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), reps), "stars")
     met = buckets.select("id").distinct()
     sets = staged(rows.join(met, rows.doc_id == met.id, "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id", "s"]), "sets")
     # the likeliest link of each class first, then those that still join two components
     likely = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = staged(_full(likely, sets), "links-likely")
     labels = staged(components(links), "labels")
-    more = _across(stars, labels).join(likely, ["a", "b"], "left_anti")
+    more = _labelled(stars, labels).where("ca <> cb").join(likely, ["a", "b"], "left_anti")
     links = links.union(staged(_full(more, sets), "links-stars"))
     labels = staged(components(links), "labels")
     # what else shares a bucket across components
-    member = _mixed(buckets, labels)
+    named_components = labels.select("id", F.col("component").alias("c"))
+    member = _mixed(buckets.join(named_components, "id", "left").withColumn("c", F.coalesce("c", "id")), "key")
+    drop(buckets)
     shared = _shared(sets.join(member.select("id").distinct(), "id", "left_semi"), reps)
-    member = staged(member.join(shared, "id"), "mixed")
+    member = _mixed(member.join(shared, "id", "left_semi"), "a")
     found = staged(_within_families(member, sets), "links-rest")
     if not found.isEmpty():
         labels = staged(components(links.union(found)), "labels")
+    for table in (sets, stars, member, reps):
+        drop(table)
 
     by_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    # an id with several texts is one document: it takes the least component of them
-    several = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
-    every = several.select("doc_id", "n_shingles", "component").union(empty)
+    every = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").drop("digest")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    # an id with several texts is one document: their components are one
+    repeated = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("component").alias("k"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(repeated.where("lo <> hi or (k > 0 and k < n)").select("doc_id", "lo"), "repeated")
+    if not repeated.isEmpty():
+        every = staged(every.join(repeated, "doc_id", "left"), "every")
+        ties = every.where("component <> lo").select(F.col("lo").alias("a"), F.col("component").alias("b"))
+        merged = staged(components(ties), "merged").select(F.col("id").alias("of"), F.col("component").alias("least"))
+        own = F.coalesce("component", "lo", "doc_id")
+        every = every.withColumn("of", own).join(merged, "of", "left").select("doc_id", "n_shingles", F.coalesce("least", "of").alias("component"))
     return every.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one document of each component (that with the least id)."""
+    """All columns of one document of each component (that with the least id).
+
+    Rows without words, and rows with a null id, stay; of rows that repeat the
+    least id all stay; an empty table stays empty.
+    """
     kept = duplicate_components(docs, id_col, text_col)
     out = staged(kept.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
     column_index(docs, id_col)
