@@ -7,7 +7,9 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: RFC 3339, with its fraction and zone; whether the day exists is for the parser to say.
+#: RFC 3339 as manifests have it, with capital letters alone; whether the day exists is for the parser to say.
+STRICT3339 = r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
+#: RFC 3339 as transcripts may have it.
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
 
@@ -36,7 +38,7 @@ def valid_id(c: Column | str) -> Column:
 
 
 def valid_timestamp(c: Column | str) -> Column:
-    return instant(c).isNotNull()
+    return instant(F.when(_col(c).rlike(STRICT3339), _col(c))).isNotNull()
 
 
 def safe_relative(c: Column | str) -> Column:

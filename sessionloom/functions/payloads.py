@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from typing import Any
 
-#: Fields that differ between runs of the same work.
-VOLATILE = frozenset("id timestamp timestamp_ms call_id tool_call_id toolCallId tool_use_id session_id conversation_id generation_id".split())
+#: Fields of a result that differ between runs of the same work.
+VOLATILE = frozenset("id call_id tool_use_id toolCallId session_id conversation_id generation_id timestamp timestamp_ms parentId".split())
+#: Fields of a call whose strings say nothing about what it does.
+UNSEARCHED = frozenset("id call_id toolCallId tool_use_id timestamp type role".split())
 
 
 def loads(raw: bytes | str) -> Any:
@@ -32,18 +34,24 @@ def string(value: Any, *keys: str) -> str | None:
     return None
 
 
-def tool_parts(payload: Any) -> tuple[str, Any] | None:
+def _first_present(value: dict, *keys: str) -> Any:
+    """What the first of the fields that is there holds, be it null; null if none is."""
+    return next((value[k] for k in keys if k in value), None)
+
+
+def tool_parts(payload: Any) -> tuple[Any, Any] | None:
     """Name and arguments of a tool call, whichever of the known shapes it has."""
-    name = string(payload, "name", "tool_name")
-    if name is not None:
-        arguments = next((payload[k] for k in ("arguments", "input", "tool_input") if k in payload), None)
+    if not isinstance(payload, dict):
+        return None
+    if "name" in payload or "tool_name" in payload:
+        arguments = _first_present(payload, "arguments", "input", "tool_input")
         if isinstance(arguments, str):
             try:
                 arguments = loads(arguments)
             except ValueError:
                 pass
-        return name, arguments
-    call = payload.get("tool_call") if isinstance(payload, dict) else None
+        return _first_present(payload, "name", "tool_name"), arguments
+    call = payload.get("tool_call")
     if isinstance(call, dict) and len(call) == 1:
         ((name, body),) = call.items()
         return name, body.get("args") if isinstance(body, dict) else None
@@ -54,19 +62,23 @@ def result_content(payload: Any) -> Any:
     """What a tool gave back: the first field present, even if it holds null."""
     if not isinstance(payload, dict):
         return None
-    for key in ("output", "content", "result", "tool_output", "error_message"):
-        if key in payload:
-            return payload[key]
+    fields = ("output", "content", "result", "tool_output", "error_message")
+    if any(k in payload for k in fields):
+        return _first_present(payload, *fields)
     call = payload.get("tool_call")
-    return {k: v.get("result") for k, v in call.items() if isinstance(v, dict)} if isinstance(call, dict) else None
+    return {k: v["result"] for k, v in call.items() if isinstance(v, dict) and "result" in v} if isinstance(call, dict) else None
 
 
-def action_key(kind: str, role: str | None, text: str | None, payload_json: str | None) -> str:
-    """Canonical JSON of what a step does, for equality between runs."""
+def _read(payload_json: str | None) -> Any:
     try:
-        payload = loads(payload_json or "null")
+        return loads(payload_json or "null")
     except ValueError:
-        payload = payload_json
+        return None
+
+
+def action_key(kind: str, role: str | None, text: str | None, payload_json: str | None) -> str:
+    """Canonical JSON of what a step does, for equality between runs."""
+    payload = _read(payload_json)
     if kind == "tool_call":
         parts = tool_parts(payload)
         return dumps({"kind": kind, "payload": payload, "text": text} if parts is None else {"kind": kind, "name": parts[0], "arguments": parts[1]})
@@ -74,10 +86,32 @@ def action_key(kind: str, role: str | None, text: str | None, payload_json: str
     return dumps(own if text is not None else {**own, "payload": payload})
 
 
-def without_volatile(value: Any) -> Any:
-    if isinstance(value, dict):
-        return {k: without_volatile(v) for k, v in value.items() if k not in VOLATILE}
-    return [without_volatile(x) for x in value] if isinstance(value, list) else value
+def evidence_key(action: str, results: list[tuple[str | None, str | None]]) -> str:
+    """Canonical JSON of a step's action and of what its results (text, payload) say, less what differs between runs anyway."""
+    said = []
+    for text, payload_json in results:
+        payload = _read(payload_json)
+        if isinstance(payload, dict):
+            payload = {k: v for k, v in payload.items() if k not in VOLATILE}
+        said.append({"text": text, "payload": payload})
+    return dumps({"action": action, "results": said})
+
+
+def strings(value: Any) -> list[str]:
+    """Every string in a JSON value, but for those under fields that only name or place it."""
+    if isinstance(value, str):
+        return [value]
+    inner = value if isinstance(value, list) else [v for k, v in value.items() if k not in UNSEARCHED] if isinstance(value, dict) else []
+    return [s for x in inner for s in strings(x)]
+
+
+def searchable(events: list[tuple[str, str | None, str | None]]) -> str:
+    """What a step's events (kind, text, payload) can be found by: texts, and the strings of calls."""
+    parts = []
+    for kind, text, payload_json in events:
+        parts += [text] if text is not None else []
+        parts += strings(_read(payload_json)) if kind == "tool_call" else []
+    return "\n".join(parts)
 
 
 def judgment(raw: str) -> tuple[int, str]:

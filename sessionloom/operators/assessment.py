@@ -28,10 +28,6 @@ def best_variant(checks: DataFrame, group: str = "pair") -> DataFrame:
     return checks.groupBy(group).agg(F.min_by("variant", rank).alias("variant"), F.bool_or("passed").alias("passed"))
 
 
-def change_counts(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("pair", "change").agg(F.count("*").alias("n"))
-
-
 def current_labels(labels: DataFrame) -> DataFrame:
     """The last revision of each key; a null step (the whole task) is a key too."""
     last = F.row_number().over(Window.partitionBy(*LABEL_KEY).orderBy(F.desc("seq")))
@@ -74,3 +70,44 @@ def work_coverage(required: DataFrame) -> DataFrame:
 def mean_rewards(scores: DataFrame) -> DataFrame:
     """Mean reward per trajectory and dimension (null: overall)."""
     return scores.groupBy("pair", "dimension").agg(F.avg("reward").alias("mean_reward"))
+
+
+def calibration_pairs(labels: DataFrame, scores: DataFrame) -> DataFrame:
+    """``judge, predicted, human`` of labelled steps (``evaluation, candidate_step, human_reward``, steps from 1).
+
+    ``scores`` are stored scores of steps with their ``evaluation``.  A label of
+    a step that nobody judged, two of one step, and rewards other than 0 and 1
+    are errors.
+    """
+    wrong = labels.where(~F.coalesce(F.col("human_reward").isin(0, 1) & (F.col("candidate_step") > 0), F.lit(False)))
+    if not wrong.isEmpty():
+        raise ValueError("a label has a human_reward of 0 or 1 and a candidate_step from 1 on")
+    judged = scores.where("part = 'quality' and error is null").select("evaluation", "plan_id", "subject", F.col("reward").alias("predicted"), F.col("model").alias("judge"))
+    own = labels.withColumn("subject", F.concat(F.lit("step:"), F.col("candidate_step").cast("string"))).join(judged, ["evaluation", "subject"], "left")
+    counts = own.agg(F.count("*").alias("n"), F.count("predicted").alias("found"), F.countDistinct("plan_id", "subject").alias("steps")).first()
+    if not counts["n"]:
+        raise ValueError("there are no labels")
+    if counts["found"] < counts["n"]:
+        raise ValueError("a labelled step wasn't judged")
+    if counts["steps"] < counts["n"]:
+        raise ValueError("a step is labelled twice")
+    return own.select("judge", "predicted", F.col("human_reward").alias("human"))
+
+
+def milestone_states(declared: DataFrame, scores: DataFrame) -> DataFrame:
+    """``pair, subject, state`` of every declared milestone: reached, failed, or unjudged where no score is there."""
+    own = declared.join(scores.select("pair", "subject", "reward"), ["pair", "subject"], "left")
+    state = F.when(F.col("reward").isNull(), "unjudged").when(F.col("reward") == 1, "reached").otherwise("failed")
+    return own.select("pair", "subject", state.alias("state"))
+
+
+def dimension_means(steps: DataFrame, scores: DataFrame, dimensions) -> DataFrame:
+    """``pair, dimension, mean, judged`` over the steps (``pair, step, head``) that a dimension applies to; no row where it applies to none."""
+    from .policy import eligible
+
+    out = None
+    for name in dimensions:
+        own = steps.where(eligible(name, F.col("head"))).join(scores.where(F.col("dimension") == name).drop("dimension"), ["pair", "step"])
+        rows = own.groupBy("pair").agg(F.avg("reward").alias("mean"), F.count("*").alias("judged")).select("pair", F.lit(name).alias("dimension"), "mean", "judged")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -12,6 +12,8 @@ MAX_INVENTORY = 10000
 MAX_PATH = 1024
 MAX_SESSION_ID = 1024
 MAX_NUMBER = (1 << 53) - 1
+#: Remotes are a short list in a configuration.
+MAX_REMOTES = 100
 
 
 def active_manifests(manifests: DataFrame) -> DataFrame:
@@ -20,9 +22,16 @@ def active_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.join(gone, ["collector_id", "batch_id"], "left_anti")
 
 
+def _few(remotes: DataFrame) -> DataFrame:
+    """A short list, checked to be one, that may meet every batch."""
+    if remotes.limit(MAX_REMOTES + 1).count() > MAX_REMOTES:
+        raise ValueError(f"there are more than {MAX_REMOTES} remotes")
+    return F.broadcast(remotes.distinct())
+
+
 def upload_backlog(batches: DataFrame, remotes: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Per remote (a short list): batches and bytes that it doesn't have yet."""
-    open_ = batches.select("batch_id", "bytes").crossJoin(F.broadcast(remotes)).join(uploaded, ["remote", "batch_id"], "left_anti")
+    open_ = batches.select("batch_id", "bytes").crossJoin(_few(remotes)).join(uploaded, ["remote", "batch_id"], "left_anti")
     return open_.groupBy("remote").agg(F.count("*").alias("backlog"), F.sum("bytes").alias("bytes"))
 
 
@@ -68,13 +77,13 @@ def manifest_problems() -> Column:
 
     replaces = F.coalesce("replaces", F.array().cast("array<string>"))
     rules = {
-        "unsupported schema": F.col("schema_version") == SCHEMA_VERSION,
-        "invalid identity": valid_id("collector_id") & valid_id("batch_id"),
-        "invalid created_at": valid_timestamp("created_at"),
-        "invalid inventory": F.size("files").between(1, MAX_INVENTORY) & F.forall("files", file_ok) & (F.size(F.array_distinct(paths)) == F.size(paths)),
-        "missing dataset": F.exists(paths, lambda p: p.startswith("records/")) & F.exists(paths, lambda p: p.startswith("events/")),
-        "invalid sessions": (F.size("sessions") <= MAX_INVENTORY) & F.forall("sessions", session_ok),
-        "invalid replaced batch": (F.size(replaces) <= MAX_INVENTORY) & F.forall(replaces, lambda r: valid_id(r) & (r != F.col("batch_id"))) & (F.size(F.array_distinct(replaces)) == F.size(replaces)),
+        "another schema version": F.col("schema_version") == SCHEMA_VERSION,
+        "ids that may not be paths": valid_id("collector_id") & valid_id("batch_id"),
+        "no time of creation": valid_timestamp("created_at"),
+        "an inventory out of order": F.size("files").between(1, MAX_INVENTORY) & F.forall("files", file_ok) & (F.size(F.array_distinct(paths)) == F.size(paths)),
+        "a table without files": F.exists(paths, lambda p: p.startswith("records/")) & F.exists(paths, lambda p: p.startswith("events/")),
+        "sessions out of bounds": (F.size("sessions") <= MAX_INVENTORY) & F.forall("sessions", session_ok),
+        "a list of replaced batches out of order": (F.size(replaces) <= MAX_INVENTORY) & F.forall(replaces, lambda r: valid_id(r) & (r != F.col("batch_id"))) & (F.size(F.array_distinct(replaces)) == F.size(replaces)),
     }
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(what)) for what, ok in rules.items())))
 
@@ -84,13 +93,61 @@ def validate_manifests(manifests: DataFrame) -> DataFrame:
     return manifests.select("batch_id", F.array_join(problems, "; ").alias("problems"), (F.size(problems) == 0).alias("valid"))
 
 
+def inventory_problems(have: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Files whose size or checksum isn't what the inventory says, missing ones and ones not listed; both sides are ``path, size, sha256``."""
+    own = have.select("path", F.col("size").alias("have_size"), F.col("sha256").alias("have_sha"))
+    both = inventory.join(own, "path", "full_outer")
+    state = F.when(F.col("have_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when((F.col("size") != F.col("have_size")) | (F.col("sha256") != F.col("have_sha")), "changed")
+    return both.select("path", state.alias("problem")).where("problem is not null")
+
+
 def verify_inventory(files: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Files whose size or checksum isn't what the inventory says, missing ones and ones not listed.
+    """:func:`inventory_problems` of Spark's ``binaryFile`` rows with a relative ``path``."""
+    return inventory_problems(files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")), inventory)
+
+
+def manifest_bytes(manifests: DataFrame) -> DataFrame:
+    """``bytes`` of each batch: the sum of its files' sizes."""
+    return manifests.withColumn("bytes", F.aggregate("files", F.lit(0).cast("long"), lambda total, f: total + f["size"]))
+
 
-    ``files`` is Spark's ``binaryFile`` with a relative ``path``, ``inventory``
-    ``path, size, sha256``.
+def due_for_deletion(batches: DataFrame, replaced: DataFrame, before: Column) -> DataFrame:
+    """Batches (``batch_id`` and more) replaced at or before a time: ``replaced`` is ``batch_id, replaced_at``."""
+    return batches.join(replaced.where(F.col("replaced_at") <= before).select("batch_id").distinct(), "batch_id")
+
+
+def session_batches(manifests: DataFrame) -> DataFrame:
+    """``harness, session_id, batches``: which batches hold each session, in order."""
+    own = manifests.select("batch_id", F.explode("sessions").alias("s")).select("s.harness", "s.session_id", "batch_id")
+    return own.groupBy("harness", "session_id").agg(F.array_sort(F.collect_set("batch_id")).alias("batches"))
+
+
+def replaced_union(manifests: DataFrame, members: Column) -> DataFrame:
+    """``replaces``: the members of a merge and all that they replaced, each once and in order."""
+    own = manifests.where(members).select(F.explode(F.concat(F.array("batch_id"), "replaces")).alias("b"))
+    return own.agg(F.array_sort(F.collect_set("b")).alias("replaces"))
+
+
+def status(sources: DataFrame, seen: DataFrame, pending: DataFrame, batches: DataFrame, uploads: DataFrame, remotes: DataFrame, by: str = "collector_id") -> DataFrame:
+    """A row for each collector: what it has seen, what waits, what is stored and what each remote lacks.
+
+    ``sources`` has a row for a file, ``seen`` one for a record with its
+    ``status``, ``pending`` one with ``bytes``, ``batches`` the active ones,
+    ``uploads`` ``remote, batch_id, completed_at``.
     """
-    have = files.select("path", F.col("length").alias("have_size"), F.sha2("content", 256).alias("have_sha"))
-    both = inventory.join(have, "path", "full_outer")
-    state = F.when(F.col("have_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when((F.col("size") != F.col("have_size")) | (F.col("sha256") != F.col("have_sha")), "changed")
-    return both.select("path", state.alias("problem")).where("problem is not null")
+    counted = sources.groupBy(by).agg(F.count("*").alias("sources"))
+    kinds = seen.groupBy(by).agg(F.count("*").alias("captured_records"), F.count_if(F.col("status") == "malformed").alias("parse_failures"), F.count_if(F.col("status") == "unknown").alias("unknown_records"))
+    waiting = pending_size(pending, by)
+    stored = batches.groupBy(by).agg(F.count("*").alias("batches"))
+    lacking = _few(remotes).crossJoin(batches.select(by, "batch_id")).join(uploads.select("remote", "batch_id"), ["remote", "batch_id"], "left_anti").groupBy(by).agg(F.count("*").alias("pending_uploads"))
+    newest = uploads.join(batches.select(by, "batch_id"), "batch_id").groupBy(by).agg(F.max("completed_at").alias("last_upload"))
+    out = counted
+    for t in (kinds, waiting, stored, lacking, newest):
+        out = out.join(t, by, "left")
+    numbers = ("captured_records", "parse_failures", "unknown_records", "pending_records", "pending_bytes", "batches", "pending_uploads")
+    return out.select(by, "sources", *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), "last_upload")
+
+
+def pending_size(pending: DataFrame, *by: str) -> DataFrame:
+    """``pending_records, pending_bytes``; zeros for an empty queue."""
+    return pending.groupBy(*by).agg(F.count("*").alias("pending_records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("pending_bytes"))

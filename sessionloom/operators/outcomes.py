@@ -19,7 +19,7 @@ def tool_name(payload_json):
             parts = payloads.tool_parts(payloads.loads(raw))
         except (TypeError, ValueError):
             return None
-        return parts[0] if parts else None
+        return parts[0] if parts and isinstance(parts[0], str) else None
 
     return payload_json.map(one)
 
@@ -50,6 +50,29 @@ def action_keys(kind, role, text, payload_json):
 KEY = ("harness", "session_id")
 
 
+def file_digest(path: str) -> tuple[int, str] | None:
+    """Size and hex SHA-256 of a file, read in pieces; None if it isn't there."""
+    import hashlib
+
+    digest, size = hashlib.sha256(), 0
+    try:
+        with open(path, "rb") as f:
+            for block in iter(lambda: f.read(1 << 20), b""):
+                digest.update(block)
+                size += len(block)
+    except FileNotFoundError:
+        return None
+    return size, digest.hexdigest()
+
+
+def all_of(*results: DataFrame) -> DataFrame:
+    """``passed`` of each session: all of the checks (each ``harness, session_id, passed``); no session without one."""
+    both = results[0].select(*KEY, "passed")
+    for r in results[1:]:
+        both = both.unionByName(r.select(*KEY, "passed"))
+    return both.groupBy(*KEY).agg(F.bool_and("passed").alias("passed"))
+
+
 def final_equals(finals: DataFrame, expected: str) -> DataFrame:
     """``finals`` has a ``final_output`` for each session, null if it has none."""
     return finals.select(*KEY, F.coalesce(F.col("final_output") == F.lit(expected), F.lit(False)).alias("passed"))

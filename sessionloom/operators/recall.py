@@ -51,5 +51,40 @@ def read_session(events: DataFrame, session: str, text: str = "", harness: str |
     return _answer(chosen, Q.ORDER, offset, limit)
 
 
-def get_event(events: DataFrame, event_id: str, order: str = "batch_ord") -> dict:
+def get_event(events: DataFrame, event_id: str, order: str | None = None) -> dict:
+    """The first event of that id: in batch order where that is known."""
+    order = order or ("batch_ord" if "batch_ord" in events.columns else "source_id")
     return _answer(Q.find_event(events, event_id, order), ("id",), 0, 1)
+
+
+#: What each tool does, and which arguments it needs.
+TOOLS = {
+    "search_sessions": ("Find archived sessions by text, harness or id.", []),
+    "read_session": ("Read the events of one archived session; name the harness if several have the id.", ["session"]),
+    "get_event": ("Get one archived event by its id.", ["event_id"]),
+}
+_ARGUMENTS = {"text": str, "harness": str, "session": str, "event_id": str, "offset": int, "limit": int}
+
+
+def tool_call(events: DataFrame, name: str, arguments: dict) -> dict:
+    """One tool by name; unknown tools and arguments, and ones of a wrong type, are errors."""
+    if name not in TOOLS:
+        raise ValueError(f"no tool is called {name!r}")
+    if not isinstance(arguments, dict) or set(arguments) - set(_ARGUMENTS):
+        raise ValueError(f"arguments are {', '.join(_ARGUMENTS)}")
+    own = {k: v for k, v in arguments.items() if v is not None}
+    if any(type(v) is not _ARGUMENTS[k] for k, v in own.items()):
+        raise ValueError("an argument has a wrong type")
+    missing = [k for k in TOOLS[name][1] if k not in own]
+    if missing:
+        raise ValueError(f"{name} needs {', '.join(missing)}")
+    page = {k: own[k] for k in ("offset", "limit") if k in own}
+    chosen = {k: own[k] for k in ("text", "harness", "session") if k in own}
+    if name == "search_sessions":
+        out = search_sessions(events, **chosen, **page)
+    elif name == "read_session":
+        out = read_session(events, **chosen, **page)
+    else:
+        where = Q.Query(harness=own.get("harness"), session=own.get("session"))
+        out = get_event(events.where(where.on_events()), own["event_id"])
+    return out | {"source": "archived events; what waits to be stored isn't among them"}

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CHRONOLOGY
 from .query import SESSION
 
-#: Kinds of events that begin a step of their own.
-HEADS = ("tool_call",)
-
-
 def chronology(events: DataFrame) -> DataFrame:
     """``at``: each event's place in its session.
 
@@ -44,33 +40,63 @@ def steps(events: DataFrame) -> DataFrame:
     return numbered.withColumn("step", F.max(F.when(F.col("is_head"), F.col("_own"))).over(by_call)).drop("_own")
 
 
-def final_output(events: DataFrame) -> DataFrame:
-    """The texts of the last assistant message's record, if nothing came after it.  Needs ``at``."""
+def outputs(events: DataFrame) -> DataFrame:
+    """``final_output`` and ``final_output_source`` of every session.  Needs ``at``.
+
+    The output is the texts of the last assistant message's record, if nothing
+    was said or done after it; it is null where that message has no text.
+    """
     heard = events.where(F.col("kind").isin("message", "tool_call", "tool_result"))
     last = heard.groupBy(*SESSION).agg(F.max_by(F.struct("kind", "role", "record_id"), "at").alias("last"))
     said = last.where((F.col("last.kind") == "message") & (F.col("last.role") == "assistant")).select(*SESSION, F.col("last.record_id").alias("record_id"))
     texts = events.where((F.col("kind") == "message") & (F.col("role") == "assistant") & F.col("text").isNotNull()).join(said, [*SESSION, "record_id"])
     parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return texts.groupBy(*SESSION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("final_output"))
-
+    joined = texts.groupBy(*SESSION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("final_output"))
+    sources = said.select(*SESSION, F.lit("trailing_assistant_message").alias("final_output_source"))
+    every = events.select(*SESSION).distinct().join(sources, list(SESSION), "left").join(joined, list(SESSION), "left")
+    return every.select(*SESSION, "final_output", F.coalesce("final_output_source", F.lit("unavailable")).alias("final_output_source"))
 
-def ancestry(entries: DataFrame, leaves: DataFrame, depth: int = 10000) -> DataFrame:
-    """Every entry (``session_id, id, parent_id``) on the way from a leaf (``session_id, leaf``) to its root.
 
-    ``depth`` bounds the longest way; a cycle runs into it and is an error.
+def final_output(events: DataFrame) -> DataFrame:
+    """The sessions that have a final output, with it.  Needs ``at``."""
+    return outputs(events).where("final_output is not null").drop("final_output_source")
+
+
+def _way(parents: dict, leaf) -> list:
+    """Ids from a leaf to its root; a loop, or an entry that isn't there, is an error."""
+    way, at = [], leaf
+    seen = set()
+    while at is not None:
+        if at in seen:
+            raise ValueError(f"entries form a loop at {at!r}")
+        if at not in parents:
+            raise ValueError(f"the way from {leaf!r} leads to {at!r}, which isn't among the entries")
+        seen.add(at)
+        way.append(at)
+        at = parents[at]
+    return way
+
+
+def ancestry(entries: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Every entry (``session_id, id, parent_id``) on the way from a leaf (``session_id, leaf``) to its root, with its ``hops``.
+
+    A session's entries are one group (their ids alone, not what they hold), so
+    a way of any length takes one shuffle.  A loop, or a parent or leaf that
+    isn't there, is an error.
     """
-    spark = entries.sparkSession
-    entries.select("session_id", "id", "parent_id").createOrReplaceTempView("_entries")
-    leaves.select("session_id", "leaf").createOrReplaceTempView("_leaves")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE way(session_id, leaf, id, parent_id, hops) MAX RECURSION LEVEL {depth} AS (
-          SELECT e.session_id, l.leaf, e.id, e.parent_id, 0 FROM _entries e JOIN _leaves l ON e.session_id = l.session_id AND e.id = l.leaf
-          UNION ALL
-          SELECT w.session_id, w.leaf, e.id, e.parent_id, w.hops + 1 FROM way w JOIN _entries e ON e.session_id = w.session_id AND e.id = w.parent_id
-        ) SELECT session_id, leaf, id, hops FROM way
-        """
-    )
+    kinds = dict(entries.dtypes)
+
+    def walk(own: pa.Table, ends: pa.Table) -> pa.Table:
+        parents = dict(zip(own.column("id").to_pylist(), own.column("parent_id").to_pylist()))
+        rows = []
+        for session, leaf in zip(ends.column("session").to_pylist(), ends.column("leaf").to_pylist()):
+            rows += [(session, leaf, at, hops) for hops, at in enumerate(_way(parents, leaf))]
+        types = (ends.schema.field("session").type, own.schema.field("id").type, own.schema.field("id").type, pa.int32())
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["session_id", "leaf", "id", "hops"])
+
+    schema = f"session_id {kinds['session_id']}, leaf {kinds['id']}, id {kinds['id']}, hops int"
+    own = entries.where("id is not null").select("session_id", "id", "parent_id").groupBy("session_id")
+    return own.cogroup(leaves.select(F.col("session_id").alias("session"), F.col("leaf").cast(kinds["id"]).alias("leaf")).groupBy("session")).applyInArrow(walk, schema)
 
 
 def leaves_of(entries: DataFrame) -> DataFrame:
@@ -79,10 +105,41 @@ def leaves_of(entries: DataFrame) -> DataFrame:
     return entries.join(parents, ["session_id", "id"], "left_anti").select("session_id", F.col("id").alias("leaf"))
 
 
+def on_branch(events: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """Events of one branch of each session whose entries form a tree (``pi``), and all events of others.
+
+    ``leaves`` (``harness, session_id, leaf``) chooses; a session with one leaf
+    needs no choice, one with several is an error without it, and so are loops,
+    missing ancestors and a choice for another kind of session.  The tree leaves
+    out the header; entries without a parent that only describe the session stay.
+    """
+    trees = events.where("harness = 'pi'")
+    if leaves is None:
+        leaves = events.sparkSession.createDataFrame([], "harness string, session_id string, leaf string")
+    elif not leaves.join(trees.select(*SESSION).distinct(), list(SESSION), "left_anti").isEmpty():
+        raise ValueError("a leaf is chosen for a session without entries that form a tree")
+    header = F.coalesce(F.get_json_object("payload_json", "$.type") == "session", F.lit(False))
+
+    def choose(own: pa.Table, ends: pa.Table) -> pa.Table:
+        rows = list(zip(*(own.column(c).to_pylist() for c in ("id", "native_id", "parent_id", "kind", "header"))))
+        chosen = ends.column("leaf").to_pylist()
+        parents = {native: parent for _, native, parent, _, head in rows if native is not None and not head}
+        ends_ = sorted(set(parents) - set(parents.values()))
+        if parents and not ends_:
+            raise ValueError("entries form a loop")
+        if not chosen and len(ends_) > 1:
+            raise ValueError("a session has several branches; choose a leaf")
+        leaf = chosen[0] if chosen else ends_[0] if ends_ else None
+        way = set(_way(parents, leaf)) if leaf is not None else None
+        kept = [i for i, native, parent, kind, _ in rows if way is None or native in way or (kind == "metadata" and parent is None)]
+        return pa.table({"id": pa.array(kept, pa.string())})
+
+    own = trees.select("session_id", "id", "native_id", "parent_id", "kind", header.alias("header")).groupBy("session_id")
+    kept = own.cogroup(leaves.select(F.col("session_id").alias("session"), F.col("leaf").alias("leaf")).groupBy("session")).applyInArrow(choose, "id string")
+    return events.where("harness <> 'pi'").unionByName(trees.join(kept, "id", "left_semi").select(events.columns))
+
+
 def judge_prefix(events: DataFrame) -> DataFrame:
     """What a judge reads up to each event: how many events, and how many characters.  Needs ``at``."""
     upto = Window.partitionBy(*SESSION).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return events.select(*SESSION, "at", F.count("*").over(upto).alias("prefix_events"), F.sum(F.char_length(F.coalesce("text", F.lit("")))).over(upto).alias("prefix_chars"))
-
-
-__all__ = ["CHRONOLOGY", "HEADS", "ancestry", "chronology", "final_output", "judge_prefix", "leaves_of", "steps"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import EVENTS, RECORDS
 from . import normalize
+from .discover import matches_project
 
 _EVENT = "id:string,sub_index:bigint,native_id:string,parent_id:string,timestamp:string,kind:string,role:string,text:string,model:string,tool_call_id:string,payload_json:string"
 PARSED = (
@@ -25,16 +26,20 @@ _FIELDS = [
 _ROWS = 2000
 
 
-def _parse(harness: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in _FIELDS], [n for n, _ in _FIELDS])
+def packed(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in _FIELDS], [n for n, _ in _FIELDS])
+
 
+def _parse(harness: str, project: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, captured, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for path, captured, content, raw_input in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 source, rows = normalize.identify(harness, path, content), []
+                if source and not matches_project(source, path, project):
+                    continue
                 for position, raw in normalize.lines(content) if source else ():
-                    rows.append(normalize.parse(source, position, raw) | {"source_path": path, "captured_at": captured})
+                    own = raw_input if raw_input is not None and source["format"] == "hooks" else raw
+                    rows.append(normalize.parse(source, position, own) | {"source_path": path, "captured_at": captured})
                     if len(rows) == _ROWS:
                         yield packed(rows)
                         rows = []
@@ -47,13 +52,22 @@ def read(spark: SparkSession, harness: str, *roots: str, project: str | None = N
     """Every complete line below ``roots`` (``.jsonl``, ``.ndjson``) as a parsed row.
 
     A file is read as a whole (below 2 GB, Spark's limit for binary files), by
-    one task; a file without a header of the format gives no rows.
+    one task; a file without a header of the format gives no rows.  ``project``
+    asks for text in the working directory or the path.  A spooled hook's record
+    holds the bytes that came, which are in a ``.stdin`` file beside it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,ndjson}").load(list(roots))
-    if project:
-        files = files.where(F.contains("path", F.lit(project)))
+
+    def files(pattern: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(roots))
+
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return files.select("path", now.alias("captured_at"), "content").mapInArrow(_parse(harness), PARSED)
+    lines = files("*.{jsonl,ndjson}").select("path", now.alias("captured_at"), "content")
+    if harness == "cursor":
+        inputs = files("*.stdin").select(F.regexp_replace("path", r"\.stdin$", "").alias("_stem"), F.col("content").alias("raw_input"))
+        lines = lines.withColumn("_stem", F.regexp_replace("path", r"\.(jsonl|ndjson)$", "")).join(inputs, "_stem", "left").drop("_stem")
+    else:
+        lines = lines.withColumn("raw_input", F.lit(None).cast("binary"))
+    return lines.mapInArrow(_parse(harness, project), PARSED)
 
 
 def records_of(parsed: DataFrame) -> DataFrame:
@@ -69,5 +83,7 @@ def events_of(parsed: DataFrame) -> DataFrame:
 
 
 def with_hook_flag(events: DataFrame) -> DataFrame:
-    """``is_hook``: whether the payload itself, not something in it, is a hook's."""
-    return events.withColumn("is_hook", F.coalesce(F.get_json_object("payload_json", "$.hook_event_name").isNotNull() & (F.col("harness") == "cursor"), F.lit(False)))
+    """``is_hook``: whether the payload itself, not something in it, has a hook's name as a string, whatever the harness."""
+    payload = F.try_parse_json("payload_json")
+    name = F.schema_of_variant(F.try_variant_get(payload, "$.hook_event_name", "variant"))
+    return events.withColumn("is_hook", F.coalesce(name == "STRING", F.lit(False)))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import judging, outcomes, recall, registry
+from sessionloom.operators import outcomes, recall
 from sessionloom.sources import lift
 
 
@@ -46,43 +46,3 @@ def test_outcomes(spark):
     finals = spark.createDataFrame([("codex", "s", "it is done"), ("codex", "t", None)], "harness string, session_id string, final_output string")
     assert [r.passed for r in outcomes.final_contains(finals, "done").orderBy("session_id").collect()] == [True, False]
     assert [r.passed for r in outcomes.final_equals(finals, "done").collect()] == [False, False]
-
-
-def test_judging_goes_on_where_it_stopped(spark, tmp_path):
-    steps = spark.createDataFrame([("p", i, "quality", t) for i, t in enumerate(["good", "bad", "odd"])], "pair string, idx long, dimension string, text string")
-    prefix = steps.select("pair", "idx", F.array(F.col("text")).alias("events"))
-    inputs = judging.judge_inputs(steps, prefix)
-    path = str(tmp_path / "scores")
-
-    def first(text):
-        return "nonsense" if "odd" in text else json.dumps({"reward": int("good" in text), "rationale": "seen"})
-
-    with pytest.raises(ValueError):
-        judging.evaluate(inputs, path, first)
-    asked_again = judging.remaining(inputs, spark.read.schema(judging.SCORES).parquet(path)).collect()
-    assert [r.subject for r in asked_again] == ["step:3"]
-    scores = judging.evaluate(inputs, path, lambda text: json.dumps({"reward": 1, "rationale": "again"}))
-    assert {r.subject: r.reward for r in scores.collect()} == {"step:1": 1, "step:2": 0, "step:3": 1}
-    with pytest.raises(Exception, match="too large"):
-        judging.judge_inputs(steps, prefix, max_bytes=10).collect()
-
-
-def test_label_registry(spark, tmp_path):
-    path = str(tmp_path / "labels")
-    one = registry.annotate(spark, path, "t", "run", 1, "ann", oracle=True)
-    assert registry.annotate(spark, path, "t", "run", 1, "ann", oracle=True)["id"] == one["id"]
-    with pytest.raises(ValueError, match="replace"):
-        registry.annotate(spark, path, "t", "run", 0, "ann", oracle=True)
-    assert [r.trajectory for r in registry.accepted_oracles(registry.read_labels(spark, path), "t").collect()] == ["run"]
-    two = registry.annotate(spark, path, "t", "run", 0, "ann", oracle=True, replace=True)
-    assert two["supersedes"] == one["id"] and registry.broken_labels(spark, path).count() == 0
-    assert {r.id: r.current for r in registry.listing(registry.read_labels(spark, path)).collect()} == {one["id"]: False, two["id"]: True}
-
-
-def test_snapshots(spark, tmp_path):
-    path = str(tmp_path / "baseline")
-    for k in range(5):
-        have = registry.snapshot(spark, path, f"v{k}", "strict", f"run{k}")
-    assert have.count() == 5 and registry.snapshot(spark, path, "again", "strict", "run1").count() == 5
-    with pytest.raises(ValueError):
-        registry.snapshot(spark, path, "v6", "strict", "run6")
