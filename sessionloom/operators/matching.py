@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: A term: letters and digits of any script, lower-cased.
+TERM = r"[\p{L}\p{N}]+"
 
 
 def strict(oracle: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -29,8 +31,8 @@ def unordered(oracle: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def tokens(texts: DataFrame, *keys: str) -> DataFrame:
-    """``keys, term, tf, size`` of lower-cased runs of ASCII letters and digits."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+    """``keys, term, tf, size`` of lower-cased runs of letters and digits."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
     split = texts.select(*keys, words.alias("w")).withColumn("size", F.size("w"))
     return split.select(*keys, "size", F.explode("w").alias("term")).groupBy(*keys, "size", "term").agg(F.count("*").alias("tf"))
 
@@ -42,7 +44,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, group: tuple[str, ...] = ()) ->
     statistics are those of the group's corpus.  A query's term counts once.
     """
     t = tokens(corpus, *group, "doc")
-    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("n"))
+    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("n"))
     stats = sizes.groupBy(*group).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_size"))
     df = t.groupBy(*group, "term").agg(F.count("*").alias("df"))
     df = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row

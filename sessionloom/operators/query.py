@@ -149,8 +149,8 @@ def byte_budget(rows: DataFrame, size: Column, budget: int, *order: str, partiti
     return rows.withColumn("bytes_before", before).withColumn("_upto", upto).where(F.col("bytes_before") < budget if crossing else F.col("_upto") <= budget).drop("_upto")
 
 
-def bounded_item(rows: DataFrame, limit: int = 262144, preview: int = 4096) -> DataFrame:
-    """``item``: each row as JSON, or a stub with a preview where that is too large."""
+def bounded_item(rows: DataFrame, limit: int = 262144, preview: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``item``: each row as JSON, or a stub with a preview where that is too large, beside the columns to ``keep``."""
     whole = F.to_json(F.struct(*rows.columns))
     stub = F.to_json(F.struct(F.lit(True).alias("truncated"), F.octet_length(whole).alias("bytes"), F.substring(whole, 1, preview).alias("preview")))
-    return rows.select(F.when(F.octet_length(whole) > limit, stub).otherwise(whole).alias("item"))
+    return rows.select(*keep, F.when(F.octet_length(whole) > limit, stub).otherwise(whole).alias("item"))

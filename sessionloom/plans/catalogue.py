@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -12,11 +10,10 @@ from ..operators import assessment as A
 from ..operators import matching as M
 from ..operators import query as Q
 from ..operators import trajectory as T
-from ..operators.catalog import active_manifests, compaction_groups, upload_backlog, validate_manifests
+from ..operators.catalog import active_manifests, compaction_groups, status, upload_backlog
+from ..operators.outcomes import tool_name
 from ..sources import lift
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registration import register
 
 EV = """
 with ev as (
@@ -60,16 +57,6 @@ rc as (select *, row_number() over (partition by pair, key order by idx) as nth
 m as (select rc.pair, rc.idx as candidate_step, ro.idx as oracle_step from rc join ro on rc.pair = ro.pair and rc.key = ro.key and rc.nth = ro.nth)"""
 
 
-def register(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # --- filters and selection -------------------------------------------------
 
 _CONJ = Q.Query(harness="pi", kind="tool_call", text='"k": 1')
@@ -193,34 +180,70 @@ def export_semi(spark, d):
     return recs.select("id", "session_id")
 
 
-@register("bounded_items", "with i as (select conv_id, turn, text, octet_length(encode(text)) > 600 as cut from conversations) select conv_id, turn, cut, case when cut then left(text, 40) else text end as shown from i")
+@register("bounded_items", "with i as (select conv_id, turn, text, octet_length(encode(cast(to_json({conv_id: conv_id, turn: turn, text: text}) as varchar))) as size, cast(to_json({conv_id: conv_id, turn: turn, text: text}) as varchar) as j from conversations) select conv_id, turn, size > 600 as truncated, case when size > 600 then cast(size as bigint) end as bytes, left(j, 40) as shown from i")
 def bounded_items(spark, d):
-    m = lift.messages(spark, d)
-    cut = F.octet_length("text") > 600
-    return m.select("conv_id", "turn", cut.alias("cut"), F.when(cut, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("shown"))
+    m = lift.messages(spark, d).select("conv_id", "turn", "text")
+    item = Q.bounded_item(m, 600, 40, keep=("conv_id", "turn"))
+    shown = F.coalesce(F.get_json_object("item", "$.preview"), F.substring("item", 1, 40))
+    return item.select("conv_id", "turn", (F.get_json_object("item", "$.truncated") == "true").alias("t"), F.get_json_object("item", "$.bytes").cast("long").alias("bytes"), shown.alias("shown")).select("conv_id", "turn", F.coalesce("t", F.lit(False)).alias("truncated"), "bytes", "shown")
 
 
-@register("status_counts", EV + " select harness, count(distinct source_id) as sources, count(*) as seen, count(*) filter (where kind = 'unknown') as unknown, count(*) filter (where is_hook) as pending, cast(coalesce(sum(length(text)) filter (where is_hook), 0) as bigint) as pending_bytes, max(\"timestamp\") as newest from ev group by harness")
+@register(
+    "status_counts",
+    EV + ", b as (select distinct harness, 'b' || strftime(cast(\"timestamp\" as timestamp), '%m%d') || harness as batch_id from ev), m as (select 'east' as remote, 1 as k union all select 'west', 2), "
+    "l as (select b.harness, count(*) as n from b, m where not (m.remote = 'east' and b.batch_id < 'b0110') group by 1), u as (select harness, max(batch_id) as newest from b where batch_id < 'b0110' group by 1) "
+    "select ev.harness, count(distinct source_id) as sources, count(*) as captured_records, count(*) filter (where kind = 'metadata') as parse_failures, count(*) filter (where kind = 'unknown') as unknown_records, count(*) filter (where is_hook) as pending_records, "
+    "cast(coalesce(sum(octet_length(encode(text))) filter (where is_hook), 0) as bigint) as pending_bytes, (select count(*) from b where b.harness = ev.harness) as batches, coalesce(max(l.n), 0) as pending_uploads, max(u.newest) as last_upload "
+    "from ev left join l on l.harness = ev.harness left join u on u.harness = ev.harness group by ev.harness",
+)
 def status_counts(spark, d):
-    return lift.events(spark, d).groupBy("harness").agg(
-        F.countDistinct("source_id").alias("sources"), F.count("*").alias("seen"), F.count_if(F.col("kind") == "unknown").alias("unknown"), F.count_if("is_hook").alias("pending"),
-        F.coalesce(F.sum(F.when(F.col("is_hook"), F.octet_length("text"))), F.lit(0)).cast("long").alias("pending_bytes"), F.max("timestamp").alias("newest"),
-    )
+    """What each harness's collector has seen; a batch a day, of which one remote has those of the first nine."""
+    e = lift.events(spark, d)
+    seen = e.select("harness", F.when(F.col("kind") == "metadata", "malformed").when(F.col("kind") == "unknown", "unknown").otherwise("parsed").alias("status"))
+    batches = e.select("harness", F.concat(F.lit("b"), F.substring("timestamp", 6, 2), F.substring("timestamp", 9, 2), "harness").alias("batch_id")).distinct()
+    done = batches.where("batch_id < 'b0110'").select(F.lit("east").alias("remote"), "batch_id", F.col("batch_id").alias("completed_at"))
+    remotes = spark.createDataFrame([("east",), ("west",)], "remote string")
+    return status(e.select("harness", "source_id").distinct(), seen, e.where("is_hook").select("harness", F.octet_length("text").alias("bytes")), batches, done, remotes, by="harness")
 
 
-@register("block_explode", "select event_id, unnest(range(cast(json_extract_string(props, '$.k') as bigint) % 4)) as sub_index from events")
+def _blocks(batches):
+    """Events of one message for each row, by the content's JSON."""
+    import pyarrow as pa
+
+    from ..functions import payloads
+    from ..sources import normalize
+
+    for batch in batches:
+        rows = []
+        for event_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = normalize._contents({"content": payloads.loads(content)}, "assistant")
+            rows += [(event_id, k, e["kind"], e["text"], e["tool_call_id"]) for k, e in enumerate(found)]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["event_id", "sub_index", "kind", "text", "tool_call_id"])
+
+
+@register(
+    "block_explode",
+    "with e as (select event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k from events), x as (select *, unnest(range(case when k % 5 = 4 then 1 else k % 5 end)) as sub_index from e) "
+    "select event_id, sub_index, case when k % 5 = 4 then 'message' else case sub_index when 0 then 'message' when 1 then 'tool_call' else 'unknown' end end as kind, "
+    "case when k % 5 = 4 or sub_index = 0 then event_type end as text, case when k % 5 <> 4 and sub_index = 1 then 'c' || k end as tool_call_id from x",
+)
 def block_explode(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    n = F.get_json_object("props", "$.k").cast("long") % 4
-    return e.select("event_id", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))).alias("sub_index"))
+    """Messages whose content is a string, or a list of up to three parts."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    parts = [F.to_json(F.struct(F.lit("text").alias("type"), F.col("event_type").alias("text"))), F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), "k").alias("id"))), F.lit('{"type":"of no kind"}')]
+    listed = F.concat(F.lit("["), F.array_join(F.slice(F.array(*parts), F.lit(1), (F.col("k") % 5).cast("int")), ","), F.lit("]"))
+    content = F.when(F.col("k") % 5 == 4, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(listed)
+    return e.select("event_id", content.alias("content")).mapInArrow(_blocks, "event_id long, sub_index long, kind string, text string, tool_call_id string")
 
 
-@register("tool_parts_json", "select event_id, event_type as name, cast(json_extract_string(props, '$.k') as bigint) as argument from events where event_type in ('view', 'click')")
+@register("tool_parts_json", "select event_id, event_type as name, case when event_id % 3 = 0 then 'nested' end as shape from events where event_type in ('view', 'click')")
 def tool_parts_json(spark, d):
+    """The tool's name in two shapes of payload, by the operator that outcome checks use."""
     e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("view", "click"))
-    payload = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")))
-    parsed = F.from_json(payload, "name string, arguments string")
-    return e.select("event_id", parsed["name"].alias("name"), F.get_json_object(parsed["arguments"], "$.k").cast("long").alias("argument"))
+    nested = F.col("event_id") % 3 == 0
+    flat, tagged = F.to_json(F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments"))), F.concat(F.lit('{"tool_call":{"'), "event_type", F.lit('":{"args":'), "props", F.lit("}}}"))
+    return e.select("event_id", tool_name(F.when(nested, tagged).otherwise(flat)).alias("name"), F.when(nested, "nested").alias("shape"))
 
 
 # --- catalog of batches ----------------------------------------------------
@@ -254,31 +277,61 @@ def upload_backlog_query(spark, d):
 
 @register(
     "compaction_groups",
-    _B.replace("with", "with recursive") + ", s as (select *, row_number() over (order by day) as r from b), f as (select r, day, case when bytes > 4000 then 0 else bytes end as size, 0 as g, bytes <= 4000 as member from s where r = 1 union all select s.r, s.day, "
-    "case when s.bytes > 4000 then 0 when f.size + s.bytes > 4000 then s.bytes else f.size + s.bytes end, f.g + case when f.size > 0 and f.size + s.bytes > 4000 then 1 else 0 end, s.bytes <= 4000 from f join s on s.r = f.r + 1), "
+    _B.replace("with", "with recursive") + ", m as (select cast(sum(bytes) * 7 // (count(*) * 2) as bigint) as most from b), s as (select b.*, most, row_number() over (order by day) as r from b, m), f as (select r, day, case when bytes > most then 0 else bytes end as size, 0 as g, bytes <= most as member from s where r = 1 union all select s.r, s.day, "
+    "case when s.bytes > most then 0 when f.size + s.bytes > most then s.bytes else f.size + s.bytes end, f.g + case when f.size > 0 and f.size + s.bytes > most then 1 else 0 end, s.bytes <= most from f join s on s.r = f.r + 1), "
     "n as (select g, count(*) as members, min(day) as first_day, max(day) as last_day from f where member group by g having count(*) >= 2) select members, first_day, last_day from n",
 )
 def compaction_groups_query(spark, d):
-    groups = compaction_groups(_batches(spark, d), 4000, order="day")
+    """Groups within three and a half times the mean size of a batch."""
+    b = _batches(spark, d)
+    total = b.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).first()
+    groups = compaction_groups(b, total["bytes"] * 7 // (total["n"] * 2), order="day")
     return groups.groupBy("group").agg(F.count("*").alias("members"), F.min("day").alias("first_day"), F.max("day").alias("last_day")).drop("group")
 
 
-@register("manifest_validate")
+@register(
+    "manifest_validate",
+    """
+with m as (
+  select doc_id, doc_id % 13 as k, case doc_id % 13 when 1 then 2 else 1 end as version, case doc_id % 13 when 2 then '../b' else 'b' || doc_id end as batch_id,
+    case doc_id % 13 when 3 then '2026-02-30T10:00:00Z' else '2026-10-01T10:00:00.000Z' end as created_at, sha256(coalesce(text, '')) as h, octet_length(encode(coalesce(text, ''))) as size
+  from documents
+), f as (
+  select *, case k when 6 then 'records/../x' else 'records/part-' || doc_id end as p1, case k when 8 then 'records/other' else 'events/part-' || doc_id end as p2, case k when 7 then upper(h) || 'A' else h end as s1,
+    case k when 12 then 9007199254740992 else size end as z1 from m
+), v as (
+  select doc_id,
+    case when version <> 1 then 'another schema version' end as a,
+    case when not regexp_full_match(batch_id, '[A-Za-z0-9_-]{1,128}') then 'ids that may not be paths' end as b,
+    case when try_cast(replace(created_at, 'Z', '') as timestamp) is null then 'no time of creation' end as c,
+    case when k = 4 or contains(p1, '/../') or not regexp_full_match(s1, '[0-9a-f]{64}') or z1 > 9007199254740991 or (k = 5) then 'an inventory out of order' end as d,
+    case when k = 4 or not starts_with(p2, 'events/') then 'a table without files' end as e,
+    case when k in (9, 10) then 'a list of replaced batches out of order' end as g
+  from f
+)
+select doc_id, concat_ws('; ', a, b, c, d, e, g) as problems, concat_ws('; ', a, b, c, d, e, g) = '' as valid from v""",
+)
 def manifest_validate(spark, d):
-    return validate_manifests(_golden(spark))
-
-
-def _golden(spark):
-    file = {"path": "records/part-0.parquet", "size": 1, "sha256": "a" * 64}
-    other = {"path": "events/part-0.parquet", "size": 1, "sha256": "b" * 64}
-    base = {"schema_version": 1, "collector_id": "me", "batch_id": "b1", "created_at": "2026-10-01T10:00:00.000Z", "sessions": [], "files": [file, other], "replaces": []}
-    patches = [
-        {}, {"schema_version": 2}, {"batch_id": "../b"}, {"created_at": "2026-02-30T10:00:00Z"}, {"files": []}, {"files": [file, file, other]}, {"files": [{**file, "path": "records/../x"}, other]},
-        {"files": [{**file, "sha256": "A" * 64}, other]}, {"files": [file]}, {"replaces": ["b1"]}, {"replaces": ["x", "x"]}, {"replaces": ["x", "y"]}, {"files": [{**file, "size": 1 << 53}, other]},
-    ]
-    from ..schemas import MANIFEST
-
-    return spark.createDataFrame([{**base, **p} for p in patches], MANIFEST)
+    """Manifests made of documents, each thirteenth with another fault."""
+    from ..operators.catalog import manifest_problems
+
+    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 13).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    is_ = lambda n: F.col("k") == n
+    own = F.sha2("text", 256)
+    size = F.when(is_(12), F.lit(1 << 53)).otherwise(F.octet_length("text").cast("long"))
+    one = F.struct(F.when(is_(6), F.lit("records/../x")).otherwise(F.concat(F.lit("records/part-"), "doc_id")).alias("path"), size.alias("size"), F.when(is_(7), F.concat(F.upper(own), F.lit("A"))).otherwise(own).alias("sha256"))
+    two = F.struct(F.when(is_(8), F.lit("records/other")).otherwise(F.concat(F.lit("events/part-"), "doc_id")).alias("path"), F.lit(1).cast("long").alias("size"), F.sha2(F.lit("x"), 256).alias("sha256"))
+    none = F.array().cast("array<struct<path:string,size:bigint,sha256:string>>")
+    batch = F.when(is_(2), F.lit("../b")).otherwise(F.concat(F.lit("b"), "doc_id"))
+    m = t.select(
+        "doc_id", F.when(is_(1), 2).otherwise(1).cast("long").alias("schema_version"), F.lit("me").alias("collector_id"), batch.alias("batch_id"),
+        F.when(is_(3), F.lit("2026-02-30T10:00:00Z")).otherwise(F.lit("2026-10-01T10:00:00.000Z")).alias("created_at"),
+        F.array().cast("array<struct<harness:string,session_id:string,records:bigint,events:bigint,first_timestamp:string,last_timestamp:string>>").alias("sessions"),
+        F.when(is_(4), none).when(is_(5), F.array(one, one, two)).otherwise(F.array(one, two)).alias("files"),
+        F.when(is_(9), F.array(batch)).when(is_(10), F.array(F.lit("x"), F.lit("x"))).when(is_(11), F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>")).alias("replaces"),
+    )
+    problems = manifest_problems()
+    return m.select("doc_id", F.array_join(problems, "; ").alias("problems"), (F.size(problems) == 0).alias("valid"))
 
 
 # --- trajectories ----------------------------------------------------------
@@ -302,15 +355,10 @@ def final_output(spark, d):
 
 @register(
     "branch_ancestry",
-    "with recursive e as (select 'u' || user_id as session_id, event_id as id, lag(event_id) over (partition by user_id order by event_id) as parent_id from events where user_id < 3), l as (select session_id, max(id) as leaf from e group by 1), "
+    "with recursive e as (select 'u' || user_id as session_id, event_id as id, lag(event_id) over (partition by user_id order by event_id) as parent_id from events), l as (select session_id, max(id) as leaf from e group by 1), "
     "w as (select e.session_id, l.leaf, e.id, e.parent_id, 0 as hops from e join l on e.session_id = l.session_id and e.id = l.leaf union all select w.session_id, w.leaf, e.id, e.parent_id, w.hops + 1 from w join e on e.session_id = w.session_id and e.id = w.parent_id) select session_id, leaf, id, hops from w",
 )
 def branch_ancestry(spark, d):
-    return _chains(spark.read.parquet(f"{d}/events.parquet").where("user_id < 3"))
-
-
-@register("branch_ancestry_whole")
-def branch_ancestry_whole(spark, d):
     return _chains(spark.read.parquet(f"{d}/events.parquet"))
 
 
@@ -348,15 +396,15 @@ def match_required(spark, d):
 @register("align_monotone")
 def align_monotone(spark, d):
     o, c = lift.run_pairs(spark, d)
-    scored = M.bm25(c.select("pair", F.col("idx").alias("doc"), "text"), o.select("pair", F.col("idx").alias("query"), "text"), ("pair",))
-    aligned = M.monotone(scored.select("pair", F.col("doc").alias("candidate_step"), F.col("query").alias("oracle_step"), "score"))
+    scored = M.bm25(o.select("pair", F.col("idx").alias("doc"), "text"), c.select("pair", F.col("idx").alias("query"), "text"), ("pair",))
+    aligned = M.monotone(scored.select("pair", F.col("query").alias("candidate_step"), F.col("doc").alias("oracle_step"), "score"))
     return aligned.withColumn("similarity", F.round("similarity", 6))
 
 
 _BM25 = """
-with cw as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents where text is not null), ct as (select doc, term, count(*) as tf from cw group by all),
-sz as (select doc_id as doc, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as size from documents where text is not null), st as (select count(*) as docs, avg(size) as av from sz), df as (select term, count(*) as df from ct group by 1),
-q as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark)
+with cw as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents where text is not null), ct as (select doc, term, count(*) as tf from cw group by all),
+sz as (select doc_id as doc, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as size from documents where text is not null), st as (select count(*) as docs, avg(size) as av from sz), df as (select term, count(*) as df from ct group by 1),
+q as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from benchmark)
 , s as (select ct.doc, q.query, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))) as score from q join ct on q.term = ct.term join df on df.term = q.term join sz on sz.doc = ct.doc cross join st group by all)
 """
 
@@ -500,12 +548,26 @@ def mean_rewards(spark, d):
 # --- ingest ----------------------------------------------------------------
 
 
-@register("jsonl_ingest_offsets", "select user_id, event_id, cast(coalesce(sum(octet_length(encode(props)) + 1) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as position from events")
+def _positions(batches):
+    import pyarrow as pa
+
+    from ..sources import normalize
+
+    for batch in batches:
+        rows = [(user, nth, at) for user, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for nth, (at, _) in enumerate(normalize.lines(content))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["user_id", "nth", "position"])
+
+
+@register(
+    "jsonl_ingest_offsets",
+    "with r as (select user_id, event_id, row_number() over w - 1 as nth, cast(coalesce(sum(octet_length(encode(props)) + 1) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as position from events window w as (partition by user_id order by event_id)) select user_id, nth, position from r",
+)
 def jsonl_ingest_offsets(spark, d):
-    """Byte positions of lines, were each user's properties a file."""
+    """Byte positions of complete lines, were each user's properties a file that ends in the middle of a line."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.select("user_id", "event_id", F.coalesce(F.sum(F.octet_length("props") + 1).over(before), F.lit(0)).cast("long").alias("position"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: F.concat(x["props"], F.lit("\n")))
+    files = e.groupBy("user_id").agg(F.concat(F.array_join(own, ""), F.lit('{"cut o')).cast("binary").alias("content"))
+    return files.mapInArrow(_positions, "user_id long, nth long, position long")
 
 
 def _statuses(batches):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_time
+from ..schemas import EVENTS
 
 KINDS = {"view": "tool_call", "click": "tool_result", "purchase": "message", "signup": "metadata", "error": "unknown"}
 
@@ -45,6 +46,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions, with every column that stored events have."""
+    m = messages(spark, sf_dir).withColumn("harness", F.lit("codex"))
+    own = {"record_id": F.col("id"), "payload_json": F.lit("{}")}
+    out = m.withColumns(own)
+    return out.select(*((F.col(x.name) if x.name in out.columns else F.lit(None).cast(x.dataType)).alias(x.name) for x in EVENTS))
+
+
 def run_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(reference, candidate) steps: each conversation of an even number with the one after it.
 

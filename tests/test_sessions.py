@@ -11,7 +11,7 @@ from sessionloom.functions import columns as X
 from sessionloom.functions import payloads as P
 from sessionloom.operators import archive, assessment, catalog, matching, trajectory
 from sessionloom.operators import query as Q
-from sessionloom.plans import catalogue
+from sessionloom.plans import catalogue, registration  # noqa: F401
 from sessionloom.sources import normalize, transcripts
 
 
@@ -143,7 +143,7 @@ def test_ancestry_of_branches(spark):
 def test_whole_ancestry_walks_every_user(spark, tmp_path):
     of_user = {u: list(range(10 * u, 10 * u + 1 + u)) for u in range(6)}
     spark.createDataFrame([(e, u) for u, own in of_user.items() for e in own], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
-    got = [tuple(r) for r in catalogue.QUERIES["branch_ancestry_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registration.QUERIES["branch_ancestry"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((f"u{u}", own[-1], e, own[-1] - e) for u, own in of_user.items() for e in own)
 
 
