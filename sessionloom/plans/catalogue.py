@@ -387,13 +387,39 @@ def match_unordered(spark, d):
     return M.unordered(*lift.run_pairs(spark, d))
 
 
-@register("match_required")
+#: The alignment's recurrence and its way back over scores (pair, c, o, s) above a threshold, on dense numbers of the steps that have one.
+ALIGN = """
+, sc as (select pair, c, o, s, dense_rank() over (partition by pair order by c) as i, dense_rank() over (partition by pair order by o) as j from scored),
+dims as (select pair, max(i) as n, max(j) as m from sc group by 1),
+dp(pair, i, j, v) as (
+  select pair, cast(0 as bigint), unnest(range(m + 1)), cast(0 as double) from dims
+  union all
+  select pair, i + 1, j, max(b) over (partition by pair order by j) from (
+    select d.pair, d.i, d.j, greatest(d.v, case when sc.s > {least} then lag(d.v) over (partition by d.pair order by d.j) + sc.s else 0 end) as b
+    from dp d join dims on dims.pair = d.pair and d.i < dims.n left join sc on sc.pair = d.pair and sc.i = d.i + 1 and sc.j = d.j
+  )
+), back(pair, i, j, hit) as (
+  select pair, n, m, false from dims
+  union all
+  select b.pair, case when x.v = up.v then b.i - 1 when x.v = le.v then b.i else b.i - 1 end, case when x.v = up.v then b.j when x.v = le.v then b.j - 1 else b.j - 1 end, x.v <> up.v and x.v <> le.v
+  from back b join dp x on x.pair = b.pair and x.i = b.i and x.j = b.j join dp up on up.pair = b.pair and up.i = b.i - 1 and up.j = b.j join dp le on le.pair = b.pair and le.i = b.i and le.j = b.j - 1 where b.i > 0 and b.j > 0
+), hits as (select b.pair, sc.c as candidate_step, sc.o as oracle_step, sc.s as similarity from back b join sc on sc.pair = b.pair and sc.i = b.i + 1 and sc.j = b.j + 1 where b.hit)"""
+
+
+@register("match_required", PAIRS.replace("with st", "with recursive st") + ", scored as (select c.pair, c.idx as c, o.idx as o, cast(1 as double) as s from c join o on c.pair = o.pair and c.key = o.key where o.idx % 2 = 0)" + ALIGN.format(least="0.5") + " select pair, candidate_step, oracle_step from hits")
 def match_required(spark, d):
     o, c = lift.run_pairs(spark, d)
     return M.required(o, c, o.where("idx % 2 = 0").select("pair", "idx"))
 
 
-@register("align_monotone")
+@register(
+    "align_monotone",
+    PAIRS.replace("with st", "with recursive st")
+    + r""", ow as (select pair, idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from o), ot as (select pair, idx, term, count(*) as tf from ow group by all), sz as (select pair, idx, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as size from o),
+st2 as (select pair, count(*) as docs, avg(size) as av from sz group by 1), df as (select pair, term, count(*) as df from ot group by all), q as (select distinct pair, idx, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from c),
+scored as (select q.pair, q.idx as c, ot.idx as o, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))) as s from q join ot on ot.pair = q.pair and ot.term = q.term join df on df.pair = q.pair and df.term = q.term join sz on sz.pair = q.pair and sz.idx = ot.idx join st2 on st2.pair = q.pair group by all)"""
+    + ALIGN.format(least="0.1") + " select pair, candidate_step, oracle_step, round(similarity, 6) as similarity from hits",
+)
 def align_monotone(spark, d):
     o, c = lift.run_pairs(spark, d)
     scored = M.bm25(o.select("pair", F.col("idx").alias("doc"), "text"), c.select("pair", F.col("idx").alias("query"), "text"), ("pair",))
