@@ -18,6 +18,7 @@ shuffle, so that the same bits answer at every size.  Words are known by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, pick, prepare, shuffle_partitions, staged
+from .common import crc_bucket, lean, pick, prepare, shuffle_partitions, staged
 from .words import grams, hashed, mix, words
 
 #: Stand for the begin and the end of a text among word hashes.
@@ -55,6 +56,15 @@ def _typical() -> np.ndarray:
 TYPICAL = _typical()
 
 
+def block_bits(n_bytes: int) -> int:
+    """How many leading bits of a hash name its block, by the training texts' size alone.
+
+    Blocks of a kind grow in number with the square root of the corpus, so do
+    their sizes: 1,024 at 1 GB, 8,192 at 30 GB, half a million at 100 TB.
+    """
+    return max(4, math.ceil(math.log2(max(1.0, n_bytes / 1024)) / 2))
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of a text's words, then that of its end."""
     return np.append(hashed(words(text)), END)
@@ -83,6 +93,7 @@ def _unpacked(blob: bytes, n: int, unpack) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(bits: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -136,19 +147,20 @@ def _probe(e: np.ndarray, k: int, size: np.ndarray | np.uint64) -> np.ndarray:
     return ((e & np.uint64(0xFFFFFFFF)) + np.uint64(k) * ((e >> np.uint64(32)) | np.uint64(1))) % size
 
 
-def build_filter(h: np.ndarray, c: np.ndarray) -> bytes:
+def build_filter(h: np.ndarray, c: np.ndarray, per_entry: int = BITS) -> bytes:
     """The bit array of one block."""
     e = _entries(h, c)
-    size = max(64, -(-len(e) * BITS // 64) * 64)
+    size = max(64, -(-len(e) * per_entry // 64) * 64)
     bits = np.zeros(size, bool)
     for k in range(PROBES):
         bits[_probe(e, k, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _merge(keep: tuple[int, ...]):
+def _merge(keep: tuple[int, ...], per_entry: int):
     """Counts of a block's rows, added up; rows come sorted by kind and block."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -166,7 +178,7 @@ def _merge(keep: tuple[int, ...]):
             held.clear()
             blob = _packed(h, np.minimum(c, (1 << 32) - 1), pack) if kind in keep else None
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((kind, pa.int32()), (block, pa.int32()), (len(h), pa.int64()), (int(c.sum()), pa.int64()), (blob, pa.binary()), (build_filter(h, c), pa.binary()))],
+                [pa.array([x], t) for x, t in ((kind, pa.int32()), (block, pa.int32()), (len(h), pa.int64()), (int(c.sum()), pa.int64()), (blob, pa.binary()), (build_filter(h, c, per_entry), pa.binary()))],
                 ["kind", "block", "n", "tokens", "blob", "filter"],
             )
 
@@ -182,6 +194,7 @@ def _merge(keep: tuple[int, ...]):
     return run
 
 
+@lean
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -250,6 +263,7 @@ class Model:
 def _score(model_of):
     """Per text: row number, tokens, those known among the common words and the sum of their log counts, the rest, and the model's score."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -312,6 +326,7 @@ def _asked_rows(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
 def _asked(bits: int, asks: bool):
     """Chunks of texts, each known by its first row: the n-grams it asks of each block (``asks``), or else where they stand in the texts."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -360,6 +375,7 @@ def _plain(raw: np.ndarray, dtype: type) -> np.ndarray:
 def _answered(bits: int):
     """Levels of what is asked of a block; rows come sorted by kind and block, each block's filter (chunk -1) first."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -382,6 +398,7 @@ def _answered(bits: int):
 def _put_together(model: Model):
     """Scores of a chunk's texts; rows come sorted by chunk, kind and block, so that the levels are in the order of the hashes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -425,7 +442,7 @@ def _asked_scores(rows: DataFrame, merged: DataFrame, model: Model, bits: int, p
 
 
 def lm_scores(
-    docs: DataFrame, training: DataFrame, prior: float = 100.0, max_filter_mb: int = 256, common_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, training: DataFrame, prior: float = 100.0, max_filter_mb: int = 256, common_words: int = 1 << 20, bits_per_entry: int = BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Score all ``docs`` with a model of the texts in ``training``.
 
@@ -433,9 +450,11 @@ def lm_scores(
     are words and an end; ``base_score`` is the log10 probability under add-one
     unigrams, from exact counts, and ``score`` that under the bigram model.
     ``max_filter_mb`` bounds a filter that is broadcast (a larger one gives the
-    same scores from where it lies) and
-    ``common_words`` the exact counts beside it; the counts of other words are
-    joined.
+    same scores from where it lies), ``bits_per_entry`` sets how often it has
+    what was never put in (8: one probe in 42), and ``common_words`` bounds the
+    exact counts beside it; the counts of other words are joined.  The filter's
+    layout goes by the size of the training texts alone, so the same rows have
+    the same scores however they are partitioned.
 
     A null text is an empty one, of one token; a null id stays null; each of
     repeated rows gets its scores; without training texts every probability is 1.
@@ -443,12 +462,13 @@ def lm_scores(
     spark = docs.sparkSession
     prepare(spark)
     partitions = shuffle_partitions(spark)
-    bits = max(4, (4 * partitions - 1).bit_length())
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    sent = pick(training, text=text_col).mapInArrow(_count(bits), "kind int, block int, n long, blob binary")
+    learnt = pick(training, text=text_col)
+    bits = block_bits(learnt.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sent = learnt.mapInArrow(_count(bits), "kind int, block int, n long, blob binary")
     dealt = sent.repartition(2 * partitions, "kind", "block").sortWithinPartitions("kind", "block")
     schema = "kind int, block int, n long, tokens long, blob binary, filter binary"
-    merged = staged(dealt.mapInArrow(_merge((1,)), schema), "ngrams")
+    merged = staged(dealt.mapInArrow(_merge((1,), bits_per_entry), schema), "ngrams")
     sums = merged.where("kind = 1").agg(F.sum("tokens"), F.sum("n")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
     unigrams = staged(merged.where("kind = 1").select("n", "blob").mapInArrow(_rows, "h long, c long"), "unigrams")
