@@ -2,15 +2,17 @@
 
 Four kinds have fixed rules.  Their mentions are seeds: the words before them,
 and the label a token begins with (``mail:``), are patterns.  Patterns and the
-tokens in their slots form a graph, on which confidence goes from seeds to
-patterns and from patterns to tokens for a few rounds, against how often each
-pattern stands before anything else.  Patterns of high confidence then mark
-tokens that no rule knows, if their shape suits the kind.
+tokens in their slots form a graph, on which confidence goes from instances to
+patterns, against how often each pattern stands before anything else, and from
+patterns of high confidence to tokens that no rule knows, if their shape suits
+the kind.  Those are instances of the next round, whose own contexts may be
+patterns in turn, until a round finds nothing new.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_index, pick, prepare, staged, with_row
+from .common import column_index, lean, pick, prepare, staged, with_row
 from .words import grams, hashed, mix
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,15 +34,18 @@ _DIGIT = re.compile(r"[0-9]")
 #: What a token has that could be an identifier: a digit, a sign that addresses have, or a label.
 _SIGN = re.compile(r"[0-9@:=]|[\[(]at[\])]")
 _SPACE = re.compile(r"\s")
-#: A token of a pattern's slot is no longer than this.
-_LONGEST = 64
-_LABEL = re.compile(r"([A-Za-z][A-Za-z_-]{1,15}[:=])[\"']?(?=\S)")
+#: What may follow a group of digits after one space and be of the same number.
+_GROUP = re.compile(r" [0-9().+/-]*[0-9](?=[().,;!?\"'>\]}]*(?:\s|\Z))")
+_GROUPED = re.compile(r"[0-9().+/-]+")
+#: An address in words.
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++")
+_LABEL = re.compile(r"([A-Za-z][A-Za-z_-]+[:=])[\"']?(?=\S)")
 _EDGE = "\"'()[]{}<>,;.!?"
 _SHAPES = (
-    re.compile(r"[^\s@]+(?:@|[\[(]at[\])])[^\s@]+", re.I),
-    re.compile(r"[0-9]{1,3}(?:[.:\-\[\]()]+[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}"),
-    re.compile(r"(?:[^0-9]*[0-9]){12,19}[^0-9]*"),
-    re.compile(r"(?:[^0-9]*[0-9]){7,15}[^0-9]*"),
+    re.compile(r"[^\s@]{1,64}(?:@|[\[(]at[\])])[^\s@]{1,255}|\S{1,64} at \S+(?: dot \S+)+", re.I),
+    re.compile(r"[0-9]{1,3}(?:[.:\-\[\]()]{1,4}[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}"),
+    re.compile(r"[^0-9]{0,3}[0-9](?:[^0-9]{0,3}[0-9]){11,18}[^0-9]{0,3}"),
+    re.compile(r"[^0-9]{0,3}[0-9](?:[^0-9]{0,3}[0-9]){6,14}[^0-9]{0,3}"),
 )
 _LABEL_TYPE = np.uint64(0x6A09E667F3BCC909)
 _BITMAP = 1 << 20
@@ -96,14 +101,29 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _context(text: str, start: int) -> list[bytes]:
-    """The two words before a place, in lower case and without marks at their ends."""
-    return [w.strip(_EDGE).lower().encode("utf-8", "replace") for w in text[max(0, start - 80) : start].split()[-2:]]
+def _context(text: str, start: int, floor: int) -> list[bytes]:
+    """The two words before a place, in lower case and without marks at their ends.
 
-
-def _patterns(text: str, start: int) -> list[int]:
+    Where an identifier of the same token ends at ``floor``, it is what stands
+    between the two.
+    """
+    found, at = [], start
+    while len(found) < 2 and at > 0:
+        end = at
+        while at > 0 and at != floor and not text[at - 1].isspace():
+            at -= 1
+        if end > at:
+            found.append(text[at:end])
+        if at and at == floor and not text[at - 1].isspace():
+            break
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+    return [w.strip(_EDGE).lower().encode("utf-8", "replace") for w in reversed(found)]
+
+
+def _patterns(text: str, start: int, floor: int = -1) -> list[int]:
     """Hashes of what stands before a token: the word, and the two words."""
-    h = hashed(_context(text, start))
+    h = hashed(_context(text, start, floor))
     out = [h[-1:]] if len(h) else []
     if len(h) == 2:
         out.append(grams(h, 2))
@@ -115,32 +135,60 @@ def _value(token: str) -> int:
 
 
 def slots(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, kind or -1, value, patterns) of base mentions and of other tokens that could be identifiers."""
-    out = [(s, e, k, _value(text[s:e]), _patterns(text, s)) for s, k, e in spans]
-    at = done = 0
+    """(start, end, kind or -1, value, patterns) of base mentions and of other tokens that could be identifiers.
+
+    A token goes from space to space, less marks at its ends and a label at its
+    begin.  Groups of digits that follow each other after one space are one, and
+    so is an address in words (``joe at host dot org``).  Every character is
+    looked at a bounded number of times, however many identifiers there are.
+    """
+    out, floor, ends = [], -1, []
+    for s, k, e in spans:
+        while ends and ends[0] <= s:
+            floor = heapq.heappop(ends)
+        out.append((s, e, k, _value(text[s:e]), _patterns(text, s, floor)))
+        heapq.heappush(ends, e)
+    spelled = []
+    if " dot " in text:
+        for m in _SPELLED.finditer(text):
+            spelled.append((m.start(), m.end()))
+            out.append((*spelled[-1], -1, _value(m[0]), _patterns(text, m.start())))
+    at = word = done = 0
     while m := _SIGN.search(text, done):
         start = m.start()
         while start > done and not text[start - 1].isspace():
             start -= 1
         space = _SPACE.search(text, m.end())
         end = done = space.start() if space else len(text)
-        while start < end and text[start] in _EDGE:
+        while word < len(spelled) and spelled[word][1] <= start:
+            word += 1
+        if word < len(spelled) and spelled[word][0] < end:
+            continue
+        while start < end and text[start] in _EDGE and not (text[start] == "(" and ")" in text[start:end]):
             start += 1
-        while end > start and text[end - 1] in _EDGE:
+        while end > start and text[end - 1] in _EDGE and not (text[end - 1] == ")" and "(" in text[start:end]):
             end -= 1
         label = _LABEL.match(text, start, end)
         patterns = []
         if label:
             patterns = [int(mix(hashed([label[1].lower().encode()]) ^ _LABEL_TYPE).view(np.int64)[0])]
         begin = label.end() if label else start
+        if end == done and _GROUPED.fullmatch(text, begin, end):
+            while more := _GROUP.match(text, end):
+                end = more.end()
+            done = max(done, end)
         while at < len(spans) and spans[at][2] <= begin:
             at += 1
-        inside = [x for x in spans[max(0, at - 4) :] if x[0] < end and x[2] > begin] if at < len(spans) and spans[at][0] < end else []
+        inside, near = [], max(0, at - 4)
+        while near < len(spans) and spans[near][0] < end:
+            if spans[near][2] > begin:
+                inside.append(spans[near])
+            near += 1
         if inside:
             if patterns and inside[0][0] == begin:
                 out.append((*inside[0][::2], inside[0][1], _value(text[begin : inside[0][2]]), patterns))
             continue
-        if 5 <= end - begin <= _LONGEST:
+        if end - begin >= 5:
             out.append((begin, end, -1, _value(text[begin:end]), patterns + (_patterns(text, start) if not label else [])))
     return out
 
@@ -153,6 +201,7 @@ _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32
 _SLOT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("value", pa.int64()), ("suits", pa.int32()), ("patterns", pa.list_(pa.int64()))])
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -180,6 +229,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _totals(bitmap):
     """How often each word, or two words, of a fixed-size set stands before another."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").astype(bool)
         mask = np.uint64(_BITMAP - 1)
@@ -206,41 +256,52 @@ def _totals(bitmap):
     return run
 
 
-def learn_patterns(scanned: DataFrame, rows: DataFrame, support: int = 3, confidence: float = 0.7, rounds: int = 3) -> DataFrame:
+def learn_patterns(scanned: DataFrame, rows: DataFrame, support: int = 3, confidence: float = 0.7, rounds: int = 5) -> DataFrame:
     """``pattern, kind, confidence`` of the patterns that mark a kind.
 
-    A pattern needs ``support`` different seeds of a kind before it is looked at.
+    A pattern needs ``support`` different instances of a kind, and a share of
+    ``confidence`` of its mentions that are such; instances are the rules' seeds
+    and, from the second round on, tokens of the kind's shape that patterns have
+    found, which count as much as the best of those is worth.  It ends after a round without a new instance, or after ``rounds``,
+    which bounds how far a chain of contexts may lead from the seeds.
     """
-    slot = scanned.select(F.explode("slots").alias("s")).select(F.col("s.kind").alias("seed"), F.col("s.value").alias("value"), F.explode("s.patterns").alias("pattern"))
-    edges = slot.groupBy("pattern", "value", "seed").agg(F.count(F.lit(1)).alias("n"))
-    edges = staged(edges, "pii-edges")
-    supported = edges.where("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("value").alias("support")).where(F.col("support") >= support)
-    supported = staged(supported, "pii-supported")
+    slot = scanned.select(F.explode("slots").alias("s")).select(F.col("s.kind").alias("seed"), F.col("s.value").alias("value"), F.col("s.suits").alias("suits"), F.explode("s.patterns").alias("pattern"))
+    edges = slot.groupBy("pattern", "value", "seed").agg(F.count(F.lit(1)).alias("n"), F.max("suits").alias("suits"))
+    kinds = F.array(*(F.lit(k) for k in range(len(KINDS))))
+    fits = F.filter(kinds, lambda k: F.when(F.col("seed") >= 0, F.col("seed") == k).otherwise(F.expr("suits").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0))
+    edges = staged(edges.withColumn("kind", F.explode(fits)).select("pattern", "value", "seed", "kind", "n"), "pii-edges")
+    # what could come to have support in any round; a pattern is only looked at for such kinds
+    possible = edges.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("k")).where(F.col("k") >= support).select("pattern", "kind")
+    known = staged(edges.join(possible, ["pattern", "kind"]), "pii-known")
+    seeds = known.where("seed >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    marks = rows.sparkSession.createDataFrame([], "pattern long, kind int, confidence double")
+    n_seeds = seeds.count()
+    if n_seeds < support:
+        return marks
     # a bitmap of fixed size tells a scan which contexts to count; the join after it is exact
     places = F.col("pattern").bitwiseAND(F.lit(_BITMAP - 1))
-    words = supported.select(F.shiftright(places, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pattern & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    words = known.select(F.shiftright(places, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pattern & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bitmap = np.zeros(_BITMAP // 64, np.uint64)
     for r in words:
         bitmap[r["w"]] = np.uint64(r["b"] & (1 << 64) - 1)
-    known = edges.join(supported.select("pattern").distinct(), "pattern")
-    known = staged(known, "pii-known")
-    mentions = known.groupBy("pattern").agg(F.sum("n").alias("mentions"))
-    if words:
-        sent = rows.sparkSession.sparkContext.broadcast(bitmap.tobytes())
-        everywhere = rows.select("text").mapInArrow(_totals(sent), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-        mentions = mentions.join(everywhere, "pattern", "left").select("pattern", F.greatest("mentions", F.coalesce("n", F.lit(0))).alias("mentions"))
-    mentions = staged(mentions, "pii-mentions")
-    seeds = known.where("seed >= 0").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    scores = seeds
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    everywhere = rows.select("text").mapInArrow(_totals(sent), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    own = known.groupBy("pattern", "value").agg(F.max("n").alias("n")).groupBy("pattern").agg(F.sum("n").alias("mentions"))
+    mentions = staged(own.join(everywhere, "pattern", "left").select("pattern", F.greatest("mentions", F.coalesce("n", F.lit(0))).alias("mentions")), "pii-mentions")
+    held = staged(known.groupBy("pattern", "value", "kind").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-held")
+    scores, before = seeds, n_seeds
     for _ in range(rounds):
-        held = known.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
-        marks = held.join(scores, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
-        marks = marks.join(supported, ["pattern", "kind"]).join(mentions, "pattern")
-        marks = staged(marks.select("pattern", "kind", F.least(F.col("mass") / (F.col("mentions") + 1), F.lit(0.999)).alias("confidence")), "pii-marks")
-        new = known.where("seed < 0").select("pattern", "value").distinct().join(marks, "pattern")
-        new = new.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")).join(seeds, ["value", "kind"], "left_anti")
-        scores = staged(seeds.union(new.select("value", "kind", "score")), "pii-scores")
-    return marks.where(F.col("confidence") >= confidence)
+        mass = held.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= support)
+        share = F.least(F.col("mass") / (F.col("mentions") + 1), F.lit(0.999))
+        marks = mass.join(mentions, "pattern").select("pattern", "kind", share.alias("confidence")).where(F.col("confidence") >= confidence)
+        marks = staged(marks, "pii-marks")
+        new = held.where("seed < 0").join(marks, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+        scores = staged(seeds.union(new.join(seeds, ["value", "kind"], "left_anti").select("value", "kind", "score")), "pii-scores")
+        now = scores.count()
+        if now == before:
+            break
+        before = now
+    return marks
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -263,7 +324,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     """``doc_id, base, all, base_sha256`` of every row, spans as (start, kind, end).
 
     ``base`` has what the four rules find, ``all`` also what patterns find beside
-    it; kinds are numbered as in :data:`KINDS`.
+    it; kinds are numbered as in :data:`KINDS`.  What patterns may find is a token
+    between spaces (of 5 characters or more, with a digit, ``@``, ``:``, ``=`` or
+    ``[at]``), digits in groups one space apart, or an address with `` at `` and
+    `` dot ``; names and other words without such a sign stay out, and so does an
+    identifier whose own context has fewer than ``support`` known ones.
 
     A null text is an empty one without spans; a null id stays null; repeated
     rows each give a row; no rows give an empty result.
@@ -288,6 +353,7 @@ def _redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None
     return "".join([*parts, text[at:]])
 
 
+@lean
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -301,7 +367,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     """``docs`` with every span replaced by ``<kind>``, and ``chars_col``, if there, set to the new length.
 
     Spans of patterns come by a join on the hash of id and text; the rules' are
-    found anew where the text is.
+    found anew where the text is.  What is found is said at :func:`find_pii`.  A
+    null text stays null with its length, an empty one empty; rows with a null id
+    and repeated rows are redacted like others; no rows give none.
     """
     prepare(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
