@@ -8,10 +8,12 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: A term is rare if no more than one document in so many has it.
+RARE = 20
 #: A term: letters and digits of any script, lower-cased.
 TERM = r"[\p{L}\p{N}]+"
 
@@ -37,22 +39,62 @@ def tokens(texts: DataFrame, *keys: str) -> DataFrame:
     return split.select(*keys, "size", F.explode("w").alias("term")).groupBy(*keys, "size", "term").agg(F.count("*").alias("tf"))
 
 
+def _postings(corpus: DataFrame, group: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(``group, term, doc, part``: what each term adds to its documents' scores, ``group, term, df, most``: in how many it is, and the most it adds)."""
+    t = tokens(corpus, *group, "doc")
+    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("n"))
+    stats = sizes.groupBy(*group).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_size"))
+    df = t.groupBy(*group, "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"))
+    df = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row
+    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+    def part(tf: str, size: str) -> Column:
+        return idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.col("avg_size")))
+
+    terms = df.withColumn("most", part("max_tf", "min_size"))
+    return t.join(df, [*group, "term"]).select(*group, "term", "doc", part("tf", "size").alias("part")), terms.select(*group, "term", "df", "docs", "most")
+
+
 def bm25(corpus: DataFrame, queries: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """``group, doc, query, score`` of all pairs that share a term.
 
     ``corpus`` is ``group, doc, text`` and ``queries`` ``group, query, text``;
     statistics are those of the group's corpus.  A query's term counts once.
+    All pairs come out, so this is for groups of bounded size (two runs);
+    :func:`bm25_top` is for a whole corpus.
     """
-    t = tokens(corpus, *group, "doc")
-    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("n"))
-    stats = sizes.groupBy(*group).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_size"))
-    df = t.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    df = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row
+    postings, _ = _postings(corpus, group)
     q = tokens(queries, *group, "query").select(*group, "query", "term")
-    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
-    joined = q.join(df, [*group, "term"]).join(t, [*group, "term"])
-    return joined.groupBy(*group, "doc", "query").agg(F.sum(part).alias("score"))
+    return q.join(postings, [*group, "term"]).groupBy(*group, "doc", "query").agg(F.sum("part").alias("score"))
+
+
+def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """``query, doc, score, rank``: the ``k`` best documents of each query, exactly, without a score for every pair.
+
+    Scores count rounded, ties go to the smaller document.  A query's rarer terms
+    alone give scores whose ``k``-th is a bound from below.  Its commonest terms
+    that together can't reach the bound bring in no document by themselves: only
+    documents with another term are candidates, and what those terms add is
+    looked up for candidates alone.  So the long lists of stop words are met by
+    few pairs; a query whose rare terms match fewer than ``k`` documents has no
+    bound and takes all its terms.
+    """
+    postings, terms = _postings(corpus, ())
+    q = tokens(queries, "query").select("query", "term").join(terms, "term")
+    rare = q.where(F.col("df") * RARE <= F.col("docs")).select("query", "term")
+    first = rare.join(postings, "term").groupBy("query", "doc").agg(F.sum("part").alias("low"))
+    best = Window.partitionBy("query").orderBy(F.desc("low"), "doc")
+    bound = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query").agg(F.min("low").alias("low"), F.count("*").alias("n"))
+    bound = bound.where(F.col("n") == k).select("query", (F.col("low") - 2 * 10.0**-digits).alias("bound"))
+    upto = Window.partitionBy("query").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    marked = q.join(bound, "query", "left").withColumn("common", F.coalesce(F.sum("most").over(upto) < F.col("bound"), F.lit(False)))
+    met = marked.where("not common").select("query", "term").join(postings, "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
+    left = marked.where("common").groupBy("query").agg(F.sum("most").alias("left"))
+    candidates = met.join(bound, "query", "left").join(left, "query", "left").where(F.coalesce(F.col("score") + F.coalesce("left", F.lit(0.0)) >= F.col("bound"), F.lit(True))).select("query", "doc", "score")
+    more = candidates.join(marked.where("common").select("query", "term"), "query").join(postings, ["term", "doc"]).groupBy("query", "doc").agg(F.sum("part").alias("more"))
+    scored = candidates.join(more, ["query", "doc"], "left").select("query", "doc", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def align(scores: list[list[float]], threshold: float) -> list[int | None]:
@@ -148,5 +190,3 @@ def diagnostics(oracle: DataFrame, candidate: DataFrame, matched: DataFrame) ->
     return joined.select(
         "pair", F.try_divide(F.coalesce("matched", F.lit(0)).cast("double"), F.col("oracle_steps")).alias("coverage"), F.try_divide((F.col("steps") - F.col("keys")).cast("double"), F.col("steps")).alias("repetition")
     )
-
-

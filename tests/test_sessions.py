@@ -201,6 +201,21 @@ def test_steps_are_matched_by_what_they_say(spark):
     assert pairs(found) == [(0, 0), (2, 2), (3, 3)]
 
 
+def test_the_best_documents_without_all_scores(spark):
+    rnd = random.Random(23)
+    common, rare = [f"c{k}" for k in range(5)], [f"r{k}" for k in range(60)]
+    docs = [(i, " ".join([rnd.choice(common) for _ in range(rnd.randint(0, 9))] + rnd.sample(rare, rnd.randint(0, 3)))) for i in range(300)]
+    asks = [(i, " ".join(rnd.sample(common, 3) + rnd.sample(rare, rnd.choice([0, 1, 4])))) for i in range(25)] + [(90, "nowhere"), (91, "")]
+    corpus, queries = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(asks, "query long, text string")
+    whole = {}
+    for r in matching.bm25(corpus, queries).collect():
+        whole.setdefault(r.query, []).append((-round(r.score, 6), r.doc))
+    got = {}
+    for r in matching.bm25_top(corpus, queries, 7).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((-r.score, r.doc))
+    assert got == {k: sorted(v)[:7] for k, v in whole.items()}
+
+
 def test_collapse_prefers_transcripts_and_filters_come_first(spark):
     row = "id string, harness string, session_id string, source_id string, position long, sub_index long, kind string, tool_call_id string, text string, timestamp string, is_hook boolean"
     rows = [("h", "cursor", "s", "a", 1, 0, "tool_result", "t", "hook copy", None, True), ("m", "cursor", "s", "b", 9, 0, "tool_result", "t", "main", None, False), ("n", "cursor", "s", "b", 8, 0, "tool_result", None, "free", None, False)]
