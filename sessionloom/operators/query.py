@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parse_bound
@@ -112,6 +113,25 @@ def summaries(records: DataFrame, events: DataFrame, q: Query) -> DataFrame:
     return recs.join(evs, list(SESSION), how).select(*SESSION, "records", F.coalesce("events", F.lit(0)).alias("events"), "first_timestamp", "last_timestamp")
 
 
+def read_records(records: DataFrame, q: Query) -> DataFrame:
+    """Records of the chosen sessions, whole."""
+    return records.where(q.on_records())
+
+
+def record_keys(records: DataFrame, q: Query) -> DataFrame:
+    """Which records there are, without what they hold: only three columns are read."""
+    return records.where(q.on_records()).select("id", *SESSION)
+
+
+def each(rows: DataFrame, emit: Callable[[Row], None]) -> int:
+    """Hand the rows over one by one in their order; at most one partition of them is on the driver."""
+    n = 0
+    for row in rows.toLocalIterator():
+        emit(row)
+        n += 1
+    return n
+
+
 def search_sessions(events: DataFrame, needle: str = "") -> DataFrame:
     """Sessions with any match of text, harness or id, whatever the case; all of their events are counted."""
     low = F.lit(needle.lower())

@@ -154,6 +154,12 @@ def session_summaries_filtered(spark, d):
     return Q.summaries(e.select(F.col("record_id").alias("id"), *Q.SESSION), e, Q.Query(kind="tool_result", text="42"))
 
 
+@register("record_keys", EV + " select id, harness, session_id from ev where harness = 'codex' and session_id = 'u3'")
+def record_keys(spark, d):
+    records = lift.events(spark, d).select(F.col("record_id").alias("id"), *Q.SESSION, "text")
+    return Q.record_keys(records, Q.Query(harness="codex", session="u3"))
+
+
 @register(
     "session_search",
     "select 'pi' as harness, 'c' || conv_id as session_id, count(*) as events, arg_min(left(text, 100), turn) filter (where text <> '') as preview from conversations group by conv_id having bool_or(coalesce(contains(lower(text), 'tion'), false))",

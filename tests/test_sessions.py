@@ -232,6 +232,16 @@ def test_filters_reach_the_scan(spark, tmp_path, parsed):
     assert "EqualTo(kind,message)" in plan and "StringContains(text,ato)" in plan
 
 
+def test_keys_read_three_columns_and_rows_come_one_by_one(spark, tmp_path, parsed):
+    path = str(tmp_path / "r")
+    transcripts.records_of(parsed).write.parquet(path)
+    stored = spark.read.parquet(path)
+    keys = Q.record_keys(stored, Q.Query(session="green-7"))
+    assert keys.columns == ["id", "harness", "session_id"] and "raw:" not in keys._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    assert Q.each(Q.read_records(stored, Q.Query(harness="codex")).orderBy("position"), lambda r: seen.append(r.position)) == 7 and seen == sorted(seen)
+
+
 def test_bounds():
     assert X.parse_bound("2026-10-01T12:00:00.1239+02:00") == "2026-10-01T10:00:00.123Z"
     with pytest.raises(ValueError):
