@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, row_columns, with_row
+from .common import lean, pick, prepare, row_columns, with_row
 from .words import grams, hashed
 
 SEED = 3
@@ -66,9 +66,13 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]], seed: int):
         self.seed, self.ids, self.words = seed, [], []
+        #: Items too short for a seed, by their words.
+        self.short: dict[bytes, list[int]] = defaultdict(list)
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in rows:
             h = hashed(words_of(text))
+            if 0 < len(h) < seed:
+                self.short[h.tobytes()].append(item_id)
             if len(h) >= seed:
                 k = len(self.ids)
                 self.ids.append(item_id)
@@ -108,7 +112,10 @@ class Items:
 
         A passage without a rare n-gram is aligned where its words allow ``least``:
         no alignment matches more of the item's words than occur in the passage.
+        An item of fewer words than a seed has is only found as a whole text.
         """
+        if len(h) < self.seed:
+            return [(i, 1.0, 0, len(h), 0) for i in self.short.get(h.tobytes(), ())] if len(h) else []
         where, which = self.hits(h)
         by_item: dict[int, list[tuple[int, bool]]] = defaultdict(list)
         for p, g, seed in zip(where.tolist(), which.tolist(), rare[which].tolist()):
@@ -138,6 +145,7 @@ class Items:
 
 
 def _frequencies(items):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
         count = np.zeros(len(own.grams), np.int64)
@@ -156,6 +164,7 @@ _FOUND = "doc_id long, item_id long, score double, first_word long, n_words long
 
 
 def _find(items, rare, least: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
         for batch in batches:
@@ -172,11 +181,12 @@ def _find(items, rare, least: float):
     return run
 
 
-def _blocks(rows: DataFrame, benchmark: DataFrame, seed: int, ratio: float, block_items: int, item_col: str, text_col: str):
+def _blocks(rows: DataFrame, benchmark: DataFrame, seed: int, ratio: float, block_items: int, block_bytes: int, item_col: str, text_col: str):
     """For each block of items: the items, and which of their n-grams are rare in ``rows``."""
     spark = rows.sparkSession
     items = pick(benchmark, item_id=item_col, text=text_col).select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // block_items))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // block_bytes))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = Items([(r["item_id"], r["text"]) for r in part], seed)
@@ -195,6 +205,7 @@ def find_leaks(
     seed: int = SEED,
     ratio: float = 4.0,
     block_items: int = 20000,
+    block_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -207,23 +218,25 @@ def find_leaks(
     exact copy), and at least ``least``; ``n_seeds`` counts the item's rare n-grams
     in the document, and may be 0 where copies of the leak made all of them
     common.  A copy of which no ``seed`` words in a row survive is not found.
-    ``block_items`` bounds the items taken at once.
+    An item of fewer than ``seed`` words is found where it is a whole document.
+    ``block_items`` and ``block_bytes`` bound the items taken, and broadcast, at
+    once (by more than that only if one item alone is longer).
 
-    Null and empty texts, and items of fewer than ``seed`` words, align with
-    nothing; a null document id stays null; repeated rows of a document each give
+    Null and empty texts align with nothing; a null document id stays null; repeated rows of a document each give
     their rows, repeated items count once; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     out = None
-    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, item_col, item_text_col):
+    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, block_bytes, item_col, item_text_col):
         found = rows.mapInArrow(_find(items, rare, least), _FOUND)
         out = found if out is None else out.union(found)
     return out
 
 
 def _clean(items, rare, least: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
         for batch in batches:
@@ -233,12 +246,17 @@ def _clean(items, rare, least: float):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = SEED, ratio: float = 4.0, block_items: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows of ``docs`` that hold no passage of the benchmark."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = SEED, ratio: float = 4.0, block_items: int = 20000, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows of ``docs`` that hold no passage of the benchmark.
+
+    What counts is said at :func:`find_leaks`.  Rows with null or empty texts stay;
+    a null id and repeated rows go by their text alone; no rows, or no items, drop
+    nothing.
+    """
     prepare(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     carried = with_row(docs, text=text_col)
-    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, "item_id", "text"):
+    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, block_bytes, "item_id", "text"):
         carried = carried.mapInArrow(_clean(items, rare, least), carried.schema)
     return row_columns(carried, docs)
 
