@@ -18,18 +18,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, prepare
+from .common import lean, pick, prepare
 
 SCALE = 1024.0
 BLOCK = 8192
 
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
 def integers(vector: list[float | None] | None) -> np.ndarray | None:
-    """floor(1024 * x) of each component, or None if any is null or not finite."""
+    """floor(1024 * x) of each component, or None if any is null or not finite.
+
+    What 1024 times a component can't be as a double counts as the largest double.
+    """
     if vector is None or any(x is None for x in vector):
         return None
-    x = np.floor(SCALE * np.array(vector, dtype=np.float64))
-    return x if np.isfinite(x).all() else None
+    x = np.array(vector, dtype=np.float64)
+    if not np.isfinite(x).all():
+        return None
+    most = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(SCALE * x), -most, most)
+
+
+def _held(score: int) -> int:
+    """A score as a 64-bit integer: the nearest one, where it is beyond them."""
+    return max(LEAST, min(MOST, score))
 
 
 class Lists:
@@ -39,11 +54,43 @@ class Lists:
         self.ids = np.array(ids, dtype=np.int64)
         self.x = np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
         self.order = np.argsort(self.x, axis=0, kind="stable").T if len(ids) else np.zeros((0, 0), np.int64)
+        self.largest = float(np.abs(self.x).max(initial=0))
+        #: The longest vector, rounded up so that a bound from it holds.
+        self.length = float(np.sqrt((self.x**2).sum(1).max(initial=0))) * (1 + 1e-9) if self.largest < 1e150 else np.inf
+        #: How many of the vectors the last search scored.
+        self.scored = 0
+
+    def bound(self, q: np.ndarray, up: np.ndarray, down: np.ndarray, depth: int) -> int:
+        """What a vector not met so far can reach at most.
+
+        Its components are no better than those where the lists stand, and its
+        length is no more than the longest one's: with components held to the
+        lists' where that is what limits them, the rest of the length goes along
+        the query.
+        """
+        n = len(self.ids)
+        weights = np.concatenate([-q[up], q[down]])
+        caps = np.concatenate([-self.x[self.order[up, depth], up], self.x[self.order[down, n - 1 - depth], down]])
+        listed = sum(int(a) * int(b) for a, b in zip(weights, caps))
+        if not np.isfinite(self.length) or self.largest * float(weights.max(initial=0)) >= 1e150:
+            return listed
+        # the components whose caps lie furthest below a vector along the query are held to them; the
+        # sum is concave, so that is the most if it still rises toward the caps of all that are held
+        ratio = caps / weights
+        order = np.argsort(ratio, kind="stable")
+        w, c, ratio = weights[order], caps[order], ratio[order]
+        held, left = np.concatenate([[0.0], np.cumsum(w * c)]), self.length**2 - np.concatenate([[0.0], np.cumsum(c**2)])
+        rest = np.concatenate([np.cumsum((w**2)[::-1])[::-1], [0.0]])
+        along = np.sqrt(np.maximum(left[:-1], 0.0) / rest[:-1])
+        valid = (left[:-1] >= 0) & (np.concatenate([[-np.inf], ratio[:-1]]) <= along)
+        most = (held[:-1] + along * rest[:-1])[valid].min(initial=np.inf)
+        slack = 1 + 1e-9 * self.length * float(np.sqrt(rest[0]))
+        return min(listed, int(np.ceil(most + slack))) if np.isfinite(most) else listed
 
     def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Integer inner products; whole numbers below 2**53 are exact as doubles."""
-        if len(q) and np.abs(q).max(initial=0) * np.abs(self.x).max(initial=0) * len(q) >= 2.0**53:
-            return np.array([sum(int(a) * int(b) for a, b in zip(self.x[r], q)) for r in rows], dtype=object)
+        if len(q) and float(np.abs(q).max(initial=0)) * self.largest * len(q) >= 2.0**53:
+            return np.array([_held(sum(int(a) * int(b) for a, b in zip(self.x[r], q))) for r in rows], dtype=object)
         return self.x[rows] @ q
 
     def search(self, q: np.ndarray, own: int, k: int, best: list[tuple]) -> list[tuple]:
@@ -55,12 +102,8 @@ class Lists:
         up, down = dims[q[dims] < 0], dims[q[dims] > 0]
         while depth < n:
             # what a vector not met so far can reach at most
-            if len(best) == k and len(dims):
-                bound = sum(int(a) * int(b) for a, b in zip(q[up], self.x[self.order[up, depth], up])) + sum(
-                    int(a) * int(b) for a, b in zip(q[down], self.x[self.order[down, n - 1 - depth], down])
-                )
-                if -best[-1][0] > bound:
-                    break
+            if len(best) == k and len(dims) and -best[-1][0] > _held(self.bound(q, up, down, depth)):
+                break
             end = min(n, depth + step) if len(dims) else n
             met = np.zeros(n, bool)
             if len(dims):
@@ -88,10 +131,12 @@ class Lists:
             depth, step = end, 2 * step
             if seen.all():
                 break
+        self.scored = int(seen.sum())
         return best
 
 
 def _search(queries, k: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for i, q in queries.value:
@@ -125,7 +170,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: in
     """``query_id, rank, vec_id, score``: the ``k`` best of ``vectors`` for each row of ``queries``.
 
     Components count as floor(1024 * x); ties go to the smaller id; vectors with
-    a query's own id aren't among its results.  Queries are taken
+    a query's own id aren't among its results; a score beyond 64 bits counts as
+    the nearest 64-bit integer.  Queries are taken
     ``block_queries`` at a time, each block against all vectors.
 
     Rows with a null id or vector, or with a null or non-finite component, take
@@ -137,7 +183,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: in
     prepare(spark)
     rows = pick(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long"), "v")
     asked = pick(queries, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long"), "v").where("vec_id is not null and v is not null")
-    asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asked.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // block_queries))
     out = None
     for b in range(blocks):
