@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_index, drop, pick, prepare, row_columns, staged, with_row
+from .common import column_index, drop, lean, pick, prepare, row_columns, staged, with_row
 from .components import components
 from .words import mix, shingles
 
@@ -67,6 +67,7 @@ def halves(m: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, keys, sketches = [], [], [], []
@@ -83,11 +84,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x, SIZE).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["id", "s"])
 
 
+@lean
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sketches leave the threshold possible, with the number of agreeing minhashes."""
     for batch in batches:
@@ -98,6 +101,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32))], ["a", "b", "n"]).filter(keep)
 
 
+@lean
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -148,6 +152,7 @@ def _mixed(members: DataFrame, by: str) -> DataFrame:
     return staged(members.join(mixed, by).select("a", "id", "c").distinct(), "mixed")
 
 
+@lean
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -220,6 +225,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lean
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each left set, a link to every other component that has one in the right tile."""
     sides: list[list[tuple[int, int, np.ndarray]]] = [[], []]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, pick, prepare, staged
+from .common import crc_bucket, lean, pick, prepare, staged
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_spread", "upper", "digits", "symbols", "bars", "marks", "exclaims",
@@ -78,12 +78,14 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [statistics(x or "") for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
 
+@lean
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of one task for each class: count, vector and outer product, as (label, place, value)."""
     k = len(FEATURES)
@@ -147,6 +149,7 @@ def fit(features: DataFrame, labels: DataFrame, pooled: float = 0.05, diagonal:
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_index, crc_bucket, pick, prepare, row_columns, staged, with_row
+from .common import column_index, crc_bucket, lean, pick, prepare, row_columns, staged, with_row
 
 FEATURES = (
     "hits", "hit_rate", "distinct_hits", "weight", "weight_rate", "starter_rate", "near_you", "you_rate", "upper", "shouted",
@@ -85,6 +85,7 @@ def features(text: str, lexicon: dict[bytes, float]) -> list[float]:
 # --- lexicon ---------------------------------------------------------------
 
 
+@lean
 def _word_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, fold, toxic texts, other texts, surroundings) of one task; surroundings is a set of 62 hashed left neighbours."""
     import xxhash
@@ -235,6 +236,7 @@ class Model:
 
 
 def _sample_features(lexicons):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -256,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> Model:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int"))
     # at most max_labelled ids
-    sample = docs.join(F.broadcast(staged(chosen, "labelled")), "doc_id").dropDuplicates(["doc_id"]).select("text", "label", "fold")
+    sample = docs.join(F.broadcast(staged(chosen, "labelled")), "doc_id").groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text")).select("text", "label", "fold")
     sample = staged(sample, "sample")
     lexicons = learn_lexicons(sample)
     rows = sample.mapInArrow(_sample_features(lexicons), "x array<double>, label int, fold int").collect()
@@ -275,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20000) -> Model:
 
 
 def _score(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
@@ -294,8 +297,9 @@ def toxicity_scores(
     A row is held out if crc32 of its id as text leaves ``rest`` on division by
     ``holdout``; labels of such rows aren't used.  A null text is an empty one,
     which has a score too; a null id stays null and never learns; repeated rows
-    each get their score; an id labelled twice counts once (1 wins); without
-    labels of both classes every score is 0.
+    each get their score; an id labelled twice counts once (1 wins), and one with
+    several texts is learned by the least of them; without labels of both classes
+    every score is 0.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -306,6 +310,7 @@ def toxicity_scores(
 
 
 def _keep(model, threshold: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.value.score(batch.column(1).to_pylist())
@@ -315,7 +320,12 @@ def _keep(model, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, holdout: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows of ``docs`` that score below ``threshold``."""
+    """All columns of the rows of ``docs`` that score below ``threshold``.
+
+    Scores are those of :func:`toxicity_scores`, for null and empty texts too;
+    rows with a null id, repeated rows and extra columns are kept or dropped by
+    their text alone; no rows, or no labels of both classes, drop nothing.
+    """
     spark = docs.sparkSession
     prepare(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
