@@ -48,7 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The result is that of the last stage: a row for each piece of each kept
+    document.  Null and empty texts are clean and unlike each other, so each keeps
+    its row and becomes a piece with the end id alone; rows that repeat an id go
+    or stay together as near copies, and are packed each; an empty table gives no
+    pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_dir(spark, f"pipeline-{name}")
