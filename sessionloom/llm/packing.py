@@ -2,15 +2,18 @@
 
 Lengths are integers from 1 to the capacity, so a corpus is, for packing, one
 count for each length.  The search works on kinds of bins (a multiset of
-lengths, and how many bins there are of that kind), whose number depends on the
-capacity and not on the corpus; each kind of move is applied to as many bins at
-once as both sides have.  Pieces then find their place by their rank among the
-pieces of their length, so no piece is ever collected.
+lengths, and how many bins there are of that kind); each move is applied to as
+many bins at once as both sides have, and the search ends when no move is left.
+Best fit uses up, with each kind it makes, an older kind or a length, so it
+leaves at most three kinds for each length whatever the corpus; a move adds two
+at most.  Pieces find their place by their rank among the pieces of their
+length, so no piece is ever collected.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, staged
+from .common import lean, pick, prepare, staged
 from .tokens import encoder, tokenizer_path
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -77,25 +80,48 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return Counter({tuple(sorted(k, reverse=True)): n for k, n in full.items() if n})
 
 
-def local_search(bins: Counter, capacity: int, rounds: int = 2000) -> Counter:
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Exchange or move lengths between underfull bins while squared fill grows.
 
     Moves: one piece from a bin to a fuller one; one piece for a larger one; two
     pieces for one larger.  Each lets the fuller bin gain and the emptier one
     lose the same amount, which always increases the sum of squared fills; a bin
-    that empties is gone.  ``rounds`` bounds the number of moves of groups; the
-    packing is valid after any of them.
+    that empties is gone.  It ends when no two bins have a move left: whether two
+    kinds have one depends on them alone, so each pair is tried once, and again
+    only with a kind that has come anew.
     """
     bins = Counter(bins)
     fill = {k: sum(k) for k in bins}
+    untried: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
+    givers: list[tuple[int, tuple[int, ...]]] = []  # a heap: the emptiest gives first
+
+    def pair(giver: tuple[int, ...], taker: tuple[int, ...]) -> None:
+        if not untried.setdefault(giver, []):
+            heapq.heappush(givers, (fill[giver], giver))
+        untried[giver].append(taker)
+
+    def enter(new: tuple[int, ...]) -> None:
+        """A kind that wasn't there: it may give to and take from all others."""
+        if fill[new] < capacity:
+            for other in sorted((k for k in bins if fill[k] < capacity and k != new), key=fill.__getitem__):
+                if fill[other] >= fill[new]:
+                    pair(new, other)
+                if fill[other] <= fill[new]:
+                    pair(other, new)
 
     def change(old: tuple[int, ...], new: tuple[int, ...], n: int) -> None:
         bins[old] -= n
         if not bins[old]:
             del bins[old]
+            untried.pop(old, None)
         if new:
-            bins[new] += n
             fill[new] = sum(new)
+            before = bins[new]
+            bins[new] += n
+            if not before:
+                enter(new)
+            if before < 2 <= bins[new] and fill[new] < capacity:
+                pair(new, new)
 
     def without(kind: tuple[int, ...], *lengths: int) -> list[int]:
         rest = list(kind)
@@ -131,27 +157,25 @@ def local_search(bins: Counter, capacity: int, rounds: int = 2000) -> Counter:
             tuple(sorted([*without(taker, *take), *give], reverse=True)),
         )
 
-    for _ in range(rounds):
-        under = sorted((k for k in bins if fill[k] < capacity), key=lambda k: (fill[k], k))
-        if len(under) + sum(bins[k] > 1 for k in under) < 2:
-            break
-        # the emptiest bins give to the fullest that can take
-        for giver in under[:32]:
-            done = False
-            for taker in reversed(under):
-                if fill[taker] < fill[giver] or (taker == giver and bins[giver] < 2):
-                    continue
-                if new := move(giver, taker):
-                    n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-                    change(giver, new[0], n)
-                    change(taker, new[1], n)
-                    done = True
-                    break
-            if done:
-                break
-        else:
-            break
-    return bins
+    under = sorted((k for k in bins if fill[k] < capacity), key=lambda k: (fill[k], k))
+    for i, giver in enumerate(under):
+        for taker in under[i + 1 :] if bins[giver] < 2 else under[i:]:
+            pair(giver, taker)
+        for taker in (k for k in under[:i] if fill[k] == fill[giver]):
+            pair(giver, taker)
+    while givers:
+        _, giver = givers[0]
+        if not untried.get(giver):
+            heapq.heappop(givers)
+            continue
+        taker = untried[giver].pop()  # the fullest, or one that has come since
+        if bins[taker] < (2 if taker == giver else 1):
+            continue
+        if new := move(giver, taker):
+            n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+            change(giver, new[0], n)
+            change(taker, new[1], n)
+    return +bins
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> Counter:
@@ -162,29 +186,46 @@ def pack_counts(counts: dict[int, int], capacity: int) -> Counter:
 
 
 class Slots:
-    """Where the r-th piece of a length goes: its sequence and offset."""
+    """Where the r-th piece of a length goes: its sequence and offset.
+
+    A kind has one entry for each of its different lengths, of which, as they
+    add up to the capacity at most, there are fewer than the root of twice that.
+    """
 
     def __init__(self, bins: Counter):
         base, spans = 0, defaultdict(list)  # length -> [(first rank, first sequence, bins, offset)]
         given: Counter = Counter()
         for kind in sorted(bins, key=lambda k: (-sum(k), k)):
             n, offset = bins[kind], 0
-            for length in kind:
-                spans[length].append((given[length], base, offset))
-                given[length] += n
-                offset += length
+            for length, times in Counter(kind).items():
+                spans[length].append((given[length], base, n, offset))
+                given[length] += n * times
+                offset += length * times
             base += n
         self.total = base
         self.by_length = {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for k, v in spans.items()}
 
+    def shares(self, entries: int) -> list[Slots]:
+        """The same, a bounded number of entries at a time (but a length is never split)."""
+        out, size = [], entries + 1
+        for length, span in sorted(self.by_length.items()):
+            size += len(span[0])
+            if size > entries:
+                size = len(span[0])
+                out.append(object.__new__(Slots))
+                out[-1].total, out[-1].by_length = self.total, {}
+            out[-1].by_length[length] = span
+        return out or [self]
+
     def place(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
         for length in np.unique(lengths):
             at = np.nonzero(lengths == length)[0]
-            first, base, off = self.by_length[int(length)]
+            first, base, bins, off = self.by_length[int(length)]
             k = np.searchsorted(first, ranks[at], side="right") - 1
-            sequence[at] = base[k] + ranks[at] - first[k]
-            offset[at] = off[k]
+            nth = ranks[at] - first[k]
+            sequence[at] = base[k] + nth % bins[k]
+            offset[at] = off[k] + nth // bins[k] * length
         return sequence, offset
 
 
@@ -194,6 +235,7 @@ class Slots:
 def _cut(path: str, capacity: int, end: bytes):
     """Pieces of each text, each with its rank among its task's pieces of that length."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -222,6 +264,7 @@ def _cut(path: str, capacity: int, end: bytes):
 
 
 def _place(slots):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = slots.value
         for batch in batches:
@@ -234,11 +277,13 @@ def _place(slots):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | None = 2, max_entries: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Documents of more than ``capacity`` ids are cut into pieces of that length,
     the first piece taking the remainder, so that all others fill a sequence.
+    ``max_entries`` bounds what is broadcast of the places (32 bytes each); more
+    are taken by stretches of lengths, each of which reads its pieces.
 
     A null text is an empty one (a piece with the end id alone; without an end
     id an empty text has no piece); a null id stays null; each of repeated rows
@@ -254,9 +299,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int | No
     counts = {x["length"]: x["n"] for x in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = by_task.select("length", "part", F.coalesce(before, F.lit(0)).alias("first"))
-    slots = spark.sparkContext.broadcast(Slots(pack_counts(counts, capacity)))  # bounded by the capacity
+    shares = Slots(pack_counts(counts, capacity)).shares(max_entries)
     ranked = pieces.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("nth"))
-    return ranked.mapInArrow(_place(slots), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long").withColumn("length", F.col("length").cast("long"))
+    out = None
+    for share in shares:
+        own = ranked.where(F.col("length").between(min(share.by_length), max(share.by_length))) if len(shares) > 1 else ranked
+        placed = own.mapInArrow(_place(spark.sparkContext.broadcast(share)), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+        out = placed if out is None else out.union(placed)
+    return out.withColumn("length", F.col("length").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
