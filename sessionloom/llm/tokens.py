@@ -26,8 +26,8 @@ _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Letters of long standing, alike in every version of Unicode and stable under NFC.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f"
 _WORD = re.compile(f"[{_LETTERS}]+")
-_WORD_MARK = re.compile(f"([{_LETTERS}]+)([,.!?;:])")
-_LINES = re.compile(f"([{_LETTERS}]+)([,.!?;:]?)\n([{_LETTERS}]+)([,.!?;:]?)")
+#: Signs that, after a word, are a piece of their own together (an apostrophe may not be, nor ``<``).
+_TAIL = ",.!?;:#$%&*"
 _LONG = 64
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -52,18 +52,27 @@ def tokenizer_path(name_or_path: str) -> str:
 
 
 def tokenizer_digest(path: str, settings: str = "no specials, no truncation, no padding") -> str:
-    """Hex SHA-256 of the tokenizer's file and of the settings that change counts."""
+    """Hex SHA-256 of the tokenizer's file, the library's version and the settings that change counts."""
     import hashlib
+    from importlib.metadata import version
 
-    digest = hashlib.sha256(settings.encode())
+    digest = hashlib.sha256(f"{settings}; tokenizers {version('tokenizers')}".encode())
     with open(path, "rb") as f:
         for block in iter(lambda: f.read(1 << 20), b""):
             digest.update(block)
     return digest.hexdigest()
 
 
+def _plain(word: str) -> bool:
+    """Whether the splitting rule keeps a word together, and apart from a mark after it."""
+    return word.isalpha() if word.isascii() else _WORD.fullmatch(word) is not None
+
+
 class _Kept(dict):
-    """A dictionary that makes what it lacks and forgets in two generations."""
+    """A dictionary that makes what it lacks and forgets in two generations.
+
+    What is long, or goes over the end of a line, hardly comes again and isn't kept.
+    """
 
     def __init__(self, make, limit: int):
         self.make, self.limit, self.old = make, limit, {}
@@ -72,7 +81,7 @@ class _Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > _LONG:
+            if len(key) > _LONG or "\n" in key:
                 return value
         self[key] = value
         return value
@@ -87,13 +96,14 @@ class ChunkEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
     A text is cut at spaces where the tokenizer's rule allows it; a chunk that
-    is a plain word, with or without a mark after it, goes to the library's BPE
-    model as it stands, and any other chunk through the whole library.
+    is a plain word, with or without marks after it, goes to the library's BPE
+    model as it stands, as does each side of one end of a line between two such,
+    and any other chunk through the whole library.
     ``limit`` bounds the entries of each generation of what is remembered, so
     memory stays bounded however many distinct words a corpus has.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -107,7 +117,9 @@ class ChunkEncoder:
         self.kind = self._kind(spec)
         self.chunks = _Kept(self._byte_chunk if self.kind == "byte" else self._word_chunk, limit)
         self.firsts = _Kept(self._library, limit // 8)
-        self.pieces = _Kept(self._piece, limit // 2)
+        self.heads = _Kept(self._byte_head, limit // 4)
+        self.pieces = _Kept(self._piece, limit // 16)
+        self.newline = self._piece("\n") if self.kind == "byte" else b""
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -143,27 +155,35 @@ class ChunkEncoder:
 
     def _byte_chunk(self, chunk: str) -> bytes:
         """A space and the chunk."""
-        pieces = self.pieces
-        if _WORD.fullmatch(chunk):
-            return self._piece(" " + chunk)
-        if m := _WORD_MARK.fullmatch(chunk):
-            return pieces[" " + m[1]] + pieces[m[2]]
-        if m := _LINES.fullmatch(chunk):
-            a, b, c, d = m.groups()
-            return pieces[" " + a] + (pieces[b] if b else b"") + pieces["\n"] + pieces[c] + (pieces[d] if d else b"")
+        word = chunk.rstrip(_TAIL)
+        if _plain(word):
+            return self._piece(" " + word) if word == chunk else self.chunks[word] + self.pieces[chunk[len(word) :]]
+        before, line, after = chunk.partition("\n")
+        if line and self._simple(before) and self._simple(after):
+            return self.chunks[before] + self.newline + self.heads[after]
         return self._library(" " + chunk)
 
+    def _byte_head(self, chunk: str) -> bytes:
+        """A simple chunk at the begin of a line."""
+        word = chunk.rstrip(_TAIL)
+        return self._piece(word) if word == chunk else self.heads[word] + self.pieces[chunk[len(word) :]]
+
     def _word_chunk(self, chunk: str) -> bytes:
-        pieces = self.pieces
-        if _WORD.fullmatch(chunk):
-            return pieces[chunk.lower()]
-        if m := _WORD_MARK.fullmatch(chunk):
-            return pieces[m[1].lower()] + pieces[m[2]]
-        if m := _LINES.fullmatch(chunk):
-            a, b, c, d = m.groups()
-            return pieces[a.lower()] + (pieces[b] if b else b"") + pieces[c.lower()] + (pieces[d] if d else b"")
+        word = chunk.rstrip(_TAIL)
+        if _plain(word):
+            low = word.lower()
+            own = self._piece(low) if low == chunk else self.chunks[low]
+            return own if word == chunk else own + self.pieces[chunk[len(word) :]]
+        before, line, after = chunk.partition("\n")
+        if line and self._simple(before) and self._simple(after):
+            return self.chunks[before] + self.chunks[after]
         return self._library(chunk)
 
+    @staticmethod
+    def _simple(chunk: str) -> bool:
+        """A plain word, with or without marks after it."""
+        return _plain(chunk.rstrip(_TAIL))
+
     def _one(self, text: str) -> bytes:
         if self.kind == "whole" or (self.marks and "<" in text and any(m in text.lower() for m in self.marks)):
             return self._library(text)
@@ -181,6 +201,7 @@ class ChunkEncoder:
             out.append(self._one(text))
             self.chunks.turn()
             self.firsts.turn()
+            self.heads.turn()
             self.pieces.turn()
         return out
 
