@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, fresh_dir, pick, prepare, staged
+from .common import exists, fresh_dir, lean, pick, prepare, staged
 from .tokens import encoder, tokenizer_digest, tokenizer_path
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 
 
+@lean
 def _distinct_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass on the first row of each digest, texts compressed for the shuffle."""
     import zstandard
@@ -36,6 +37,7 @@ def _distinct_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _encode(path: str, name: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -20,25 +20,37 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, pick, prepare, shuffle_partitions
+from .common import fresh_dir, lean, pick, prepare, shuffle_partitions
 from .tokens import encoder, tokenizer_path
 
 SKIPPABLE, RANGES, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
 _RANGE = struct.Struct("<qqBI")
 _DOC = struct.Struct("<qBI")
-_PARTS = "part long, path string, n_docs long, n_tokens long, n_bytes long"
+_PARTS = "part long, path string, n_docs long, n_tokens long, n_bytes long, low long, high long"
+_NAMES = tuple(x.split()[0] for x in _PARTS.split(", "))
+
+
+#: Hadoop's names of schemes that pyarrow knows by others.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI of a shared folder as pyarrow has it."""
+    scheme, colon, rest = uri.partition("://")
+    return _SCHEMES.get(scheme, scheme) + colon + rest if colon else uri
 
 
 def _fs(uri: str):
     """pyarrow's file system and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 class Writer:
@@ -89,6 +101,7 @@ class Reader:
         import zstandard
 
         self.file, self.unpack = file, zstandard.ZstdDecompressor().decompress
+        self.last: tuple[int, list] = (-1, [])
         file.seek(size - 9)
         n, flags, magic = struct.unpack("<IBI", file.read(9))
         if magic != SEEKABLE or not flags & 0x80:
@@ -106,7 +119,12 @@ class Reader:
             self.starts.append(self.starts[-1] + x[0])
 
     def frame(self, k: int) -> list[tuple[int | None, bytes]]:
-        """Documents of the k-th frame; a checksum that doesn't hold is an error."""
+        """Documents of the k-th frame; a checksum that doesn't hold is an error.  The last one is remembered."""
+        if k != self.last[0]:
+            self.last = (k, self._frame(k))
+        return self.last[1]
+
+    def _frame(self, k: int) -> list[tuple[int | None, bytes]]:
         import xxhash
 
         packed, size, checksum = self.seek[k]
@@ -134,6 +152,7 @@ class Reader:
 
 
 def _write(path: str, folder: str, end: bytes):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -143,17 +162,20 @@ def _write(path: str, folder: str, end: bytes):
         fs.create_dir(f"{root}/_attempts", recursive=True)
         attempt, final = f"{root}/_attempts/{part}-{uuid.uuid4().hex}", f"{root}/part-{part:06d}.tok"
         docs = count = 0
+        low = high = None
         with fs.open_output_stream(attempt) as out:
             writer = Writer(out)
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     ids = tokens.encode([text])[0] + end
                     writer.add(doc_id, ids)
+                    low, high = doc_id if low is None else low, doc_id
                     docs, count = docs + 1, count + len(ids) // 4
             size = writer.close()
         if docs:
             fs.move(attempt, final)  # a second attempt puts the same bytes in its place
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [final], "n_docs": [docs], "n_tokens": [count], "n_bytes": [size]})
+            row = (part, final, docs, count, size, low, high)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if x is final else pa.int64()) for x in row], _NAMES)
         else:
             fs.delete_file(attempt)
 
@@ -163,8 +185,9 @@ def _write(path: str, folder: str, end: bytes):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them as part files in ascending order of id.
 
-    Returns the parts (``part, path, n_docs, n_tokens, n_bytes`` and ``start``,
-    the ids in all parts before), which also go to ``manifest.json`` in
+    Returns the parts (``part, path, n_docs, n_tokens, n_bytes``, the least and
+    greatest id ``low, high``, and ``start``, the ids in all parts before), which
+    also go to ``manifest.json`` in
     ``folder``.  ``folder`` must be one that all executors share.
 
     A null text is an empty one; rows with a null id come first; rows that share
@@ -185,12 +208,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         start += x["n_tokens"]
     fs, root = _fs(folder)
     fs.create_dir(root, recursive=True)
+    fs.create_dir(f"{root}/_attempts")
+    fs.delete_dir(f"{root}/_attempts")  # what failed tasks have left
     with fs.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps({"end_id": end_id, "parts": [dict(zip(("part", "path", "n_docs", "n_tokens", "n_bytes", "start"), x)) for x in parts]}).encode())
+        out.write(json.dumps({"end_id": end_id, "parts": [dict(zip((*_NAMES, "start"), x)) for x in parts]}).encode())
     return spark.createDataFrame(parts, _PARTS + ", start long")
 
 
 def _read(folder: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _fs(folder)
         for batch in batches:
@@ -216,14 +242,22 @@ def _read(folder: str):
     return run
 
 
+def _listed(spark: SparkSession, folder: str) -> list[dict]:
+    fs, root = _fs(folder)
+    with fs.open_input_stream(f"{root}/manifest.json") as f:
+        return json.loads(f.read())["parts"]
+
+
 def read_token_files(spark: SparkSession, folder: str, parts: DataFrame | None = None) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document in the files.
+
+    ``start`` counts the ids of all documents before it, in ascending order of
+    id; repeated and null ids give the rows they were written from, an empty text
+    a row with its end id alone; a folder without parts gives none.
+    """
     prepare(spark)
     if parts is None:
-        fs, root = _fs(folder)
-        with fs.open_input_stream(f"{root}/manifest.json") as f:
-            listed = json.loads(f.read())["parts"]
-        parts = spark.createDataFrame([tuple(x.values()) for x in listed], _PARTS + ", start long")
+        parts = spark.createDataFrame([tuple(x.values()) for x in _listed(spark, folder)], _PARTS + ", start long")
     return (
         parts.repartition(shuffle_partitions(spark), "part")
         .select("path", "n_bytes", "start")
@@ -231,6 +265,59 @@ def read_token_files(spark: SparkSession, folder: str, parts: DataFrame | None =
     )
 
 
+def _parts_of(bounds):
+    """The part files whose range holds an id; ranges ascend and may share an end."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs = ([-(1 << 63) if x is None else x for x in side] for side in bounds.value)
+        for batch in batches:
+            rows = [(k, i) for i in batch.column(0).to_pylist() for k in range(bisect.bisect_left(highs, i), bisect.bisect_right(lows, i))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], []))], ["at", "doc_id"])
+
+    return run
+
+
+def _pick_documents(folder: str, files):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _fs(folder)
+        at = file = reader = None
+        for batch in batches:
+            rows = []
+            for k, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != at:
+                    if file is not None:
+                        file.close()
+                    path, size = files.value[k]
+                    at, file = k, fs.open_input_file(path)
+                    reader = Reader(file, size)
+                rows += [(doc_id, np.frombuffer(ids, np.uint32)) for ids in reader.find(doc_id)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
+        if file is not None:
+            file.close()
+
+    return run
+
+
+def read_documents(spark: SparkSession, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, ids`` of the wanted documents; only the frames that hold them are decompressed.
+
+    Each distinct id of ``wanted`` is looked up once; an id that several rows were
+    written under gives each of them, one that isn't there and null give none.
+    """
+    prepare(spark)
+    listed = _listed(spark, folder)
+    if not listed:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    # a row for a part file: bounded by the number of partitions that wrote them
+    bounds = spark.sparkContext.broadcast(([x["low"] for x in listed], [x["high"] for x in listed]))
+    files = spark.sparkContext.broadcast([(x["path"], x["n_bytes"]) for x in listed])
+    ids = pick(wanted, doc_id=id_col).select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
+    placed = ids.mapInArrow(_parts_of(bounds), "at long, doc_id long").repartition("at").sortWithinPartitions("at", "doc_id")
+    return placed.mapInArrow(_pick_documents(folder, files), "doc_id long, ids array<long>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = fresh_dir(spark, "token-files")
