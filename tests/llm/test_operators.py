@@ -176,6 +176,39 @@ def test_near_duplicates_equal_brute_force(spark, nothing):
     assert near_dedup.duplicate_components(nothing).count() == 0 and near_dedup.drop_near_duplicates(nothing).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b, other = ("one two three four five six seven", "red green blue black white grey", "no text is like this one at all")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, other), (11, ""), (12, None), (13, b), (13, None)]
+    got = near_dedup.duplicate_components(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 12, True), (13, 3, False)}
+
+
+def test_recall_among_edited_copies_of_one_text(spark):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        for at in rnd.sample(range(300), rnd.randrange(1, 14)):
+            copy[at] = f"edit{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    component = {i: i for i, _ in rows}
+    def root(i):
+        while component[i] != i:
+            i = component[i]
+        return i
+    for i in range(240):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                component[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r.doc_id: r.component_id for r in near_dedup.duplicate_components(table(spark, rows)).collect()}
+    right = sum(got[i] == root(i) for i in range(240))
+    assert right >= 0.99 * 240 and len({root(i) for i in range(240)}) > 5
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rnd = random.Random(9)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + k) for k in range(1, 40)] + [(9, 9)] + [(rnd.randint(1000, 1100), rnd.randint(1000, 1100)) for _ in range(60)]
@@ -254,6 +287,23 @@ def test_patterns_find_what_no_rule_knows(spark):
         assert found[i].base == found[i]["all"]
 
 
+def test_discovered_instances_induce_patterns(spark):
+    """Seeds teach ``e-mail:``; what stands there teaches ``reachable under``; that finds others.  Precision and recall of the added spans are 1."""
+    rows = [(i, f"text {i} e-mail: user{i}@host{i}.com more") for i in range(40)]
+    rows += [(100 + i, f"please e-mail: joe{i}[at]host.com bye") for i in range(4)]
+    rows += [(200 + i, f"she is reachable under joe{i % 4}[at]host.com today") for i in range(8)]
+    rows += [(300, "he is reachable under ann0[at]other.org today")]
+    rows += [(400 + i, f"phone: +49 30 1234{i}67 or so") for i in range(12)] + [(500 + i, f"phone: 030 123 45{i}7 or so") for i in range(3)]
+    rows += [(600 + i, f"room x{i}@ is free, number 123 45{i}7 8 and y{i}[at]z are of no kind") for i in range(20)]
+    want = {(i, text[s : s + n]) for i, text in rows for mark, n in (("joe", 16), ("ann", 17), ("030", 12)) for s in [text.find(mark)] if s >= 0}
+    texts = dict(rows)
+    got = set()
+    for r in pii.find_pii(table(spark, rows)).collect():
+        assert set(r.base) <= set(r["all"])
+        got |= {(r.doc_id, texts[r.doc_id][s.start : s.end]) for s in set(r["all"]) - set(r.base)}
+    assert got == want
+
+
 def test_decontamination(spark, docs, nothing):
     rnd = random.Random(2)
     items = [(k, " ".join(f"q{rnd.randint(0, 5000)}" for _ in range(30))) for k in range(20)] + [(50, None), (51, ""), (52, "two words"), (None, "a b c d e f g"), (3, None)]
@@ -356,3 +406,6 @@ def test_top_k(spark):
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:10])}
         assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0]), (100, [None, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(huge, huge.where("vec_id % 100 = 0")).collect()}
+    assert got[0, 1] == (1, 2**63 - 1) and got[0, 3] == (2, -(2**63)) and (100, 1) in got

@@ -4,6 +4,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -21,7 +22,7 @@ def test_chunk_encoder_gives_the_library_ids(name):
 
     path = tokenizer_path(name)
     whole, mine, rnd = Tokenizer.from_file(path), ChunkEncoder(path, limit=50), random.Random(1)
-    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "=", "12", ".", "é", "é", "\x1c", "\x85", "<|endoftext|>", "Σ", "日本", "😀", "İ", "Word,", "Été.\nAb", "ſ", "x" * 80]
+    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "=", "12", ".", "é", "é", "\x1c", "\x85", "<|endoftext|>", "Σ", "日本", "😀", "İ", "Word,", "Été.\nAb", "ſ", "x" * 80, "odd###", "ESSAT!!", "né,%%%", "to*'s", "it's", "<b>", "&&&\nEn$"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(2000)]
     for text, ids in zip(texts, mine.encode(texts)):
         want = whole.encode(text, add_special_tokens=False).ids
@@ -51,11 +52,29 @@ def test_base_spans_equal_the_plain_patterns():
         assert pii.base_spans(t) == naive_spans(t), t
 
 
-@pytest.mark.parametrize("text", ["a" * 200000 + "@", "1" * 200000, "@" * 100000, "a@" * 50000, "+1" * 50000, "+1" + "(" * 100000, "a=1" * 50000])
+@pytest.mark.parametrize("text", ["a" * 200000 + "@", "1" * 200000, "@" * 100000, "a@" * 50000, "+1" * 50000, "+1" + "(" * 100000, "a=1" * 50000, "a at a dot " * 30000, "1 " * 100000, "(" * 100000 + "1"])
 def test_pii_is_quick_on_long_runs(text):
     pii.slots(text, pii.base_spans(text))
 
 
+@pytest.mark.parametrize("between", [" ", ",", "/", "\n", " and then "])
+def test_slots_take_linear_time_in_identifiers(between):
+    def seconds(n):
+        text = between.join(f"u{i}@h{i}.com" for i in range(n))
+        spans = pii.base_spans(text)
+        began = time.process_time()
+        assert len(pii.slots(text, spans)) >= n
+        return time.process_time() - began
+
+    assert min(seconds(16000) for _ in range(3)) < 12 * max(min(seconds(4000) for _ in range(3)), 0.02)
+
+
+def test_slots_join_groups_and_words():
+    text = "call 030 123 4567, or joe.x at host dot org (say (0171) 99 88 77)"
+    found = [text[s:e] for s, e, k, _, _ in pii.slots(text, pii.base_spans(text)) if k < 0]
+    assert sorted(found) == ["(0171) 99 88 77", "030 123 4567", "joe.x at host dot org"]
+
+
 def test_align_is_smith_waterman():
     def plain(a, b):
         h, best = np.zeros((len(a) + 1, len(b) + 1)), 0.0
@@ -179,6 +198,45 @@ def test_threshold_algorithm_equals_brute_force(kind):
     assert best == want
 
 
+@pytest.mark.parametrize("kind", ["even", "decaying", "lengths"])
+def test_the_threshold_stops_where_weight_or_length_is_uneven(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24))
+    if kind == "decaying":
+        x *= 0.6 ** np.arange(24)
+    if kind == "lengths":
+        x *= rng.pareto(2.0, 4000)[:, None]
+    x = np.floor(1024 * x)
+    lists, shares = topk.Lists(list(range(4000)), list(x)), []
+    for q in range(0, 4000, 200):
+        best = lists.search(x[q], q, 10, [])
+        assert best == sorted((-int(x[i] @ x[q]), i) for i in range(4000) if i != q)[:10]
+        shares.append(lists.scored / 4000)
+    if kind != "even":
+        assert np.mean(shares) < 0.5, shares
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x = np.floor(rng.normal(size=(200, 5)) * rng.choice([3, 50], 5) + rng.choice([0, 40, -40], 5))
+        q = np.floor(rng.normal(size=5) * 20)
+        lists = topk.Lists(list(range(200)), list(x))
+        dims = np.nonzero(q)[0]
+        up, down = dims[q[dims] < 0], dims[q[dims] > 0]
+        for depth in (0, 1, 5, 40, 120, 199):
+            met = set(lists.order[up, :depth].ravel()) | set(lists.order[down, 200 - depth :].ravel())
+            unmet = [int(x[i] @ q) for i in range(200) if i not in met]
+            assert not unmet or max(unmet) <= lists.bound(q, up, down, depth)
+
+
+def test_scores_beyond_64_bits_are_held():
+    x = [np.array([1e30, -2.0]), np.array([-1e30, 3.0]), np.array([5.0, 1.0])]
+    got = topk.Lists([1, 2, 3], x).search(np.array([1e30, 7.0]), 9, 3, [])
+    assert got == [(-((1 << 63) - 1), 1), (-((1 << 63) - 1), 3), (1 << 63, 2)]
+    assert np.isfinite(topk.integers([1.7e308, -1.7e308])).all()
+
+
 def test_integers_of_vectors():
     assert topk.integers(None) is None and topk.integers([1.0, None]) is None and topk.integers([float("nan")]) is None
     assert list(topk.integers([0.5, -0.0001])) == [512, -1]
