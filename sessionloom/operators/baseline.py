@@ -14,7 +14,7 @@ from ..functions.payloads import dumps
 from . import runs as R
 from .evaluation import Evidence, evaluate
 from .models import Complete
-from .plan import Plan, assess, plan, select_variants
+from .plan import Plan, assess, differences, plan, select_variants, stored
 from .policy import Gates, Policy, need
 
 VERSION, MAX_VARIANTS = 1, 5
@@ -72,14 +72,16 @@ def check_pairs(variants: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select(F.concat_ws("|", "baseline", "candidate", "variant").alias("pair"), "baseline", "candidate", "oracle", "variant", "ord")
 
 
-def check_runs(pairs: DataFrame, runs: R.Runs, policy: Policy, gates: Gates, judged=None) -> tuple[Plan, DataFrame, DataFrame]:
+def check_runs(pairs: DataFrame, runs: R.Runs, policy: Policy, gates: Gates, judged=None, folder: str | None = None) -> tuple[Plan, DataFrame, DataFrame]:
     """(plan, assessment of each pair, what stands for each candidate).
 
-    ``judged`` makes an evaluation of a plan, for thresholds that need one.
+    ``judged`` makes an evaluation of a plan, for thresholds that need one;
+    ``folder`` keeps the plan, so that it is made once.
     """
     need(not gates.checked().needs_judge() or judged is not None, "thresholds of quality need a judge")
     p = plan(pairs.select("pair", "oracle", "candidate"), runs, policy)
-    assessed = assess(p, gates, judged(p) if judged else None)
+    p = stored(p, folder) if folder else p
+    assessed = assess(p, gates, judged(p) if judged else None).persist()
     return p, assessed, select_variants(assessed, pairs.select("pair", "candidate", "variant", "ord"))
 
 
@@ -107,9 +109,7 @@ def check(spark: SparkSession, baseline: dict, candidate: dict, gates: Gates, fo
         def judged(p: Plan) -> DataFrame:
             return evaluate(Evidence(p, runs.events), f"{folder}/evaluation", *models, model=policy.judge.model if policy.judge else "unspecified").drop("report")
 
-        p, assessed, chosen = check_runs(pairs, runs, policy, gates, judged if models else None)
-        from .plan import differences
-
+        p, assessed, chosen = check_runs(pairs, runs, policy, gates, judged if models else None, f"{folder}/plan")
         changes: dict[str, list] = {}
         for r in differences(p).orderBy("pair", "oracle_step", "candidate_step").collect():  # steps of at most five pairs of bounded runs
             changes.setdefault(r["pair"], []).append({k: v for k, v in r.asDict().items() if k != "pair"})
