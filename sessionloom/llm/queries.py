@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, lm_scoring, near_dedup, packing, pii, prefix_trie, quality, token_counts, token_files, topk, toxicity
+from . import decontaminate, filter_audit, lm_scoring, near_dedup, packing, pii, prefix_trie, quality, substrings, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_packing": packing.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_suffix_dedup": substrings.query,
     "op13_filter_audit": filter_audit.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_dedup": near_dedup.SQL,
     "op7_topk": topk.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op12_suffix_dedup": substrings.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
