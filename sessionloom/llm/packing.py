@@ -3,7 +3,8 @@
 Lengths are integers from 1 to the capacity, so a corpus is, for packing, one
 count for each length.  The search works on kinds of bins (a multiset of
 lengths, and how many bins there are of that kind); each move is applied to as
-many bins at once as both sides have, and the search ends when no move is left.
+many bins at once as both sides have, the one that adds most over all of them
+first, and the search ends when no move is left.
 Best fit uses up, with each kind it makes, an older kind or a length, so it
 leaves at most three kinds for each length whatever the corpus; a move adds two
 at most.  Pieces find their place by their rank among the pieces of their
@@ -80,102 +81,140 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return Counter({tuple(sorted(k, reverse=True)): n for k, n in full.items() if n})
 
 
+def _pair_sums(kind: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    """Two lengths of a kind by their sum."""
+    held = Counter(kind)
+    own = sorted(held)
+    return {a + b: (a, b) for i, a in enumerate(own) for b in own[i:] if a != b or held[a] > 1}
+
+
+class Kinds:
+    """Kinds of bins in arrays, so that all moves of one kind with all others are weighed at once.
+
+    Only underfull kinds have their lengths, and sums of two of them, in the
+    arrays; a kind that has run out keeps its slot with a count of 0.
+    """
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.capacity, self.slot, self.kinds = capacity, {}, []
+        self.fill, self.count = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        #: (value, slot) of lengths, and of sums of two.
+        self.ones, self.twos = np.zeros((2, 256), np.int64), np.zeros((2, 256), np.int64)
+        self.n_ones = self.n_twos = 0
+        for kind, n in sorted(bins.items()):
+            self.add(kind, n)
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        while array.shape[-1] < size:
+            array = np.concatenate([array, np.zeros_like(array)], axis=-1)
+        return array
+
+    def add(self, kind: tuple[int, ...], n: int) -> int:
+        slot = self.slot.setdefault(kind, len(self.kinds))
+        if slot == len(self.kinds):
+            self.kinds.append(kind)
+            self.fill, self.count = self._grown(self.fill, slot + 1), self._grown(self.count, slot + 1)
+            self.fill[slot] = sum(kind)
+            if self.fill[slot] < self.capacity:
+                own, sums = sorted(set(kind)), sorted(_pair_sums(kind))
+                self.ones, self.twos = self._grown(self.ones, self.n_ones + len(own)), self._grown(self.twos, self.n_twos + len(sums))
+                self.ones[:, self.n_ones : self.n_ones + len(own)] = own, [slot] * len(own)
+                self.twos[:, self.n_twos : self.n_twos + len(sums)] = sums, [slot] * len(sums)
+                self.n_ones, self.n_twos = self.n_ones + len(own), self.n_twos + len(sums)
+        self.count[slot] += n
+        return slot
+
+    def bins_of(self, giver: int, taker: int) -> int:
+        """To how many bins a move between two kinds applies."""
+        return int(self.count[giver] // 2 if giver == taker else min(self.count[giver], self.count[taker]))
+
+    def best(self, slot: int) -> tuple[int, int, int, tuple[int, ...], int] | None:
+        """(worth, giver, taker, what goes, what comes back or 0) of the best move of a kind with any.
+
+        The taker is as full as the giver or fuller and gains ``g``: squared fill
+        grows by twice g * (difference + g) in each of the bins it applies to.
+        """
+        kind, fill, count = self.kinds[slot], self.fill[slot], self.count[slot]
+        if fill >= self.capacity or not count:
+            return None
+        worth, found = 0, None
+
+        def weigh(gain: np.ndarray, room: np.ndarray, apart: np.ndarray, n: np.ndarray):
+            """Where the best of these moves is, if it is better than the best so far."""
+            nonlocal worth
+            if not len(n):
+                return None
+            value = np.where((gain > 0) & (gain <= room), n * gain * (apart + gain), 0)
+            at = int(value.argmax())
+            if value[at] <= worth:
+                return None
+            worth = int(value[at])
+            return at
+
+        own, sums = sorted(set(kind)), _pair_sums(kind)
+        back, other = self.ones[:, : self.n_ones]
+        apart, n = self.fill[other] - fill, np.minimum(self.count[other], count)
+        n = np.where(apart < 0, 0, np.where(other == slot, count // 2, n))
+        room = self.capacity - self.fill[other]
+        for x in own:
+            if (at := weigh(np.full(len(back), x), room, apart, n)) is not None:
+                found = (slot, int(other[at]), (x,), 0)
+        for x, gives in [*((x, (x,)) for x in own), *sums.items()]:
+            if (at := weigh(x - back, room, apart, n)) is not None:
+                found = (slot, int(other[at]), gives, int(back[at]))
+        for single, (values, other) in ((True, self.ones[:, : self.n_ones]), (False, self.twos[:, : self.n_twos])):
+            apart, n = fill - self.fill[other], np.minimum(self.count[other], count)
+            n, room = np.where((apart < 0) | (other == slot), 0, n), self.capacity - fill
+            for y in ([0] if single else []) + own:
+                if (at := weigh(values - y, room, apart, n)) is not None:
+                    giver, x = int(other[at]), int(values[at])
+                    found = (giver, slot, (x,) if single else _pair_sums(self.kinds[giver])[x], y)
+        return (worth, *found) if found else None
+
+
 def local_search(bins: Counter, capacity: int) -> Counter:
     """Exchange or move lengths between underfull bins while squared fill grows.
 
     Moves: one piece from a bin to a fuller one; one piece for a larger one; two
     pieces for one larger.  Each lets the fuller bin gain and the emptier one
     lose the same amount, which always increases the sum of squared fills; a bin
-    that empties is gone.  It ends when no two bins have a move left: whether two
-    kinds have one depends on them alone, so each pair is tried once, and again
-    only with a kind that has come anew.
+    that empties is gone.  A move applies to all bins of both kinds at once, and
+    the one that adds most over all of them goes first, so whole kinds move
+    before single bins do.  It ends when no two bins have a move left: every kind
+    waits with its best move until it has none with any other, and a kind that
+    comes anew is weighed against all.
     """
-    bins = Counter(bins)
-    fill = {k: sum(k) for k in bins}
-    untried: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
-    givers: list[tuple[int, tuple[int, ...]]] = []  # a heap: the emptiest gives first
-
-    def pair(giver: tuple[int, ...], taker: tuple[int, ...]) -> None:
-        if not untried.setdefault(giver, []):
-            heapq.heappush(givers, (fill[giver], giver))
-        untried[giver].append(taker)
-
-    def enter(new: tuple[int, ...]) -> None:
-        """A kind that wasn't there: it may give to and take from all others."""
-        if fill[new] < capacity:
-            for other in sorted((k for k in bins if fill[k] < capacity and k != new), key=fill.__getitem__):
-                if fill[other] >= fill[new]:
-                    pair(new, other)
-                if fill[other] <= fill[new]:
-                    pair(other, new)
-
-    def change(old: tuple[int, ...], new: tuple[int, ...], n: int) -> None:
-        bins[old] -= n
-        if not bins[old]:
-            del bins[old]
-            untried.pop(old, None)
-        if new:
-            fill[new] = sum(new)
-            before = bins[new]
-            bins[new] += n
-            if not before:
-                enter(new)
-            if before < 2 <= bins[new] and fill[new] < capacity:
-                pair(new, new)
-
-    def without(kind: tuple[int, ...], *lengths: int) -> list[int]:
-        rest = list(kind)
-        for x in lengths:
-            rest.remove(x)
-        return rest
-
-    def move(giver: tuple[int, ...], taker: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """New (giver, taker) in which the taker holds more; the largest gain is best."""
-        room = capacity - fill[taker]
-        best, found = 0, None
-        mine, theirs = sorted(set(giver)), sorted(set(taker))
-        for x in mine:  # a piece moves
-            if best < x <= room:
-                best, found = x, ((x,), ())
-        for y in theirs:  # one for one
-            at = bisect.bisect_right(mine, y + room) - 1
-            if at >= 0 and mine[at] - y > best and (x := mine[at]) != y:
-                best, found = x - y, ((x,), (y,))
-        held = Counter(giver)
-        for i, a in enumerate(mine):  # two for one
-            for b in mine[i:]:
-                if a == b and held[a] < 2:
-                    continue
-                at = bisect.bisect_left(theirs, a + b - room)
-                if at < len(theirs) and theirs[at] < a + b and a + b - theirs[at] > best:
-                    best, found = a + b - theirs[at], ((a, b), (theirs[at],))
-        if not found:
-            return None
-        give, take = found
-        return (
-            tuple(sorted([*without(giver, *give), *take], reverse=True)),
-            tuple(sorted([*without(taker, *take), *give], reverse=True)),
-        )
-
-    under = sorted((k for k in bins if fill[k] < capacity), key=lambda k: (fill[k], k))
-    for i, giver in enumerate(under):
-        for taker in under[i + 1 :] if bins[giver] < 2 else under[i:]:
-            pair(giver, taker)
-        for taker in (k for k in under[:i] if fill[k] == fill[giver]):
-            pair(giver, taker)
-    while givers:
-        _, giver = givers[0]
-        if not untried.get(giver):
-            heapq.heappop(givers)
-            continue
-        taker = untried[giver].pop()  # the fullest, or one that has come since
-        if bins[taker] < (2 if taker == giver else 1):
+    kinds = Kinds(bins, capacity)
+    waiting: list[tuple] = []
+
+    def wait(slot: int) -> None:
+        if move := kinds.best(slot):
+            heapq.heappush(waiting, (-move[0], slot, *move[1:]))
+
+    for slot in range(len(kinds.kinds)):
+        wait(slot)
+    while waiting:
+        worth, slot, giver, taker, gives, back = heapq.heappop(waiting)
+        n, gain = kinds.bins_of(giver, taker), sum(gives) - back
+        if 2 * n * gain * int(kinds.fill[taker] - kinds.fill[giver] + gain) < -worth or not n:
+            wait(slot)  # its partner has gone, or most of its bins have
             continue
-        if new := move(giver, taker):
-            n = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-            change(giver, new[0], n)
-            change(taker, new[1], n)
-    return +bins
+        left, more = list(kinds.kinds[giver]), [*kinds.kinds[taker], *gives]
+        for x in gives:
+            left.remove(x)
+        if back:
+            more.remove(back)
+            left.append(back)
+        kinds.count[giver] -= n
+        kinds.count[taker] -= n
+        for new in (left, more):
+            if new:
+                at = kinds.add(tuple(sorted(new, reverse=True)), n)
+                if kinds.count[at] - n < 2:  # it wasn't there, or can now pair with its like
+                    wait(at)
+        wait(slot)
+    return Counter({k: int(kinds.count[s]) for k, s in kinds.slot.items() if kinds.count[s]})
 
 
 def pack_counts(counts: dict[int, int], capacity: int) -> Counter:

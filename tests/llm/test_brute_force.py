@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import types
 from collections import Counter
 
@@ -263,6 +264,26 @@ def test_swaps_empty_bins_that_best_fit_leaves():
     assert near >= 148
 
 
+@pytest.mark.parametrize("low, high, times, share", [(300, 399, 1, 1.12), (300, 499, 1, 1.14), (300, 699, 1, 1.006), (300, 699, 50, 1.006), (1, 1024, 1, 1.02)])
+def test_the_search_ends_in_seconds_near_the_bound(low, high, times, share):
+    rnd = random.Random(1)
+    counts = {x: rnd.randint(1000, 10000) * times for x in range(low, high + 1)}
+    start = packing.best_fit(counts, 1024)
+    began = time.time()
+    found = packing.local_search(start, 1024)
+    assert time.time() - began < 60  # a second or two on an idle machine
+    held = Counter()
+    for kind, n in found.items():
+        assert n > 0 and sum(kind) <= 1024
+        for x in kind:
+            held[x] += n
+    assert held == Counter(counts)
+    assert sum(found.values()) <= share * sum(x * n for x, n in counts.items()) / 1024
+    assert sum(found.values()) <= sum(start.values())
+    kinds = packing.Kinds(found, 1024)
+    assert all(kinds.best(s) is None for s in range(0, len(kinds.kinds), 7))
+
+
 def test_places_in_shares_are_the_same(spark, monkeypatch):
     rnd = random.Random(3)
     counts = Counter(rnd.randint(1, 64) for _ in range(500))
