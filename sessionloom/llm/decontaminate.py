@@ -1,12 +1,12 @@
 """Benchmark passages in training texts: rare n-gram seeds, then local alignment.
 
 The items of a benchmark are a stated query set, taken in blocks of bounded size.
-A first pass counts in how many documents each of a block's word n-grams occurs;
-the rare ones of each item are its seeds.  A second pass finds seeds in every
-whole text and aligns the passage around them with the item by the
-Smith-Waterman recurrence over words, which scores edited copies too.  Copies of
-a leak can make any n-gram common, so a passage around common ones alone is
-aligned as well, unless it shares too few words with the item to score enough.
+Word n-grams that few items of a block have are its seeds: wherever a text has one,
+the passage around it is joined to these items and aligned with them by the
+Smith-Waterman recurrence over words, which scores edited copies too.  Rarity
+goes by items, so that copies of a leak can't make its n-grams common.  An n-gram
+of very many items (a phrase that questions open with) would join them all at
+each place, so it brings in only those of whose words the text nearby has enough.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, pick, prepare, row_columns, with_row
+from .common import column_index, lean, pick, prepare, row_columns, with_row
 from .words import grams, hashed
 
 SEED = 3
+#: An n-gram that at most so many items of a block have is rare.
+RARE = 8
 MATCH, MISMATCH, GAP = 1.0, 0.5, 0.5
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = bytes(32 if b in _PUNCT else b for b in range(256))
@@ -62,13 +64,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 class Items:
-    """A block of benchmark items: hashed words, and their n-grams with the items and places that have them."""
+    """A block of benchmark items: hashed words, and their n-grams with the items and places that have them.
 
-    def __init__(self, rows: list[tuple[int, str | None]], seed: int):
+    An n-gram is rare if at most ``rare`` items of the block have it.
+    """
+
+    def __init__(self, rows: list[tuple[int, str | None]], seed: int, rare: int = RARE):
         self.seed, self.ids, self.words = seed, [], []
         #: Items too short for a seed, by their words.
         self.short: dict[bytes, list[int]] = defaultdict(list)
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        places, held = [], []
         for item_id, text in rows:
             h = hashed(words_of(text))
             if 0 < len(h) < seed:
@@ -77,93 +82,111 @@ class Items:
                 k = len(self.ids)
                 self.ids.append(item_id)
                 self.words.append(h)
-                for at, g in enumerate(grams(h, seed).tolist()):
-                    places[g].append((k, at))
-        self.grams = np.array(sorted(places), dtype=np.uint64)
-        self.places = [places[g] for g in self.grams.tolist()]
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text where a known n-gram begins, and which it is."""
-        g = grams(h, self.seed)
-        if not len(g) or not len(self.grams):
+                g = grams(h, seed)
+                places.append((g, np.full(len(g), k), np.arange(len(g))))
+                own, times = np.unique(h, return_counts=True)
+                held.append((own, np.full(len(own), k), times))
+        self.sizes = np.array([len(h) for h in self.words], np.int64)
+        #: Items of like length share a stretch of text in :meth:`_possible`.
+        self.classes = np.ceil(np.log2(np.maximum(self.sizes, 2))).astype(np.int64)
+        self.grams, self.gram_from, self.gram_item, self.gram_at = self._index(places)
+        self.known, self.word_from, self.word_item, self.word_times = self._index(held)
+        of = np.repeat(np.arange(len(self.grams)), np.diff(self.gram_from))
+        pairs = np.unique(np.stack([of, self.gram_item]), axis=1)[0] if len(of) else of
+        self.rare = np.bincount(pairs, minlength=len(self.grams)) <= rare
+
+    @staticmethod
+    def _index(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted different keys, where the rows of each begin, and the rows' two values)."""
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, item, value = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(keys, kind="stable")
+        different, first = np.unique(keys[order], return_index=True)
+        return different, np.append(first, len(keys)).astype(np.int64), item[order], value[order]
+
+    @staticmethod
+    def _among(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``x`` whose value is among the keys, and which key that is."""
+        if not len(x) or not len(sorted_keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        where = np.nonzero(self.grams[at] == g)[0]
+        at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+        where = np.nonzero(sorted_keys[at] == x)[0]
         return where, at[where]
 
-    def seeds(self, frequency: np.ndarray, ratio: float) -> np.ndarray:
-        """Which n-grams are rare: as rare, up to ``ratio``, as the middle one of an item that has them.
+    @staticmethod
+    def _rows(begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of an index that the keys ``which`` have, and for each the place in ``which``."""
+        many = begin[which + 1] - begin[which]
+        of = np.repeat(np.arange(len(which)), many)
+        return begin[which][of] + np.arange(len(of)) - (np.cumsum(many) - many)[of], of
+
+    def _possible(self, h: np.ndarray, where: np.ndarray, which: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start) of hits of common n-grams around which the text has enough words of the item.
 
-        Copies of a whole item raise all its n-grams alike, so that it still has
-        seeds; those of an edited one raise some, which :meth:`find` makes up for.
+        All items of a length class and a stretch of the text are weighed at
+        once.  The stretch reaches twice an item's length beyond the hit on both
+        sides, which no alignment that counts exceeds.
         """
-        rare = np.zeros(len(self.grams), bool)
-        own = defaultdict(list)
-        for g, places in enumerate(self.places):
-            for k in {k for k, _ in places}:
-                own[k].append(g)
-        for gs in own.values():
-            f = frequency[gs]
-            rare[np.array(gs)[f <= ratio * max(1.0, float(np.median(f)))]] = True
-        return rare
-
-    def find(self, h: np.ndarray, rare: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
+        rows, of = self._rows(self.gram_from, which)
+        item, p = self.gram_item[rows], where[of]
+        start = p - self.gram_at[rows]
+        kept = np.zeros(len(item), bool)
+        for size in np.unique(self.classes[item]).tolist():
+            reach = 2 << size
+            mine = np.nonzero(self.classes[item] == size)[0]
+            stretch = p[mine] // (2 * reach)
+            for s in np.unique(stretch).tolist():
+                own = mine[stretch == s]
+                near = h[max(0, (2 * s - 1) * reach) : (2 * s + 3) * reach]
+                _, words = self._among(self.known, np.unique(near))
+                at, _ = self._rows(self.word_from, words)
+                enough = np.bincount(self.word_item[at], weights=self.word_times[at], minlength=len(self.ids)) >= least * self.sizes
+                kept[own] = enough[item[own]]
+        return item[kept], start[kept]
+
+    def find(self, h: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, words, seeds) of every item that aligns with a passage of the text.
 
-        A passage without a rare n-gram is aligned where its words allow ``least``:
-        no alignment matches more of the item's words than occur in the passage.
+        A rare n-gram brings its items to the passage around it; a common one
+        only those of whose words the text nearby has enough for ``least``, since
+        no alignment matches more of them.  What is aligned has enough itself.
         An item of fewer words than a seed has is only found as a whole text.
         """
         if len(h) < self.seed:
             return [(i, 1.0, 0, len(h), 0) for i in self.short.get(h.tobytes(), ())] if len(h) else []
-        where, which = self.hits(h)
-        by_item: dict[int, list[tuple[int, bool]]] = defaultdict(list)
-        for p, g, seed in zip(where.tolist(), which.tolist(), rare[which].tolist()):
-            for k, at in self.places[g]:
-                by_item[k].append((p - at, seed))
-        out = []
-        for k, starts in sorted(by_item.items()):
-            item, n = self.words[k], len(self.words[k])
-            starts.sort()
-            best = (0.0, 0, 0)
-            first = last = starts[0][0]
-            seeded = False
-            for s, seed in [*starts, (None, False)]:
-                if s is not None and s - last <= n:
-                    last, seeded = s, seeded or seed
-                    continue
-                low, high = max(0, first - n // 2), min(len(h), last + n + n // 2 + 1)
-                if seeded or np.isin(item, h[low:high]).sum() / n >= least:
-                    score, b, e = align(item, h[low:high])
-                    if score > best[0]:
-                        best = (score, low + b, low + e)
-                first, last, seeded = s, s, seed
-            score = best[0] / (MATCH * n)
-            if score >= least:
-                out.append((self.ids[k], score, best[1], best[2] - best[1], sum(seed for _, seed in starts)))
-        return out
-
-
-def _frequencies(items):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = items.value
-        count = np.zeros(len(own.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    _, which = own.hits(hashed(words_of(text)))
-                    count[np.unique(which)] += 1
-        some = np.nonzero(count)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["g", "n"])
-
-    return run
+        where, which = self._among(self.grams, grams(h, self.seed))
+        if not len(where):
+            return []
+        rare = self.rare[which]
+        rows, of = self._rows(self.gram_from, which[rare])
+        item, start = self.gram_item[rows], where[rare][of] - self.gram_at[rows]
+        seeds = np.bincount(item, minlength=len(self.ids))
+        if not rare.all():
+            more = self._possible(h, where[~rare], which[~rare], least)
+            item, start = np.concatenate([item, more[0]]), np.concatenate([start, more[1]])
+        if not len(item):
+            return []
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        begins = np.concatenate([[0], np.nonzero((item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.sizes[item[1:]]))[0] + 1])
+        ends = np.append(begins[1:], len(item)) - 1
+        best: dict[int, tuple[float, int, int]] = {}
+        for k, first, last in zip(item[begins].tolist(), start[begins].tolist(), start[ends].tolist()):
+            words = self.words[k]
+            n = len(words)
+            low, high = max(0, first - n // 2), min(len(h), last + n + n // 2 + 1)
+            if np.isin(words, h[low:high]).sum() / n >= least:
+                score, b, e = align(words, h[low:high])
+                if score > best.get(k, (0.0,))[0]:
+                    best[k] = (score, low + b, low + e)
+        return [(self.ids[k], score / (MATCH * len(self.words[k])), b, e - b, int(seeds[k])) for k, (score, b, e) in sorted(best.items()) if score / (MATCH * len(self.words[k])) >= least]
 
 
 _FOUND = "doc_id long, item_id long, score double, first_word long, n_words long, n_seeds long, passage string"
 
 
-def _find(items, rare, least: float):
+def _find(items, least: float):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
@@ -172,7 +195,7 @@ def _find(items, rare, least: float):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     w = words_of(text)
-                    for item, score, first, n, seeds in own.find(hashed(w), rare.value, least):
+                    for item, score, first, n, seeds in own.find(hashed(w), least):
                         rows.append((doc_id, item, round(score, 6), first, n, seeds, b" ".join(w[first : first + n]).decode("utf-8", "replace")))
             columns = list(zip(*rows)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -181,21 +204,15 @@ def _find(items, rare, least: float):
     return run
 
 
-def _blocks(rows: DataFrame, benchmark: DataFrame, seed: int, ratio: float, block_items: int, block_bytes: int, item_col: str, text_col: str):
-    """For each block of items: the items, and which of their n-grams are rare in ``rows``."""
-    spark = rows.sparkSession
+def _blocks(benchmark: DataFrame, seed: int, rare: int, block_items: int, block_bytes: int, item_col: str, text_col: str):
+    """The items, a bounded block at a time, broadcast."""
+    spark = benchmark.sparkSession
     items = pick(benchmark, item_id=item_col, text=text_col).select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-size // block_bytes))
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = Items([(r["item_id"], r["text"]) for r in part], seed)
-        sent = spark.sparkContext.broadcast(block)
-        counted = rows.select("text").mapInArrow(_frequencies(sent), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-        frequency = np.zeros(len(block.grams))
-        for r in counted:
-            frequency[r["g"]] = r["n"]
-        yield sent, spark.sparkContext.broadcast(block.seeds(frequency, ratio))
+        yield spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part], seed, rare))
 
 
 def find_leaks(
@@ -203,7 +220,7 @@ def find_leaks(
     benchmark: DataFrame,
     least: float = 0.5,
     seed: int = SEED,
-    ratio: float = 4.0,
+    rare: int = RARE,
     block_items: int = 20000,
     block_bytes: int = 32 << 20,
     id_col: str = "doc_id",
@@ -216,8 +233,8 @@ def find_leaks(
     ``doc_id, item_id, score, first_word, n_words, n_seeds, passage``: the score
     is that of the best local alignment over that of the item with itself (1: an
     exact copy), and at least ``least``; ``n_seeds`` counts the item's rare n-grams
-    in the document, and may be 0 where copies of the leak made all of them
-    common.  A copy of which no ``seed`` words in a row survive is not found.
+    in the document (at most ``rare`` items of a block have one), and may be 0
+    where only common ones survive.  A copy of which no ``seed`` words in a row survive is not found.
     An item of fewer than ``seed`` words is found where it is a whole document.
     ``block_items`` and ``block_bytes`` bound the items taken, and broadcast, at
     once (by more than that only if one item alone is longer).
@@ -229,24 +246,24 @@ def find_leaks(
     prepare(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     out = None
-    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, block_bytes, item_col, item_text_col):
-        found = rows.mapInArrow(_find(items, rare, least), _FOUND)
+    for items in _blocks(benchmark, seed, rare, block_items, block_bytes, item_col, item_text_col):
+        found = rows.mapInArrow(_find(items, least), _FOUND)
         out = found if out is None else out.union(found)
     return out
 
 
-def _clean(items, rare, least: float):
+def _clean(items, least: float):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
         for batch in batches:
-            keep = [not (text and own.find(hashed(words_of(text)), rare.value, least)) for text in batch.column(1).to_pylist()]
+            keep = [not (text and own.find(hashed(words_of(text)), least)) for text in batch.column(1).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = SEED, ratio: float = 4.0, block_items: int = 20000, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed: int = SEED, rare: int = RARE, block_items: int = 20000, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows of ``docs`` that hold no passage of the benchmark.
 
     What counts is said at :func:`find_leaks`.  Rows with null or empty texts stay;
@@ -254,10 +271,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed:
     nothing.
     """
     prepare(docs.sparkSession)
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    column_index(docs, id_col)
     carried = with_row(docs, text=text_col)
-    for items, rare in _blocks(rows, benchmark, seed, ratio, block_items, block_bytes, "item_id", "text"):
-        carried = carried.mapInArrow(_clean(items, rare, least), carried.schema)
+    for items in _blocks(benchmark, seed, rare, block_items, block_bytes, "item_id", "text"):
+        carried = carried.mapInArrow(_clean(items, least), carried.schema)
     return row_columns(carried, docs)
 
 

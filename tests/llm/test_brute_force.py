@@ -90,6 +90,35 @@ def test_decontamination_finds_what_aligning_everything_finds(spark):
     assert (100, 3) in found and found[101, 5] == 1.0
 
 
+def hot_items():
+    rnd = random.Random(4)
+    items = [(k, "which of the following " + " ".join(f"w{rnd.randrange(9000)}" for _ in range(20))) for k in range(5000)]
+    words = [w for _ in range(50) for w in ["which", "of", "the", "following", *(f"f{rnd.randrange(5000)}" for _ in range(40))]]
+    return items, words
+
+
+def test_an_n_gram_of_very_many_items_is_quick():
+    items, words = hot_items()
+    block = decontaminate.Items(items, 3)
+    halves = items[7][1].split()[:16]
+    h = decontaminate.hashed([w.encode() for w in [*words[:1000], *halves, *words[1000:]]])
+    began = time.time()
+    found = block.find(h, 0.5)
+    assert time.time() - began < 0.5
+    assert [x[0] for x in found] == [7] and abs(found[0][1] - 16 / 24) < 1e-9
+
+
+@pytest.mark.parametrize("rare", [0, 1, 8, 100])
+def test_rarity_decides_the_way_and_not_what_is_found(rare):
+    rnd = random.Random(9)
+    items = [(k, "which of the following " + " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 30)))) for k in range(60)]
+    plain, block = decontaminate.Items(items, 3, 10**9), decontaminate.Items(items, 3, rare)
+    for i in range(40):
+        text = [*(rnd.choice("abcdefghijxyz") for _ in range(rnd.randint(0, 200))), *rnd.choice(items)[1].split(), *"which of the following z z z".split()]
+        h = decontaminate.hashed([w.encode() for w in text])
+        assert [x[:2] for x in block.find(h, 0.5)] == [x[:2] for x in plain.find(h, 0.5)]
+
+
 def test_short_items_are_found_as_whole_documents(spark):
     items = spark.createDataFrame([(1, "Yes, please"), (2, "42"), (3, "")], "item_id long, text string")
     rows = [(1, "yes please"), (2, "say yes please now"), (3, "42!"), (4, ""), (5, None), (6, "42 42")]
