@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.running import CHUNK, chunked, totals, within
-from .common import drop, lean, pick, prepare, staged
+from .common import lean, pick, prepare, staged
 
 #: Turns of a conversation that one window takes, and ends of a node that one list takes.
 STRETCH = 4096
@@ -97,21 +97,31 @@ def roll_up(nodes: DataFrame, sums: tuple[str, ...]) -> DataFrame:
     ``nodes`` is ``key, depth, parent`` (the root has key and depth 0) with the
     nodes' own values.  Before a round, a node has gathered what lies less than
     ``far`` below it, and its pointer leads ``far`` up; it adds that to the node
-    there, which then has what lies less than twice as far below.  A pointer that
-    reaches the root is known by depth, so the root is never a key of a join.
+    there, which then has what lies less than twice as far below.  A node above
+    the depth ``far`` has nowhere left to add to, so it leaves: later rounds take
+    deeper nodes alone, and what is still added to those that left comes together
+    at the end.  A pointer that reaches the root is known by depth, so the root is
+    never a key of a join.
     """
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    table, far = staged(nodes.select("key", "depth", F.col("parent").alias("up"), *sums), "subtrees"), 1
+    live, far, parts = nodes.select("key", "depth", F.col("parent").alias("up"), *sums), 1, []
+    parts.append(live.where("depth = 0").select("key", *sums))
+    live = live.where("depth > 0")
     while far <= deepest:
-        gathered = table.where(F.col("depth") >= far).groupBy(F.col("up").alias("key")).agg(*(F.sum(x).alias(f"_{x}") for x in sums))
-        there = table.where(F.col("depth") >= far).select(F.col("key").alias("up"), F.col("up").alias("next"))
-        jumped = table.where(F.col("depth") > 2 * far).select("key", "up").join(there, "up").select("key", "next")
-        out = table.join(gathered, "key", "left").join(jumped, "key", "left")
+        given = live.groupBy(F.col("up").alias("key")).agg(F.min(F.col("depth") - far).alias("depth"), *(F.sum(x).alias(f"_{x}") for x in sums))
+        given = staged(given, "given")
+        parts.append(given.where(F.col("depth") < 2 * far).select("key", *(F.col(f"_{x}").alias(x) for x in sums)))
+        parts.append(live.where(F.col("depth") < 2 * far).select("key", *sums))
+        rest = live.where(F.col("depth") >= 2 * far)
+        jumped = rest.where(F.col("depth") > 2 * far).select("key", "up").join(live.select(F.col("key").alias("up"), F.col("up").alias("next")), "up").select("key", "next")
+        out = rest.join(given.where(F.col("depth") >= 2 * far).drop("depth"), "key", "left").join(jumped, "key", "left")
         up = F.when(F.col("depth") == 2 * far, F.lit(0).cast(KEY)).otherwise(F.col("next"))
-        done, table = table, staged(out.select("key", "depth", up.alias("up"), *((F.col(x) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in sums)), "subtrees")
-        drop(done)
+        live = staged(out.select("key", "depth", up.alias("up"), *((F.col(x) + F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in sums)), "subtrees")
         far *= 2
-    return table.select("key", *sums)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return every.groupBy("key").agg(*(F.sum(x).cast("long").alias(x) for x in sums))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
