@@ -47,8 +47,8 @@ def hashes(text: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def strings(text: bytes, k: int, length: int) -> Iterator[tuple[int, int, int]]:
-    """(key, first window, windows) of every string of a text: windows whose first least hash is at one place.
+def strings(text: bytes, k: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, first windows, windows) of the strings of a text: windows whose first least hash is at one place.
 
     The low bits of a hash give way to its place, so that of hashes alike the
     first counts; the key is the whole hash there.
@@ -63,7 +63,7 @@ def strings(text: bytes, k: int, length: int) -> Iterator[tuple[int, int, int]]:
             least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])
         begins = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
         keys = whole[(least[begins] & place).astype(np.int64)].view(np.int64)
-        yield from zip(keys.tolist(), (begins + low).tolist(), np.diff(np.append(begins, len(least))).tolist())
+        yield keys, begins + low, np.diff(np.append(begins, len(least)))
 
 
 def _cut(k: int, length: int):
@@ -74,16 +74,15 @@ def _cut(k: int, length: int):
         digest = xxhash.xxh3_64_intdigest
         with np.errstate(over="ignore"):
             for batch in batches:
-                for sid, row, base, known, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = list(strings(text, k, length)) if len(text) >= length else []
-                    for low in range(0, len(found), 1 << 16):
-                        keys, at, n = zip(*found[low : low + (1 << 16)])
-                        digests = np.array([digest(text[a : a + m + length - 1]) for a, m in zip(at, n)], np.uint64).view(np.int64)
+                sids, rows, bases, knowns = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+                for i, text in enumerate(batch.column(4)):
+                    text = text.as_py()
+                    for keys, at, n in strings(text, k, length):
+                        ends = at + n + (length - 1)
+                        digests = np.fromiter((digest(text[a:b]) for a, b in zip(at.tolist(), ends.tolist())), np.uint64, len(at)).view(np.int64)
                         size = len(keys)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys, pa.int64()), pa.array(digests), pa.array(np.full(size, sid)), pa.array(np.full(size, row)), pa.array(np.array(at, np.int64) + base), pa.array(n, pa.int32()), pa.array(np.full(size, known, bool))],
-                            ["key", "digest", "sid", "row", "at", "n", "known"],
-                        )
+                        columns = (keys, digests, np.full(size, sids[i]), np.full(size, rows[i]), at + bases[i], n.astype(np.int32), np.full(size, knowns[i]))
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "digest", "sid", "row", "at", "n", "known"])
 
     return run
 
@@ -143,9 +142,11 @@ def _level(sources: DataFrame, k: int, length: int) -> tuple[DataFrame, DataFram
     """(``row, first, last`` that are repeated, strings of keys with too many, whether there are such) of ``sid, row, base, known, text``."""
     spark = sources.sparkSession
     every = staged(sources.select("sid", "row", "base", "known", "text").mapInArrow(_cut(k, length), "key long, digest long, sid long, row long, at long, n int, known boolean"), "anchors")
-    often = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    # a table of its own, so that a hot key of the join below can be split
+    often = staged(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "often")
     several = staged(every.join(often, "key", "left_semi"), "anchors")
     drop(every)
+    drop(often)
     one = F.min(F.struct("sid", "row", "at", "n")).alias("one")
     alike = several.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("times"), F.max("known").alias("known"), one)
     alike = staged(alike, "strings")
@@ -171,25 +172,30 @@ def _level(sources: DataFrame, k: int, length: int) -> tuple[DataFrame, DataFram
     return spans, many, hot
 
 
+def _merged(spans: list[dict] | None) -> list[dict]:
+    """Spans that neither overlap nor touch."""
+    out: list[dict] = []
+    for first, last in sorted((s["first"], s["last"]) for s in spans or ()):
+        if out and first <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], last)
+        else:
+            out.append({"start": first, "end": last})
+    return out
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            merged: list[list[int]] = []
-            for first, last in sorted((s["first"], s["last"]) for s in spans or ()):
-                if merged and first <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], last)
-                else:
-                    merged.append([first, last])
-            kept, at = [], 0
-            for first, last in merged:
-                kept.append(text[at:first])
-                at = last
-            kept.append(text[at:])
-            removed = [{"start": a, "end": b} for a, b in merged]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc_id], pa.int64()), pa.array([len(text)], pa.int64()), pa.array([removed], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([b"".join(kept)], pa.binary())],
-                ["doc_id", "n_bytes", "removed", "kept"],
-            )
+        removed, kept, sizes = [], [], []
+        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            own = _merged(spans)
+            borders = [0, *(x for s in own for x in (s["start"], s["end"])), len(text)]
+            removed.append(own)
+            kept.append(b"".join(text[a:b] for a, b in zip(borders[::2], borders[1::2])))
+            sizes.append(len(text))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+            ["doc_id", "n_bytes", "removed", "kept"],
+        )
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,52 +14,56 @@ import numpy as np
 #: Ends each string of a block; it occurs in no UTF-8 text.
 END = 0xFF
 #: Phrases of a block are about so long, and few of them longer than :data:`LONG`.
-PHRASE, LONG = 16, 128
+PHRASE, LONG = 8, 128
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
     """Positions of ``symbols`` (integers) by the order of their suffixes; a shorter one comes before those it begins."""
     n = len(symbols)
     first: dict[int, list[int]] = {}
-    for at, x in enumerate(symbols):
+    for at, x in enumerate(symbols, 1):  # positions from 1, so that 0 ends every way back
         first.setdefault(x, []).append(at)
-    # groups in a list linked downwards: ``below`` leads to the next smaller one
-    members = [first[x] for x in sorted(first)]
-    below = list(range(-1, len(members) - 1))
-    group = [0] * n
+    # groups in a doubly linked list, the next smaller one below
+    members = [[0], *(first[x] for x in sorted(first))]
+    below, above = list(range(-1, len(members) - 1)), list(range(1, len(members) + 1))
+    group = [0] * (n + 1)
     for g, own in enumerate(members):
         for at in own:
             group[at] = g
-    done, smaller = bytearray(n), [-1] * n
+    done, smaller = bytearray(n + 1), [0] * (n + 1)
     descending: list[tuple[int, list[int]]] = []
     g = len(members) - 1
-    above: dict[int, int] = {b: g for g, b in enumerate(below)}
-    while g >= 0:
-        own = [at for at in members[g] if group[at] == g]
+    while g:
+        own = members[g]
+        if len(own) > 1:
+            own = [at for at in own if group[at] == g]
+            own.sort()
+        elif own and group[own[0]] != g:
+            own = []
         if own:
-            if len(own) > 1:
-                own.sort()
             descending.append((g, own))
             for at in own:
                 done[at] = 1
             times: dict[int, int] = {}
             for at in own:
                 p = at - 1
-                while p >= 0 and done[p]:
+                while done[p]:
                     p = smaller[p]
                 smaller[at] = p
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
+                times[p] = times.get(p, 0) + 1
+            times.pop(0, None)
             moved: dict[tuple[int, int], list[int]] = {}
             for p, k in times.items():
                 moved.setdefault((group[p], k), []).append(p)
             # right above the group they leave, those that gained more of this prefix higher
             for (old, _), those in sorted(moved.items(), reverse=True) if len(moved) > 1 else moved.items():
+                if len(those) == len(members[old]):
+                    continue  # the whole group, which stays where it is
                 new, over = len(members), above[old]
                 members.append(those)
                 below.append(old)
-                below[over] = new
-                above[old], above[new] = new, over
+                above.append(over)
+                below[over], above[old] = new, new
                 for p in those:
                     group[p] = new
         g = below[g]
@@ -68,20 +72,19 @@ def suffix_array(symbols: list[int]) -> list[int]:
     for g, own in reversed(descending):
         start[g] = at
         at += len(own)
-    order, placed = [0] * n, bytearray(n)
-
-    def place(p: int) -> None:
-        while p >= 0 and not placed[p]:
+    order, placed = [0] * n, bytearray(n + 1)
+    placed[0] = 1
+    p = n
+    for k in range(-1, n):
+        if k >= 0:
+            p = order[k] - 1
+        while not placed[p]:
             g = group[p]
             order[start[g]] = p
             start[g] += 1
             placed[p] = 1
             p = smaller[p]
-
-    place(n - 1)
-    for k in range(n):
-        place(order[k] - 1)
-    return order
+    return [at - 1 for at in order]
 
 
 def _phrase_ends(text: np.ndarray) -> np.ndarray:
