@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .workspace import ship
+
 #: Hadoop's names of schemes that pyarrow knows by others.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 DIGESTS = "path string, size long, sha256 string"
@@ -107,4 +109,5 @@ def _digest(folder: str):
 def digests(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     """``path, size, sha256`` of files below a folder, read in pieces where executors are, whatever their size."""
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    ship(spark)
     return rows.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInArrow(_digest(folder), DIGESTS)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import payloads
 from ..functions.columns import stable_id
 from ..functions.filesystem import exists
+from ..functions.workspace import ship
 from ..schemas import EVENTS, RECORDS
 from .archive import write_batch
 from .models import REPLY_FORM, Complete
@@ -131,6 +132,7 @@ def _judged(asked: DataFrame, plan_ids: DataFrame, judge: Complete, model: str)
                 rows.append((r.pair, r.plan_id, r.part, r.subject, reward, rationale, raw, error, model))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCORES.split(", ")]).astype({"reward": "Int32"})
 
+    ship(asked.sparkSession)
     return asked.join(plan_ids, "pair").select("pair", "plan_id", "part", "subject", "system", "input").mapInPandas(run, SCORES)
 
 
@@ -148,6 +150,7 @@ def resumable(scores: DataFrame, p: Plan, asked: DataFrame) -> DataFrame:
                     raise ValueError("a stored score isn't what its reply says")
             yield f
 
+    ship(scores.sparkSession)
     valid = scores.where("error is null")
     other = valid.join(p.pairs.select("pair", F.col("plan_id").alias("own")), "pair", "left").where("own is null or own <> plan_id")
     need(other.isEmpty(), "the folder holds scores of another comparison or policy; use a new one")
@@ -216,6 +219,7 @@ def _reports(e: Evidence, out: DataFrame, folder: str, reporter: Complete) -> Da
             yield pd.DataFrame(rows, columns=["pair", "plan_id", "report"])
 
     if not asked.isEmpty():
+        ship(asked.sparkSession)
         asked.mapInPandas(run, REPORTS).write.mode("append").parquet(f"{folder}/reports")
     return _stored(spark, f"{folder}/reports", REPORTS).join(p.pairs.select("pair", "plan_id"), ["pair", "plan_id"], "left_semi").dropDuplicates(["pair"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payloads
 from ..functions.columns import stable_id
+from ..functions.workspace import ship
 from ..schemas import EVENTS
 from . import trajectory as T
 from .query import SESSION
@@ -66,6 +67,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed_steps(grouped: DataFrame) -> DataFrame:
     """:data:`STEPS` from ``run, idx, events``."""
+    ship(grouped.sparkSession)
     return grouped.select("run", "idx", "events").mapInArrow(_keyed, STEPS)
 
 

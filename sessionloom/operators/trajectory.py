@@ -6,8 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workspace import ship
 from .query import SESSION
 
+
 def chronology(events: DataFrame) -> DataFrame:
     """``at``: each event's place in its session.
 
@@ -84,6 +86,7 @@ def ancestry(entries: DataFrame, leaves: DataFrame) -> DataFrame:
     a way of any length takes one shuffle.  A loop, or a parent or leaf that
     isn't there, is an error.
     """
+    ship(entries.sparkSession)
     kinds = dict(entries.dtypes)
 
     def walk(own: pa.Table, ends: pa.Table) -> pa.Table:
@@ -113,6 +116,7 @@ def on_branch(events: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     missing ancestors and a choice for another kind of session.  The tree leaves
     out the header; entries without a parent that only describe the session stay.
     """
+    ship(events.sparkSession)
     trees = events.where("harness = 'pi'")
     if leaves is None:
         leaves = events.sparkSession.createDataFrame([], "harness string, session_id string, leaf string")

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.workspace import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)  # some have Python functions, which workers import
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return f

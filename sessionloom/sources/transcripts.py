@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workspace import ship
 from ..schemas import EVENTS, RECORDS
 from . import normalize
 from .discover import matches_project
@@ -67,6 +68,7 @@ def read(spark: SparkSession, harness: str, *roots: str, project: str | None = N
         lines = lines.withColumn("_stem", F.regexp_replace("path", r"\.(jsonl|ndjson)$", "")).join(inputs, "_stem", "left").drop("_stem")
     else:
         lines = lines.withColumn("raw_input", F.lit(None).cast("binary"))
+    ship(lines.sparkSession)
     return lines.mapInArrow(_parse(harness, project), PARSED)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..functions.files import Folder
+from ..functions.workspace import ship
 from ..operators.archive import open_archive, write_batch
 from ..operators.maintenance import COMPACT_BYTES, compact_all, purge_hook_spool
 from ..sources import normalize
@@ -147,6 +148,7 @@ def store(lines: DataFrame, archive: str, collector: str = "local") -> str | Non
     batch.  On a file system of this machine one writer stores at a time.
     """
     spark = lines.sparkSession
+    ship(spark)
     parsed = lines.mapInArrow(_parse_lines, PARSED).withColumn("captured_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     parsed = parsed.persist()
     local = archive.startswith(("/", "file:"))
@@ -169,6 +171,7 @@ def watch(spark: SparkSession, harness: str, root: str, archive: str, checkpoint
     A batch's id comes from its records, so a batch that is tried again isn't
     stored twice; records that an active batch already has are left out.
     """
+    ship(spark)
     spark.dataSource.register(TailSource)
     source = spark.readStream.format("session_tail").option("harness", harness).option("maxBytesPerTrigger", max_bytes).option("maxRecordsPerTrigger", max_records).load(root)
     return source.writeStream.foreachBatch(lambda lines, _: store(lines, archive, collector) and None).option("checkpointLocation", checkpoint)
