@@ -6,14 +6,14 @@ Steps are ``pair, idx, key`` (or ``text``) with ``idx`` from 0.  A result is
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workspace import ship
+
 K1, B = 1.2, 0.75
-#: A term is rare if no more than one document in so many has it.
-RARE = 20
 #: A term: letters and digits of any script, lower-cased.
 TERM = r"[\p{L}\p{N}]+"
 
@@ -39,88 +39,71 @@ def tokens(texts: DataFrame, *keys: str) -> DataFrame:
     return split.select(*keys, "size", F.explode("w").alias("term")).groupBy(*keys, "size", "term").agg(F.count("*").alias("tf"))
 
 
-def _postings(corpus: DataFrame, group: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(``group, term, doc, part``: what each term adds to its documents' scores, ``group, term, df, most``: in how many it is, and the most it adds)."""
-    t = tokens(corpus, *group, "doc")
-    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("n"))
-    stats = sizes.groupBy(*group).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_size"))
-    df = t.groupBy(*group, "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"))
-    df = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row
-    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-    def part(tf: str, size: str) -> Column:
-        return idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.col("avg_size")))
-
-    terms = df.withColumn("most", part("max_tf", "min_size"))
-    return t.join(df, [*group, "term"]).select(*group, "term", "doc", part("tf", "size").alias("part")), terms.select(*group, "term", "df", "docs", "most")
-
-
 def bm25(corpus: DataFrame, queries: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """``group, doc, query, score`` of all pairs that share a term.
 
     ``corpus`` is ``group, doc, text`` and ``queries`` ``group, query, text``;
     statistics are those of the group's corpus.  A query's term counts once.
     All pairs come out, so this is for groups of bounded size (two runs);
-    :func:`bm25_top` is for a whole corpus.
+    ``textindex`` is for a whole corpus.
     """
-    postings, _ = _postings(corpus, group)
+    t = tokens(corpus, *group, "doc")
+    sizes = corpus.select(*group, F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("n"))
+    stats = sizes.groupBy(*group).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_size"))
+    df = t.groupBy(*group, "term").agg(F.count("*").alias("df"))
+    df = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row
+    idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
+    postings = t.join(df, [*group, "term"]).select(*group, "term", "doc", part.alias("part"))
     q = tokens(queries, *group, "query").select(*group, "query", "term")
     return q.join(postings, [*group, "term"]).groupBy(*group, "doc", "query").agg(F.sum("part").alias("score"))
 
 
-def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """``query, doc, score, rank``: the ``k`` best documents of each query, exactly, without a score for every pair.
+def align(rows: list[tuple[np.ndarray, np.ndarray]], width: int, threshold: float) -> np.ndarray:
+    """For each candidate the reference it goes with, or -1: monotone, one to one, of the largest sum of scores above the threshold.
 
-    Scores count rounded, ties go to the smaller document.  A query's rarer terms
-    alone give scores whose ``k``-th is a bound from below.  Its commonest terms
-    that together can't reach the bound bring in no document by themselves: only
-    documents with another term are candidates, and what those terms add is
-    looked up for candidates alone.  So the long lists of stop words are met by
-    few pairs; a query whose rare terms match fewer than ``k`` documents has no
-    bound and takes all its terms.
-    """
-    postings, terms = _postings(corpus, ())
-    q = tokens(queries, "query").select("query", "term").join(terms, "term")
-    rare = q.where(F.col("df") * RARE <= F.col("docs")).select("query", "term")
-    first = rare.join(postings, "term").groupBy("query", "doc").agg(F.sum("part").alias("low"))
-    best = Window.partitionBy("query").orderBy(F.desc("low"), "doc")
-    bound = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).groupBy("query").agg(F.min("low").alias("low"), F.count("*").alias("n"))
-    bound = bound.where(F.col("n") == k).select("query", (F.col("low") - 2 * 10.0**-digits).alias("bound"))
-    upto = Window.partitionBy("query").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    marked = q.join(bound, "query", "left").withColumn("common", F.coalesce(F.sum("most").over(upto) < F.col("bound"), F.lit(False)))
-    met = marked.where("not common").select("query", "term").join(postings, "term").groupBy("query", "doc").agg(F.sum("part").alias("score"))
-    left = marked.where("common").groupBy("query").agg(F.sum("most").alias("left"))
-    candidates = met.join(bound, "query", "left").join(left, "query", "left").where(F.coalesce(F.col("score") + F.coalesce("left", F.lit(0.0)) >= F.col("bound"), F.lit(True))).select("query", "doc", "score")
-    more = candidates.join(marked.where("common").select("query", "term"), "query").join(postings, ["term", "doc"]).groupBy("query", "doc").agg(F.sum("part").alias("more"))
-    scored = candidates.join(more, ["query", "doc"], "left").select("query", "doc", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def align(scores: list[list[float]], threshold: float) -> list[int | None]:
-    """For each candidate (row) the reference (column) it goes with: monotone, one to one, of the largest sum.
-
-    Scores must be above the threshold; where several alignments are best, the
-    one that leaves out the later candidate, then the later reference.
+    ``rows`` has each candidate's (references, scores); ``width`` is the number of
+    references.  Where several alignments are best, the one that leaves out the
+    later candidate, then the later reference.
+
+    One sweep over the candidates holds a single row of best sums, a running
+    maximum over what the row above and a match allow.  Of each row two bits a
+    reference stay: whether leaving out this candidate, or this reference, loses
+    nothing.  The way back reads those.
     """
-    n, m = len(scores), len(scores[0]) if scores else 0
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        above, row = best[i], best[i + 1]
-        for j in range(m):
-            s = scores[i][j]
-            row[j + 1] = max(above[j + 1], row[j], above[j] + s if s > threshold else 0.0)
-    out: list[int | None] = [None] * n
-    i, j = n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
+    best = np.zeros(width + 1)
+    spare_candidate, spare_reference = [], []
+    for at, scores in rows:
+        reached = best.copy()
+        above = scores > threshold
+        to = at[above]
+        reached[to + 1] = np.maximum(reached[to + 1], best[to] + scores[above])
+        row = np.maximum.accumulate(reached)
+        spare_candidate.append(np.packbits(row == best))
+        spare_reference.append(np.packbits(row[1:] == row[:-1]))
+        best = row
+    partner = np.full(len(rows), -1, np.int64)
+    j = width
+    for i in range(len(rows) - 1, -1, -1):
+        while j and not spare_candidate[i][j >> 3] >> (7 - (j & 7)) & 1:
             j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out[i] = j
-    return out
+            if not spare_reference[i][j >> 3] >> (7 - (j & 7)) & 1:
+                partner[i] = j
+                break
+    return partner
+
+
+def _aligned(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Partners of one pair of runs, from its scores alone (no table of all steps with all steps)."""
+    rows = rows.sort_values(["candidate_step", "oracle_step"], kind="stable").drop_duplicates(["candidate_step", "oracle_step"], keep="last")
+    candidates, first = np.unique(rows.candidate_step.to_numpy(), return_index=True)
+    references, at = np.unique(rows.oracle_step.to_numpy(), return_inverse=True)
+    scores, borders = rows.score.to_numpy(np.float64), [*first.tolist(), len(rows)]
+    own = [(at[a:b], scores[a:b]) for a, b in zip(borders, borders[1:])]
+    partner = align(own, len(references), threshold)
+    hit = np.nonzero(partner >= 0)[0]
+    similarity = [float(own[k][1][own[k][0] == partner[k]][0]) for k in hit.tolist()]
+    return pd.DataFrame({"pair": [rows.pair.iloc[0]] * len(hit), "candidate_step": candidates[hit], "oracle_step": references[partner[hit]], "similarity": similarity})
 
 
 def monotone(scored: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -128,18 +111,9 @@ def monotone(scored: DataFrame, threshold: float = 0.1) -> DataFrame:
 
     One pair is one group: a run has a bounded number of steps (2000).
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        cs, os_ = sorted(set(rows.candidate_step)), sorted(set(rows.oracle_step))
-        at, to = {c: k for k, c in enumerate(cs)}, {o: k for k, o in enumerate(os_)}
-        dense = [[0.0] * len(os_) for _ in cs]
-        for c, o, s in zip(rows.candidate_step, rows.oracle_step, rows.score):
-            dense[at[c]][to[o]] = s
-        found = [(rows.pair.iloc[0], cs[k], os_[j], dense[k][j]) for k, j in enumerate(align(dense, threshold)) if j is not None]
-        return pd.DataFrame(found, columns=["pair", "candidate_step", "oracle_step", "similarity"])
-
+    ship(scored.sparkSession)
     kind = dict(scored.dtypes)
-    return scored.groupBy("pair").applyInPandas(one, f"pair {kind['pair']}, candidate_step long, oracle_step long, similarity double")
+    return scored.groupBy("pair").applyInPandas(lambda rows: _aligned(rows, threshold), f"pair {kind['pair']}, candidate_step long, oracle_step long, similarity double")
 
 
 def required(oracle: DataFrame, candidate: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import query as Q
 from ..operators import trajectory as T
 from ..operators.catalog import active_manifests, compaction_groups, status, upload_backlog
 from ..operators.outcomes import tool_name
+from ..operators.textindex import bm25_top
 from ..sources import lift
 from .registration import register
 
@@ -454,7 +455,7 @@ def bm25_scores(spark, d):
 @register("bm25_topk", _BM25 + ", r as (select *, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from s) select query, doc, cast(rank as integer) as rank from r where rank <= 5")
 def bm25_topk(spark, d):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
-    return M.bm25_top(docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("query"), "text"), 5).select("query", "doc", "rank")
+    return bm25_top(docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("query"), "text"), 5).select("query", "doc", "rank")
 
 
 @register("diff_strict", PAIRS + " select coalesce(o.pair, c.pair) as pair, coalesce(o.idx, c.idx) + 1 as step, case when o.key is null then 'added' when c.key is null then 'missing' else 'changed' end as change from o full join c on o.pair = c.pair and o.idx = c.idx where o.key is distinct from c.key")

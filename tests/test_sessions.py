@@ -4,12 +4,13 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import columns as X
 from sessionloom.functions import payloads as P
-from sessionloom.operators import archive, assessment, catalog, matching, trajectory
+from sessionloom.operators import archive, assessment, catalog, matching, textindex, trajectory
 from sessionloom.operators import query as Q
 from sessionloom.plans import catalogue, registration  # noqa: F401
 from sessionloom.sources import normalize, transcripts
@@ -168,7 +169,7 @@ def test_align_is_best_among_all_monotone_matchings():
     for _ in range(60):
         n, m, threshold = rnd.randint(0, 4), rnd.randint(1, 4), rnd.choice([0.0, 0.3])
         scores = [[rnd.choice([0.0, 0.2, 0.3, 0.7, 1.1, 1.5]) for _ in range(m)] for _ in range(n)]
-        got = [(i, j) for i, j in enumerate(matching.align(scores, threshold)) if j is not None]
+        got = [(i, int(j)) for i, j in enumerate(matching.align([(np.arange(m), np.array(row)) for row in scores], m, threshold)) if j >= 0]
         best = max((sum(scores[i][j] for i, j in c) for c in monotone_choices(n, m) if all(scores[i][j] > threshold for i, j in c)), default=0.0)
         assert got in list(monotone_choices(n, m)) and all(scores[i][j] > threshold for i, j in got)
         assert abs(sum(scores[i][j] for i, j in got) - best) < 1e-9
@@ -211,7 +212,7 @@ def test_the_best_documents_without_all_scores(spark):
     for r in matching.bm25(corpus, queries).collect():
         whole.setdefault(r.query, []).append((-round(r.score, 6), r.doc))
     got = {}
-    for r in matching.bm25_top(corpus, queries, 7).orderBy("query", "rank").collect():
+    for r in textindex.bm25_top(corpus, queries, 7).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append((-r.score, r.doc))
     assert got == {k: sorted(v)[:7] for k, v in whole.items()}
 
