@@ -42,3 +42,17 @@ def totals(chunks: DataFrame, group: tuple[str, ...], **sums: Column) -> DataFra
 def within(group: tuple[str, ...], *order: str | Column):
     """The window over one chunk of a group, up to each row."""
     return Window.partitionBy(*group, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def last_before(chunks: DataFrame, group: tuple[str, ...], *order: str, **values: Column) -> tuple[dict[str, Column], DataFrame]:
+    """(the last value that isn't null in the rows of the chunk before each row, ``group, _chunk, name_carried``: the last one in the chunks before).
+
+    A row has both if the columns are made beside the table joined on ``group`` and
+    ``_chunk``; the first counts where it is there.
+    """
+    upto = Window.partitionBy(*group, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = F.struct(*order)
+    own = chunks.groupBy(*group, CHUNK).agg(*(F.max_by(c, F.when(c.isNotNull(), ordered)).alias(x) for x, c in values.items()))
+    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select(*group, CHUNK, *(F.last(x, True).over(before).alias(f"{x}_carried") for x in values))
+    return {x: F.last(c, True).over(upto) for x, c in values.items()}, carried

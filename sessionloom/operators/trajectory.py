@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.workspace import ship
+from ..functions.running import CHUNK, chunked, last_before, totals, within
+from ..functions.workspace import ship, staged
 from .query import SESSION
 
 
+#: Writes rows under a label to a folder that all executors share, and reads them back.
+Store = Callable[[DataFrame, str], DataFrame]
+
+
 def chronology(events: DataFrame) -> DataFrame:
     """``at``: each event's place in its session.
 
     A session of one source goes by position; one of several by time, where an
     event without a time is an error.
     """
-    whole = Window.partitionBy(*SESSION)
+    whole = Window.partitionBy(*SESSION)  # spread_chronology is for sessions beyond a task
     several = F.min("source_id").over(whole) != F.max("source_id").over(whole)
     timed = F.when(several, F.coalesce("timestamp", F.raise_error(F.lit("events of several sources need timestamps")).cast("string")))
     own = whole.orderBy("_time", *(("_source", "position", "sub_index", "id")))
@@ -42,6 +49,54 @@ def steps(events: DataFrame) -> DataFrame:
     return numbered.withColumn("step", F.max(F.when(F.col("is_head"), F.col("_own"))).over(by_call)).drop("_own")
 
 
+def _sources(events: DataFrame) -> DataFrame:
+    """``harness, session_id, several``: whether a session's events are of several sources; a row for each session, whatever its size."""
+    ends = events.groupBy(*SESSION).agg(F.min("source_id").alias("lo"), F.max("source_id").alias("hi"))
+    return ends.select(*SESSION, (F.col("lo") != F.col("hi")).alias("several"))
+
+
+def spread_chronology(events: DataFrame, store: Store = staged) -> DataFrame:
+    """:func:`chronology` where one session may hold most of the events; also ``_chunk``, which :func:`spread_steps` needs.
+
+    Events are dealt by ranges of session and order, so a large session lies in
+    several chunks; an event's place is its place in the chunk and what the chunks
+    before it hold.
+    """
+    kept = events.join(_sources(events), list(SESSION))
+    timed = F.when(F.col("several"), F.coalesce("timestamp", F.raise_error(F.lit("events of several sources need timestamps")).cast("string")))
+    order = ("_time", "_source", "position", "sub_index", "id")
+    placed = kept.withColumn("_time", timed).withColumn("_source", F.when(F.col("several"), F.col("source_id"))).drop("several")
+    rows = chunked(placed, SESSION, order, lambda x: store(x, "chronology"))
+    before = totals(rows, SESSION, n=F.count(F.lit(1))).select(*SESSION, CHUNK, "n_before")
+    nth = F.row_number().over(within(SESSION, *order))
+    return rows.withColumn("_nth", nth).join(before, [*SESSION, CHUNK]).withColumn("at", (F.col("_nth") + F.col("n_before")).cast("int")).drop("_nth", "n_before", "_time", "_source")
+
+
+def spread_steps(events: DataFrame, store: Store = staged) -> DataFrame:
+    """:func:`steps` for events as :func:`spread_chronology` gives them.
+
+    The latest call before a result is the last of its chunk, or else the one that
+    the chunks before carry over; a step's number is a running sum over chunks; an
+    attached result looks its number up at its call's place.
+    """
+    kept = events.where(F.col("kind").isin("tool_call", "tool_result") | ((F.col("kind") == "message") & (F.col("role") == "assistant")))
+    kept = kept.withColumn("_call", F.when((F.col("kind") == "tool_call") & F.col("tool_call_id").isNotNull(), F.col("at")))
+    known = (*SESSION, "tool_call_id")
+    here, carried = last_before(kept.where("tool_call_id is not null"), known, "at", call=F.col("_call"))
+    # null ids are nobody's, and all of them would be one group
+    attached = kept.where("tool_call_id is not null").withColumn("_here", here["call"]).join(carried, [*known, CHUNK])
+    attached = attached.withColumn("call_at", F.when(F.col("kind") == "tool_result", F.coalesce("_here", "call_carried"))).drop("_here", "call_carried")
+    marked = attached.unionByName(kept.where("tool_call_id is null").withColumn("call_at", F.lit(None).cast("int"))).drop("_call")
+    marked = store(marked.withColumn("is_head", F.col("call_at").isNull()), "steps")
+    heads = F.col("is_head").cast("long")
+    before = totals(marked, SESSION, heads=F.sum(heads)).select(*SESSION, CHUNK, "heads_before")
+    numbered = marked.withColumn("_own", F.sum(heads).over(within(SESSION, "at"))).join(before, [*SESSION, CHUNK])
+    numbered = store(numbered.withColumn("_own", F.col("_own") + F.col("heads_before") - 1).drop("heads_before"), "steps")
+    lead = numbered.where("is_head").select(*SESSION, F.col("at").alias("call_at"), F.col("_own").alias("step"))
+    own = numbered.where("is_head").withColumn("step", F.col("_own"))
+    return own.unionByName(numbered.where("not is_head").join(lead, [*SESSION, "call_at"])).drop("_own", CHUNK)
+
+
 def outputs(events: DataFrame) -> DataFrame:
     """``final_output`` and ``final_output_source`` of every session.  Needs ``at``.
 

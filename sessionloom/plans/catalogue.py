@@ -346,13 +346,13 @@ def manifest_validate(spark, d):
 
 @register("steps_asof_attach", STEPS + " select harness, session_id, id, cast(call_at as bigint) as call_at from steps where kind = 'tool_result'")
 def steps_asof_attach(spark, d):
-    s = T.steps(T.chronology(lift.events(spark, d)))
+    s = T.spread_steps(T.spread_chronology(lift.events(spark, d)))
     return s.where("kind = 'tool_result'").select("harness", "session_id", "id", F.col("call_at").cast("long").alias("call_at"))
 
 
 @register("step_numbering", STEPS + " select harness, session_id, id, cast(step as bigint) as step, is_head from steps")
 def step_numbering(spark, d):
-    return T.steps(T.chronology(lift.events(spark, d))).select("harness", "session_id", "id", F.col("step").cast("long").alias("step"), "is_head")
+    return T.spread_steps(T.spread_chronology(lift.events(spark, d))).select("harness", "session_id", "id", F.col("step").cast("long").alias("step"), "is_head")
 
 
 @register("final_output", AT + ", h as (select harness, session_id, arg_max(kind, nth) as k, arg_max(role, nth) as r, arg_max(text, nth) as t from seen where kind in ('message', 'tool_call', 'tool_result') group by all) select harness, session_id, t as final_output from h where k = 'message' and r = 'assistant'")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions.workspace import fresh_dir
-from sessionloom.operators import matching, textindex
+from sessionloom.operators import matching, textindex, trajectory
 
 # --- alignment ---------------------------------------------------------------
 
@@ -114,6 +114,37 @@ def test_an_index_outlives_its_texts(spark, tmp_path):
     assert textindex.search(nothing, spark.createDataFrame(asks, "query long, text string"), 3).top.count() == 0
 
 
+# --- sessions larger than a task ------------------------------------------------
+
+EVENT = "harness string, session_id string, source_id string, timestamp string, position long, sub_index long, id string, kind string, role string, tool_call_id string"
+
+
+def session_events(seed, n, huge=True):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        session = "huge" if huge and i % 20 else f"s{i % 7}"
+        source = "b" if session == "s3" and i % 2 else "a"
+        kind = rnd.choice(["tool_call", "tool_result", "tool_result", "message", "metadata"])
+        call = rnd.choice(["c1", "c2", f"k{i // 3}", None]) if kind.startswith("tool") else None
+        rows.append(("pi", session, source, f"2024-01-01T00:{rnd.randint(0, 59):02}:00Z", rnd.randint(0, n), i % 3, f"e{i:06}", kind, rnd.choice(["assistant", "user"]), call))
+    return rows
+
+
+@pytest.mark.parametrize("n,huge", [(60, False), (4000, True)])
+def test_steps_of_a_session_that_holds_nearly_everything(spark, n, huge):
+    events = spark.createDataFrame(session_events(n, n, huge), EVENT)
+    ordered = trajectory.spread_chronology(events)
+    if huge:
+        sizes = sorted(r["count"] for r in ordered.groupBy("_chunk").count().collect())
+        assert len(sizes) > 1 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        assert ordered.where("session_id = 'huge'").select("_chunk").distinct().count() > 1
+    plain = trajectory.chronology(events)
+    assert {(r.id, r["at"]) for r in ordered.collect()} == {(r.id, r["at"]) for r in plain.collect()}
+    own = lambda df: sorted((r.id, r.step, r.is_head, r.call_at or 0) for r in df.collect())
+    assert own(trajectory.spread_steps(ordered)) == own(trajectory.steps(plain))
+
+
 # --- workers -------------------------------------------------------------------
 
 ELSEWHERE = """
