@@ -134,13 +134,31 @@ def _way(parents: dict, leaf) -> list:
     return way
 
 
-def ancestry(entries: DataFrame, leaves: DataFrame) -> DataFrame:
+#: A session of more entries isn't walked in one group.
+WALK = 200_000
+
+
+def ancestry(entries: DataFrame, leaves: DataFrame, bound: int = WALK, store: Store = staged) -> DataFrame:
     """Every entry (``session_id, id, parent_id``) on the way from a leaf (``session_id, leaf``) to its root, with its ``hops``.
 
     A session's entries are one group (their ids alone, not what they hold), so
-    a way of any length takes one shuffle.  A loop, or a parent or leaf that
-    isn't there, is an error.
+    a way of any length takes one shuffle; sessions of more than ``bound`` entries
+    take a logarithmic number of joins instead (:func:`doubled`).  A loop, or a
+    parent or leaf that isn't there, is an error either way.
     """
+    kinds = dict(entries.dtypes)
+    own = entries.where("id is not null").select("session_id", "id", "parent_id")
+    ends = leaves.select("session_id", F.col("leaf").cast(kinds["id"]).alias("leaf"))
+    large = store(own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound), "large")
+    if large.isEmpty():
+        return _walked(own, ends)
+    sessions = large.select("session_id")
+    few = _walked(own.join(sessions, "session_id", "left_anti"), ends.join(sessions, "session_id", "left_anti"))
+    return few.union(doubled(own.join(sessions, "session_id", "left_semi"), ends.join(sessions, "session_id", "left_semi"), store))
+
+
+def _walked(entries: DataFrame, leaves: DataFrame) -> DataFrame:
+    """:func:`ancestry`, a session at a time."""
     ship(entries.sparkSession)
     kinds = dict(entries.dtypes)
 
@@ -153,8 +171,43 @@ def ancestry(entries: DataFrame, leaves: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["session_id", "leaf", "id", "hops"])
 
     schema = f"session_id {kinds['session_id']}, leaf {kinds['id']}, id {kinds['id']}, hops int"
-    own = entries.where("id is not null").select("session_id", "id", "parent_id").groupBy("session_id")
-    return own.cogroup(leaves.select(F.col("session_id").alias("session"), F.col("leaf").cast(kinds["id"]).alias("leaf")).groupBy("session")).applyInArrow(walk, schema)
+    return entries.groupBy("session_id").cogroup(leaves.select(F.col("session_id").alias("session"), "leaf").groupBy("session")).applyInArrow(walk, schema)
+
+
+def doubled(entries: DataFrame, leaves: DataFrame, store: Store = staged) -> DataFrame:
+    """:func:`ancestry` by pointer doubling: rounds of joins, of which a way of n entries takes about log2(n).
+
+    Before a round, the ways have their first ``far`` entries and ``jumps`` lead
+    ``far`` up; the round adds to each of them the entry ``far`` above it, and
+    jumps over jumps lead twice as far.  A way still growing after as many hops as
+    its session has entries is a loop.  A round's tables are written, so a lost
+    executor costs a reread.
+    """
+    key = ["session_id", "id"]
+    own = store(entries.dropDuplicates(key), "entries")
+    ways = [store(leaves.distinct().join(own.select("session_id", F.col("id").alias("leaf")), ["session_id", "leaf"], "left_semi").select("session_id", "leaf", F.col("leaf").alias("id"), F.lit(0).alias("hops")), "ways")]
+    lost = leaves.join(own.select("session_id", F.col("id").alias("leaf")), ["session_id", "leaf"], "left_anti").first()
+    if lost:
+        raise ValueError(f"the leaf {lost['leaf']!r} isn't among the entries")
+    jumps = store(own.where("parent_id is not null").select("session_id", "id", F.col("parent_id").alias("up")), "jumps")
+    gaps = store(jumps.join(own.select("session_id", F.col("id").alias("up")), ["session_id", "up"], "left_anti"), "gaps")
+    most, far = own.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while True:
+        so_far = ways[0]
+        for more in ways[1:]:
+            so_far = so_far.union(more)
+        new = store(so_far.join(jumps, key).select("session_id", "leaf", F.col("up").alias("id"), (F.col("hops") + far).alias("hops")), "ways")
+        if new.isEmpty():
+            break
+        if far > most:
+            raise ValueError("entries form a loop")
+        ways.append(new)
+        jumps = store(jumps.join(jumps.select("session_id", F.col("id").alias("up"), F.col("up").alias("next")), ["session_id", "up"]).select("session_id", "id", F.col("next").alias("up")), "jumps")
+        far *= 2
+    gap = so_far.join(gaps.select(*key, "up"), key).first()
+    if gap:
+        raise ValueError(f"the way from {gap['leaf']!r} leads to {gap['up']!r}, which isn't among the entries")
+    return so_far.select("session_id", "leaf", "id", "hops")
 
 
 def leaves_of(entries: DataFrame) -> DataFrame:

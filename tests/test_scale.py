@@ -145,6 +145,41 @@ def test_steps_of_a_session_that_holds_nearly_everything(spark, n, huge):
     assert own(trajectory.spread_steps(ordered)) == own(trajectory.steps(plain))
 
 
+# --- ways to the root --------------------------------------------------------------
+
+
+def forest(seed, n=400):
+    rnd = random.Random(seed)
+    rows = [("s", f"n{i}", None if i == 0 else f"n{rnd.randint(max(0, i - 3), i - 1)}") for i in range(n)]
+    return rows + [("t", f"n{i}", f"n{i - 1}" if i else None) for i in range(70)] + [("u", "x", None)]
+
+
+def ways(df):
+    return sorted((r.session_id, r.leaf, r.id, r.hops) for r in df.collect())
+
+
+def test_doubling_gives_the_ways_that_walking_gives(spark):
+    entries = spark.createDataFrame(forest(1), "session_id string, id string, parent_id string")
+    leaves = trajectory.leaves_of(entries)
+    walked = ways(trajectory.ancestry(entries, leaves))
+    assert max(r[3] for r in walked) > 64
+    assert ways(trajectory.ancestry(entries, leaves, bound=100)) == walked == ways(trajectory.ancestry(entries, leaves, bound=0))
+
+
+@pytest.mark.parametrize("rows,leaf,words", [([("s", "a", "b"), ("s", "b", "c"), ("s", "c", "a")], "a", "loop"), ([("s", "a", "a")], "a", "loop"), ([("s", "a", "b"), ("s", "b", "z")], "a", "'z'"), ([("s", "a", None)], "q", "'q'")])
+def test_doubling_reports_loops_and_gaps(spark, rows, leaf, words):
+    entries = spark.createDataFrame(rows, "session_id string, id string, parent_id string")
+    with pytest.raises(ValueError, match=words):
+        trajectory.ancestry(entries, spark.createDataFrame([("s", leaf)], "session_id string, leaf string"), bound=0)
+
+
+def test_a_very_long_way_takes_few_rounds(spark):
+    n = 100_000
+    entries = spark.range(n).select(F.lit("s").alias("session_id"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    got = trajectory.ancestry(entries, spark.createDataFrame([("s", n - 1)], "session_id string, leaf long"), bound=1000)
+    assert got.where(F.col("id") + F.col("hops") == n - 1).select("id").distinct().count() == n == got.count()
+
+
 # --- workers -------------------------------------------------------------------
 
 ELSEWHERE = """
