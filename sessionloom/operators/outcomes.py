@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-from ..functions import payloads
+from ..functions import variants
 
 
-@pandas_udf(StringType())
-def tool_name(payload_json):
-    """Name of the tool that a call's payload names, in any known shape."""
+def tool_name(payload_json: Column | str) -> Column:
+    """Name of the tool that a call's payload names, in any known shape; null if that isn't a string."""
+    name = variants.tool_name(variants.strict(payload_json))
+    return F.when(variants.is_string(name), name.try_cast("string"))
 
-    def one(raw):
-        try:
-            parts = payloads.tool_parts(payloads.loads(raw))
-        except (TypeError, ValueError):
-            return None
-        return parts[0] if parts and isinstance(parts[0], str) else None
 
-    return payload_json.map(one)
-
-
-@pandas_udf(StringType())
-def result_text(payload_json):
-    """What a result's payload holds, as canonical JSON; null if nothing."""
-
-    def one(raw):
-        try:
-            content = payloads.result_content(payloads.loads(raw))
-        except (TypeError, ValueError):
-            return None
-        return None if content is None else payloads.dumps(content)
-
-    return payload_json.map(one)
-
-
-@pandas_udf(StringType())
-def action_keys(kind, role, text, payload_json):
-    """:func:`payloads.action_key` of each event."""
-    import pandas as pd
-
-    clean = lambda x: None if x is None or x != x else x
-    return pd.Series([payloads.action_key(k, clean(r), clean(t), clean(p)) for k, r, t, p in zip(kind, role, text, payload_json)])
+def result_text(payload_json: Column | str) -> Column:
+    """What a result's payload holds, as JSON with sorted fields; null if nothing."""
+    return variants.result_content(variants.strict(payload_json))
 
 
 KEY = ("harness", "session_id")

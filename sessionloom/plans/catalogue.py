@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.variants import action_key
 from ..operators import assessment as A
 from ..operators import matching as M
 from ..operators import query as Q
 from ..operators import trajectory as T
 from ..operators.catalog import active_manifests, compaction_groups, status, upload_backlog
-from ..operators.outcomes import tool_name
+from ..operators.outcomes import result_text, tool_name
 from ..operators.textindex import bm25_top
 from ..sources import lift
 from .registration import register
@@ -253,6 +254,61 @@ def tool_parts_json(spark, d):
     return e.select("event_id", tool_name(F.when(nested, tagged).otherwise(flat)).alias("name"), F.when(nested, "nested").alias("shape"))
 
 
+_SHAPES = """
+with e as (select event_id, event_type, replace(props, ' ', '') as p, event_id % 5 as shape from events where event_type in ('view', 'click'))"""
+
+
+def _tool_events(spark, d):
+    """Calls (views) and results (clicks), each in five shapes of payload."""
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type").isin("view", "click"))
+    p, shape = F.col("props"), F.col("event_id") % 5
+    escaped = F.replace(p, F.lit('"'), F.lit('\\"'))
+
+    def made(*shapes):
+        out = None
+        for k, parts in enumerate(shapes):
+            one = F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+            out = F.when(shape == k, one) if out is None else out.when(shape == k, one)
+        return out
+
+    call = made(
+        ('{"name": "view", "id": "', F.col("event_id").cast("string"), '", "arguments": ', p, "}"),
+        ('{"input": "', escaped, '", "tool_name": "view"}'),
+        ('{"tool_call": {"view": {"args": ', p, "}}}"),
+        ('{"what": [', p, ", null]}"),
+        ('{"name": null, "arguments": "not {json"}',),
+    )
+    result = made(
+        ('{"output": ', p, ', "content": 1}'),
+        ('{"result": {"b": ', p, ', "a": "x"}}'),
+        ('{"tool_call": {"view": {"result": ', p, '}, "other": 1}}'),
+        ('{"output": null, "content": ', p, "}"),
+        ('{"said": ', p, "}"),
+    )
+    return e.select("event_id", F.when(F.col("event_type") == "view", "tool_call").otherwise("tool_result").alias("kind"), F.when(F.col("event_type") == "view", call).otherwise(result).alias("payload_json"))
+
+
+@register(
+    "action_keys",
+    _SHAPES + """ select event_id, case when shape < 3 then '{"arguments":' || p || ',"kind":"tool_call","name":"view"}'
+      when shape = 3 then '{"kind":"tool_call","payload":{"what":[' || p || ',null]},"text":null}'
+      else '{"arguments":"not {json","kind":"tool_call","name":null}' end as key from e where event_type = 'view'""",
+)
+def action_keys(spark, d):
+    """Keys of tool calls in five shapes: alike for the same tool and arguments, whatever the shape."""
+    calls = _tool_events(spark, d).where("kind = 'tool_call'")
+    return calls.select("event_id", action_key("kind", F.lit(None).cast("string"), F.lit(None).cast("string"), "payload_json").alias("key"))
+
+
+@register(
+    "result_contents",
+    _SHAPES + """ select event_id, case shape when 0 then p when 1 then '{"a":"x","b":' || p || '}' when 2 then '{"view":' || p || '}' end as content from e where event_type = 'click'""",
+)
+def result_contents(spark, d):
+    """What results hold: the first field there is counts, even if it holds null."""
+    return _tool_events(spark, d).where("kind = 'tool_result'").select("event_id", result_text("payload_json").alias("content"))
+
+
 # --- catalog of batches ----------------------------------------------------
 
 

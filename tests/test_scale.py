@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom.functions import payloads, variants
 from sessionloom.functions.workspace import fresh_dir
-from sessionloom.operators import matching, textindex, trajectory
+from sessionloom.operators import matching, outcomes, textindex, trajectory
 
 # --- alignment ---------------------------------------------------------------
 
@@ -180,6 +181,41 @@ def test_a_very_long_way_takes_few_rounds(spark):
     assert got.where(F.col("id") + F.col("hops") == n - 1).select("id").distinct().count() == n == got.count()
 
 
+# --- payloads in the JVM -----------------------------------------------------------
+
+
+def payload_shapes():
+    rnd = random.Random(11)
+    inner = ['{"b": 2, "a": [1, {"z": null, "y": "é\\u0001"}]}', '"plain"', '"{\\"k\\": [1, 2]}"', '"1 x"', '"1, 2"', '"] , ["', '""', "null", "[]", "5", "true", '"NaN"']
+    rows = [None, "", "null", "5", "[1]", '"name"', '{"name": "a"} x', '{"a": NaN}', "{", '{"name": "cut']
+    for name in ("name", "tool_name", "other"):
+        for given in ("arguments", "input", "tool_input", "args"):
+            for x in inner:
+                rows.append(f'{{"{name}": {rnd.choice(inner + ["5"])}, "{given}": {x}, "arguments ": 1}}')
+    for call in ('{"read": {"args": {"q": 1}}}', '{"read": {}}', '{"read": 5}', '{"r": 1, "s": 2}', "{}", "5", "null", '{"a.b": {"args": "x", "result": null}}', '{"r": {"result": [1]}, "s": {"result": null}, "t": 3}'):
+        rows += [f'{{"tool_call": {call}}}', f'{{"tool_call": {call}, "content": {rnd.choice(inner)}}}']
+    for one in ("output", "content", "result", "tool_output", "error_message"):
+        for two in ("content", "error_message"):
+            rows += [f'{{"{one}": {rnd.choice(inner)}, "{two}x": 1}}', f'{{"{two}": 3, "{one} ": null}}']
+    return rows
+
+
+def test_payloads_read_in_the_jvm_equal_those_read_in_python(spark):
+    rows = [(i, k, r, t, raw) for i, raw in enumerate(payload_shapes()) for k, r, t in (("tool_call", None, "said"), ("tool_call", None, None), ("message", "user", 'a "b"'), ("unknown", None, None))]
+    df = spark.createDataFrame(rows, "i int, kind string, role string, text string, raw string")
+    got = df.select("kind", "role", "text", "raw", variants.action_key("kind", "role", "text", "raw").alias("key"), outcomes.tool_name("raw").alias("name"), outcomes.result_text("raw").alias("result"))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        try:
+            payload = payloads.loads(r.raw)
+        except (TypeError, ValueError):
+            payload = None
+        parts, content = payloads.tool_parts(payload), payloads.result_content(payload)
+        assert r.key == payloads.action_key(r.kind, r.role, r.text, r.raw), r
+        assert r.name == (parts[0] if parts and isinstance(parts[0], str) else None), r
+        assert r.result == (None if content is None else payloads.dumps(content)), r
+
+
 # --- workers -------------------------------------------------------------------
 
 ELSEWHERE = """
