@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_relative, valid_id, valid_timestamp
+from ..functions.workspace import ship
 from ..schemas import SCHEMA_VERSION
 
 MAX_INVENTORY = 10000
@@ -35,32 +39,39 @@ def upload_backlog(batches: DataFrame, remotes: DataFrame, uploaded: DataFrame)
     return open_.groupBy("remote").agg(F.count("*").alias("backlog"), F.sum("bytes").alias("bytes"))
 
 
+def _grouped(max_bytes: int, max_ids: int):
+    """Adds each batch's group to ``order, batch_id, bytes, n`` rows that come in order; holds what the open group has, and no rows."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = ids = held = group = 0
+        for frame in frames:
+            out = []
+            for more, n in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist()):
+                if held and (size + more > max_bytes or ids + n > max_ids):
+                    group, size, ids, held = group + 1, 0, 0, 0
+                large = more > max_bytes
+                if not large:
+                    size, ids, held = size + more, ids + n, held + 1
+                out.append(None if large else group)
+            yield pa.RecordBatch.from_arrays([*frame.columns[:2], pa.array(out, pa.int64())], [*frame.schema.names[:2], "group"])
+
+    return run
+
+
 def compaction_groups(batches: DataFrame, max_bytes: int, max_ids: int = MAX_INVENTORY, order: str = "seq") -> DataFrame:
     """``group`` for each batch that is to be merged with neighbours.
 
     Goes through the catalog in order: a batch that doesn't fit the open group
     closes it, one above the size by itself belongs to none, and only groups of
-    two or more count.  The catalog has a row for a batch, not for data, and a
-    fold over it in one task is what the order asks for.
+    two or more count.  Where a group ends depends on where the one before did, so
+    one task goes through the sorted catalog, which has a row for a batch and not
+    for data; it holds one group's sums, and a million batches take seconds.
     """
-    listed = batches.agg(F.array_sort(F.collect_list(F.struct(order, "batch_id", "bytes", (1 + F.size("replaces")).alias("n")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("open"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["open"] > 0) & ((s["size"] + x["bytes"] > max_bytes) | (s["n"] + x["n"] > max_ids))
-        g, large = s["g"] + full.cast("int"), x["bytes"] > max_bytes
-        base = F.when(full, F.lit(0).cast("long"))
-        size, n, held = base.otherwise(s["size"]), base.otherwise(s["n"]), F.when(full, 0).otherwise(s["open"])
-        return F.struct(
-            F.when(large, size).otherwise(size + x["bytes"]).alias("size"),
-            F.when(large, n).otherwise(n + x["n"]).alias("n"),
-            F.when(large, held).otherwise(held + 1).alias("open"),
-            g.alias("g"),
-            F.concat(s["out"], F.array(F.when(~large, g))).alias("out"),
-        )
-
-    zipped = listed.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step)["out"].alias("g"))).alias("x"))
-    flat = zipped.select(F.col("x.rows." + order).alias(order), F.col("x.rows.batch_id").alias("batch_id"), F.col("x.g").alias("group")).where("group is not null")
+    ship(batches.sparkSession)
+    kind = dict(batches.dtypes)
+    listed = batches.select(order, "batch_id", F.col("bytes").cast("long").alias("bytes"), (1 + F.coalesce(F.size("replaces"), F.lit(0))).cast("long").alias("n"))
+    sorted_ = listed.orderBy(order, "batch_id").coalesce(1)
+    flat = sorted_.mapInArrow(_grouped(max_bytes, max_ids), f"{order} {kind[order]}, batch_id {kind['batch_id']}, group long").where("group is not null")
     return flat.withColumn("_n", F.count("*").over(Window.partitionBy("group"))).where("_n > 1").drop("_n")
 
 

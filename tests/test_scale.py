@@ -10,11 +10,12 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import payloads, variants
 from sessionloom.functions.workspace import fresh_dir
-from sessionloom.operators import matching, outcomes, textindex, trajectory
+from sessionloom.operators import catalog, matching, outcomes, textindex, trajectory
 
 # --- alignment ---------------------------------------------------------------
 
@@ -216,6 +217,29 @@ def test_payloads_read_in_the_jvm_equal_those_read_in_python(spark):
         assert r.result == (None if content is None else payloads.dumps(content)), r
 
 
+# --- catalogs ---------------------------------------------------------------------
+
+
+def test_a_million_batches_are_grouped_in_order(spark):
+    n, most, ids = 1_000_000, 1000, 40
+    size = F.pmod(F.xxhash64("id"), F.lit(1100))
+    b = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("batch_id"), F.when(F.col("id") % 50 < 30, size % 20).otherwise(size).alias("bytes"), F.when(F.col("id") % 3 > 0, F.array(F.lit("x"))).alias("replaces"))
+    sizes = [r.bytes for r in b.select("bytes").orderBy("seq").collect()]
+    want, own, total, names = {}, [], 0, 0
+    for k, x in enumerate(sizes):
+        m = 2 if k % 3 else 1
+        if own and (total + x > most or names + m > ids):
+            want.update(dict.fromkeys(own, own[0]) if len(own) > 1 else {})
+            own, total, names = [], 0, 0
+        if x <= most:
+            own, total, names = [*own, k], total + x, names + m
+    want.update(dict.fromkeys(own, own[0]) if len(own) > 1 else {})
+    began = time.time()
+    got = catalog.compaction_groups(b.repartition(7), most, ids).select("seq", F.min("seq").over(Window.partitionBy("group")).alias("first")).toPandas()
+    assert time.time() - began < 60
+    assert dict(zip(got.seq.tolist(), got["first"].tolist())) == want
+
+
 # --- workers -------------------------------------------------------------------
 
 ELSEWHERE = """
