@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payloads
 from ..functions.columns import stable_id
-from ..functions.filesystem import exists
+from ..functions.filesystem import arrow_fs, exists
 from ..functions.workspace import ship
 from ..schemas import EVENTS, RECORDS
 from .archive import write_batch
@@ -118,22 +120,64 @@ def preflight(asked: DataFrame, max_bytes: int) -> DataFrame:
     return asked
 
 
-def _judged(asked: DataFrame, plan_ids: DataFrame, judge: Complete, model: str) -> DataFrame:
+class ReplyLog:
+    """Valid replies under ``folder``, a file for each question, written by tasks as they come.
+
+    A question's file is named after the plan, the model and what is asked, so a
+    task that is tried again, or a later call, finds what was paid for already.
+    """
+
+    def __init__(self, folder: str, model: str):
+        self.folder, self.model = folder, model
+
+    def _place(self, r):
+        named = json.dumps([r.plan_id, self.model, r.pair, r.part, r.subject, r.system, r.input])
+        fs, path = arrow_fs(self.folder)
+        return fs, f"{path}/{hashlib.sha256(named.encode()).hexdigest()}.json"
+
+    def find(self, r) -> str | None:
+        fs, path = self._place(r)
+        try:
+            with fs.open_input_stream(path) as f:
+                return json.loads(f.read())["raw"]
+        except FileNotFoundError:
+            return None
+
+    def keep(self, r, raw: str) -> None:
+        fs, path = self._place(r)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        whole = json.dumps({"plan_id": r.plan_id, "model": self.model, "pair": r.pair, "part": r.part, "subject": r.subject, "raw": raw})
+        # beside its place and then moved, so that a reply is there whole or not at all
+        beside = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(beside) as f:
+            f.write(whole.encode())
+        fs.move(beside, path)
+
+
+def _judged(asked: DataFrame, plan_ids: DataFrame, judge: Complete, model: str, log: ReplyLog, at_once: int | None = None) -> DataFrame:
+    """:data:`SCORES` of the questions; at most ``at_once`` are open at a time, over all tasks."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                raw, reward, rationale, error = None, None, None, None
+                raw, reward, rationale, error = log.find(r), None, None, None
+                known = raw is not None
                 try:
-                    raw = judge(r.system, r.input)
+                    raw = raw if known else judge(r.system, r.input)
                     reward, rationale = payloads.judgment(raw)
+                    if not known:
+                        log.keep(r, raw)
                 except ValueError as e:
                     error = str(e)
                 rows.append((r.pair, r.plan_id, r.part, r.subject, reward, rationale, raw, error, model))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCORES.split(", ")]).astype({"reward": "Int32"})
 
     ship(asked.sparkSession)
-    return asked.join(plan_ids, "pair").select("pair", "plan_id", "part", "subject", "system", "input").mapInPandas(run, SCORES)
+    whole = asked.join(plan_ids, "pair").select("pair", "plan_id", "part", "subject", "system", "input")
+    # a task asks one question after another, so as many tasks as questions may be open
+    dealt = whole.repartition(at_once, "pair", "part", "subject") if at_once else whole
+    return dealt.mapInPandas(run, SCORES)
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -174,12 +218,14 @@ def results(p: Plan, scores: DataFrame) -> DataFrame:
     return joined.select("pair", "plan_id", "mean_quality", "tool_correctness", "progress", share.alias("required_work_coverage"), "milestones")
 
 
-def evaluate(e: Evidence, folder: str, judge: Complete, reporter: Complete, model: str = "unspecified") -> DataFrame:
+def evaluate(e: Evidence, folder: str, judge: Complete, reporter: Complete, model: str = "unspecified", at_once: int | None = None) -> DataFrame:
     """Judge what ``folder`` lacks, write reports and the archive, and return :func:`results` with ``report``.
 
-    Scores are appended as they come; an invalid reply is kept with its error, is
-    never a zero, and stops the evaluation, which goes on from there when called
-    again.  Each report is asked for once, after all scores are there.
+    Each valid reply is kept as it comes (:class:`ReplyLog`), so a task or a job
+    that fails half way asks nothing twice; scores are appended to a table.  An
+    invalid reply is kept with its error, is never a zero, and stops the
+    evaluation, which goes on from there when called again.  Each report is asked
+    for once, after all scores are there.
     """
     p = stored(e.plan, f"{folder}/plan")
     e = Evidence(p, e.events)
@@ -188,7 +234,7 @@ def evaluate(e: Evidence, folder: str, judge: Complete, reporter: Complete, mode
     have = resumable(_stored(spark, f"{folder}/scores", SCORES), p, asked)
     left = asked.join(have.select("pair", "part", "subject"), ["pair", "part", "subject"], "left_anti")
     if not left.isEmpty():
-        _judged(left, p.pairs.select("pair", "plan_id"), judge, model).write.mode("append").parquet(f"{folder}/scores")
+        _judged(left, p.pairs.select("pair", "plan_id"), judge, model, ReplyLog(f"{folder}/replies", model), at_once).write.mode("append").parquet(f"{folder}/scores")
     scores = resumable(_stored(spark, f"{folder}/scores", SCORES), p, asked)
     missing = asked.join(scores, ["pair", "part", "subject"], "left_anti").count()
     need(not missing, f"{missing} replies of the judge were invalid; they are stored with their errors, and only they are asked for again")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.workspace import fresh_dir
 from ..operators import assessment as A
 from ..operators import catalog as C
 from ..operators import human as H
@@ -16,7 +17,8 @@ from ..operators.evaluation import Evidence, judge_inputs
 from ..operators.outcomes import all_of, final_contains, final_equals
 from ..operators.policy import Criteria, Gates, HumanGates, Policy
 from ..sources import lift
-from .registration import register
+from . import catalogue
+from .registration import ORACLE_SQL, register
 
 # --- runs and plans over conversations ---------------------------------------
 
@@ -37,9 +39,8 @@ with s as (
 
 
 def _runs(spark, d):
-    """All conversations as runs; kept while a query reads them several times."""
-    made = R.trajectories(lift.conversation_events(spark, d))
-    return R.Runs(made.runs.persist(), made.steps.persist(), made.events)
+    """All conversations as runs; written once, as a query reads them several times."""
+    return R.stored(R.trajectories(lift.conversation_events(spark, d)), fresh_dir(spark, "runs"))
 
 
 def _pairs(runs):
@@ -136,6 +137,66 @@ def outcome_all_of(spark, d):
     return all_of(final_contains(finals, "an"), final_contains(finals, "e"), unlike)
 
 
+# --- runs of tool calls ------------------------------------------------------
+
+_TOOLS = """with recursive e as (
+  select event_id, user_id, event_type = 'view' as call, cast(json_extract_string(props, '$.k') as bigint) as k, row_number() over (partition by user_id order by event_id) as nth from events where event_type in ('view', 'click')
+), b as (
+  select *, case when not call then max(case when call then nth end) over (partition by user_id, k % 3 order by nth rows between unbounded preceding and 1 preceding) end as call_at from e
+), h as (
+  select *, row_number() over (partition by user_id order by nth) - 1 as idx,
+    case when call then '{"arguments":{"k":' || k % 2 || ',"q":"shelf ' || k % 4 || '"},"kind":"tool_call","name":"view"}' else '{"kind":"tool_result","role":null,"text":"found ' || k % 5 || '"}' end as key,
+    case when not call then 'found ' || k % 5 when event_id % 2 = 0 then 'view' || chr(10) || 'shelf ' || k % 4 else 'shelf ' || k % 4 end as said
+  from b where call_at is null
+), r as (
+  select user_id, coalesce(call_at, nth) as nth, string_agg('{"payload":{"output":' || k % 5 || '},"text":"found ' || k % 5 || '"}', ',' order by nth) as results, string_agg('found ' || k % 5, chr(10) order by nth) filter (where call_at is not null) as more from b where not call group by 1, 2
+), t as (
+  select h.user_id, h.idx, h.key, '{"action":"' || replace(h.key, '"', '\\"') || '","results":[' || coalesce(r.results, '') || ']}' as evidence, h.said || coalesce(chr(10) || r.more, '') as search from h left join r on r.user_id = h.user_id and r.nth = h.nth
+)"""
+#: Pairs of users, in the form that matching works on.
+_TOOL_PAIRS = _TOOLS + """, both_sides as (
+  select user_id - user_id % 2 as pair from t group by 1 having count(distinct user_id % 2) = 2
+), o as (select 'p' || pair as pair, idx, key, search as text from t join both_sides on user_id = pair), c as (select 'p' || pair as pair, idx, key, search as text from t join both_sides on user_id = pair + 1)"""
+
+
+def _tool_runs(spark, d):
+    return R.stored(R.trajectories(lift.tool_events(spark, d)), fresh_dir(spark, "runs"))
+
+
+def _tool_plan(spark, d, mode, required=()):
+    runs = _tool_runs(spark, d)
+    p = PL.plan(_pairs(runs), runs, Policy(matching=mode, criteria=Criteria.read({"required_steps": list(required)})))
+    return p.alignment.where("oracle_step is not null")
+
+
+@register("tool_steps", _TOOLS + " select 'u' || user_id as session_id, idx, key, evidence, search from t")
+def tool_steps(spark, d):
+    """What identifies, proves and finds each step of runs of tool calls."""
+    runs = _tool_runs(spark, d)
+    return runs.steps.join(runs.runs.select("run", "session_id"), "run").select("session_id", "idx", "key", "evidence", "search")
+
+
+@register("tool_match_strict", _TOOL_PAIRS + " select c.pair, c.idx as candidate_step, o.idx as oracle_step from c join o on o.pair = c.pair and o.idx = c.idx and o.key = c.key")
+def tool_match_strict(spark, d):
+    return _tool_plan(spark, d, "strict").select("pair", "candidate_step", "oracle_step")
+
+
+@register("tool_match_unordered", _TOOL_PAIRS + catalogue.UNORDERED.removeprefix(catalogue.PAIRS) + " select pair, candidate_step, oracle_step from m")
+def tool_match_unordered(spark, d):
+    return _tool_plan(spark, d, "unordered").select("pair", "candidate_step", "oracle_step")
+
+
+@register("tool_match_required", _TOOL_PAIRS + ", scored as (select c.pair, c.idx as c, o.idx as o, cast(1 as double) as s from c join o on c.pair = o.pair and c.key = o.key where o.idx in (0, 2))" + catalogue.ALIGN.format(least="0.5") + " select pair, candidate_step, oracle_step from hits")
+def tool_match_required(spark, d):
+    """The first and the third step of each reference, which every reference here has."""
+    return _tool_plan(spark, d, "required", (1, 3)).select("pair", "candidate_step", "oracle_step")
+
+
+@register("tool_match_bm25", _TOOL_PAIRS + ORACLE_SQL["align_monotone"].removeprefix(catalogue.PAIRS.replace("with st", "with recursive st")))
+def tool_match_bm25(spark, d):
+    return _tool_plan(spark, d, "bm25").select("pair", "candidate_step", "oracle_step", F.round("similarity", 6).alias("similarity"))
+
+
 # --- labels ------------------------------------------------------------------
 
 _LAB = "with k as (select cast(doc_id % 7 as varchar) as task, cast(doc_id // 7 % 9 as varchar) as trajectory, case when doc_id % 4 <> 0 then doc_id % 4 end as step, doc_id as seq, cast(doc_id as varchar) as id, quality as reward, quality = 1 and doc_id % 4 = 0 as oracle from labels), cur as (select * from k qualify row_number() over (partition by task, trajectory, step order by seq desc) = 1), acc as (select * from cur where step is null and oracle and reward = 1)"

@@ -63,3 +63,21 @@ def run_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.concat_ws("/", "role", F.floor(F.char_length("text") / 100).cast("string"))
     step = c.select((F.col("conv_id") - F.col("conv_id") % 2).alias("pair"), (F.col("conv_id") % 2).alias("side"), F.col("turn").alias("idx"), key.alias("key"), "text")
     return step.where("side = 0").drop("side"), step.where("side = 1").drop("side")
+
+
+def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as tool calls and clicks as results, a session for each user, with every column that stored events have.
+
+    Calls take turns in two shapes of payload; a result belongs to the latest call of its id.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type").isin("view", "click"))
+    k, call = F.get_json_object("props", "$.k").cast("long"), F.col("event_type") == "view"
+    given = F.concat(F.lit('{"q": "shelf '), (k % 4).cast("string"), F.lit('", "k": '), (k % 2).cast("string"), F.lit("}"))
+    named, tagged = F.concat(F.lit('{"name": "view", "arguments": '), given, F.lit("}")), F.concat(F.lit('{"tool_call": {"view": {"args": '), given, F.lit("}}}"))
+    session = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    own = {
+        "id": F.col("event_id").cast("string"), "record_id": F.col("event_id").cast("string"), "harness": F.lit("codex"), "session_id": session, "source_id": session, "position": F.col("event_id"), "sub_index": F.lit(0),
+        "kind": F.when(call, "tool_call").otherwise("tool_result"), "text": F.when(~call, F.concat(F.lit("found "), (k % 5).cast("string"))), "tool_call_id": (k % 3).cast("string"),
+        "payload_json": F.when(~call, F.concat(F.lit('{"output": '), (k % 5).cast("string"), F.lit(', "call_id": "'), F.col("event_id").cast("string"), F.lit('"}'))).when(F.col("event_id") % 2 == 0, named).otherwise(tagged),
+    }
+    return e.select(*((own[x.name] if x.name in own else F.lit(None)).cast(x.dataType).alias(x.name) for x in EVENTS))

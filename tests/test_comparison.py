@@ -1,5 +1,6 @@
 """Runs, plans, checks, judged evaluations and people's labels on made-up sessions."""
 
+import hashlib
 import json
 import sys
 
@@ -228,6 +229,28 @@ def test_judged_evaluation_goes_on_where_it_stopped(spark, made, tmp_path):
         evaluation.evaluate(other, folder, lambda s, t: reply(), lambda s, t: "x")
 
 
+def test_a_job_that_dies_half_way_asks_nothing_twice(spark, made, tmp_path):
+    e = evaluation.Evidence(compare(spark, made, POLICY, "other"), made.events)
+    folder, calls = str(tmp_path / "out"), tmp_path / "calls"
+    calls.mkdir()
+
+    def judge(system, text, last=5):
+        """Notes each question that it answers; the connection breaks after a few."""
+        mark = calls / hashlib.sha256((system + text).encode()).hexdigest()
+        if len(list(calls.iterdir())) >= last:
+            raise ConnectionError("the line is dead")
+        assert not mark.exists(), "asked twice"
+        mark.write_text("")
+        return reply(1)
+
+    with pytest.raises(Exception):  # what Spark makes of the judge's error
+        evaluation.evaluate(e, folder, judge, lambda s, t: "report", at_once=1)
+    assert not (tmp_path / "out" / "scores").exists() or spark.read.schema(evaluation.SCORES).parquet(f"{folder}/scores").isEmpty()
+    assert len(list(calls.iterdir())) == 5 == len(list((tmp_path / "out" / "replies").iterdir()))
+    out = evaluation.evaluate(e, folder, lambda s, t: judge(s, t, 100), lambda s, t: "report", at_once=2).first()
+    assert out.report == "report" and out.mean_quality == 1.0 and len(list(calls.iterdir())) == 12
+
+
 def test_nothing_is_asked_if_an_input_is_too_large(spark, made, tmp_path):
     from dataclasses import replace
 
