@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from .workspace import ship
@@ -60,6 +62,21 @@ def write(spark: SparkSession, path: str, data: bytes) -> None:
     fs.rename(tmp, to)
 
 
+def create(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A new file; false if there is one already.  The file system decides between several that try at once."""
+    p, fs = hadoop(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(bytearray(data))
+    out.close()
+    return True
+
+
 def read(spark: SparkSession, path: str) -> bytes:
     p, fs = hadoop(spark, path)
     stream = fs.open(p)
@@ -111,3 +128,37 @@ def digests(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
     ship(spark)
     return rows.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInArrow(_digest(folder), DIGESTS)
+
+
+def _copy(source: str, target: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (from_fs, a), (to_fs, b) = arrow_fs(source), arrow_fs(target)
+        for batch in batches:
+            sizes, digests = [], []
+            for path in batch.column(0).to_pylist():
+                digest, size, place = hashlib.sha256(), 0, f"{b}/{path}"
+                beside = f"{place}.{uuid.uuid4().hex}"
+                to_fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with from_fs.open_input_stream(f"{a}/{path}") as f, to_fs.open_output_stream(beside) as out:
+                    while block := f.read(1 << 20):
+                        out.write(block)
+                        digest.update(block)
+                        size += len(block)
+                to_fs.move(beside, place)
+                sizes.append(size)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["path", "size", "sha256"])
+
+    return run
+
+
+def copied(spark: SparkSession, source: str, target: str, paths: list[str]) -> set[tuple[str, int, str]]:
+    """Copy files from one folder to another, in tasks; (path, size, sha256) of what went through.
+
+    A file is written beside its place and moved there, so a task that is tried
+    again does no harm.  A manifest bounds the number of its files.
+    """
+    ship(spark)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    dealt = rows.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism)))
+    return {(r["path"], r["size"], r["sha256"]) for r in dealt.mapInArrow(_copy(source, target), DIGESTS).collect()}

@@ -39,37 +39,52 @@ class FolderRemote:
 
     def __init__(self, spark: SparkSession, store: Store):
         self.spark, self.root = spark, store.checked().uri.rstrip("/")
+        #: Manifests by batch; one that is there never changes.
+        self.known: dict[str, dict] = {}
 
     def manifests(self) -> list[dict]:
-        """All manifests that are there, checked."""
+        """All manifests that are there, checked; only those that aren't known yet are read."""
         names = [n for n, _ in FS.folders(self.spark, self.root) if not n.startswith(".")]
-        return [A.manifest(self.spark, f"{self.root}/{n}") for n in names if FS.exists(self.spark, f"{self.root}/{n}/manifest.json")]
+        new = {n: loads(FS.read(self.spark, f"{self.root}/{n}/manifest.json")) for n in names if n not in self.known and FS.exists(self.spark, f"{self.root}/{n}/manifest.json")}
+        _well_formed(self.spark, list(new.values()))
+        need(all(m["batch_id"] == n for n, m in new.items()), "a manifest of the remote lies in another batch's folder")
+        self.known = {n: m for n, m in (self.known | new).items() if n in names}
+        return [self.known[n] for n in sorted(self.known)]
 
     def upload(self, batch: str, manifest: dict) -> None:
+        """Claim the batch's id, copy its files in tasks, and publish the manifest.
+
+        Of several that claim an id at once the file system lets one make the
+        claim; the others go on if theirs is the same, and stop if it isn't.
+        """
         own, raw = f"{self.root}/{manifest['batch_id']}", dumps(manifest).encode()
-        claim = f"{own}/.claim"
-        if FS.exists(self.spark, claim):
-            need(FS.read(self.spark, claim) == raw, f"the remote has another batch {manifest['batch_id']}")
-        else:
-            FS.write(self.spark, claim, raw)
+        if not FS.create(self.spark, f"{own}/.claim", raw):
+            need(self._claimed(f"{own}/.claim", raw) == raw, f"the remote has another batch {manifest['batch_id']}")
         if FS.exists(self.spark, f"{own}/manifest.json"):
             return
-        for f in manifest["files"]:
-            _copy(self.spark, f"{batch}/{f['path']}", f"{own}/{f['path']}")
-        found = {r["path"]: r["sha256"] for r in FS.digests(self.spark, own, [f["path"] for f in manifest["files"]]).collect()}
-        need(all(found.get(f["path"]) == f["sha256"] for f in manifest["files"]), "a file reached the remote other than it was sent")
+        found = FS.copied(self.spark, batch, own, [f["path"] for f in manifest["files"]])
+        need({(p, d) for p, _, d in found} == {(f["path"], f["sha256"]) for f in manifest["files"]}, "a file reached the remote other than it was sent")
         FS.write(self.spark, f"{own}/manifest.json", raw)
 
-    def fetch(self, manifest: dict, target: str) -> None:
-        for f in manifest["files"]:
-            _copy(self.spark, f"{self.root}/{manifest['batch_id']}/{f['path']}", f"{target}/{f['path']}")
+    def _claimed(self, claim: str, raw: bytes) -> bytes:
+        """What a claim says; one that another is still writing is waited for."""
+        for _ in range(20):
+            found = FS.read(self.spark, claim)
+            if found == raw or not raw.startswith(found):
+                break
+            time.sleep(0.1)
+        return found
 
+    def fetch(self, manifest: dict, target: str) -> set[tuple[str, int, str]]:
+        return FS.copied(self.spark, f"{self.root}/{manifest['batch_id']}", target, [f["path"] for f in manifest["files"]])
 
-def _copy(spark: SparkSession, source: str, target: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, from_fs = FS.hadoop(spark, source)
-    b, to_fs = FS.hadoop(spark, target)
-    need(bool(jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, a, to_fs, b, False, True, conf)), f"{source} couldn't be copied")
+
+def _well_formed(spark: SparkSession, found: list[dict]) -> None:
+    from .catalog import validate_manifests
+
+    if found:
+        wrong = validate_manifests(spark.createDataFrame(found, MANIFEST)).where("not valid").first()
+        need(wrong is None, f"a manifest of the remote isn't well formed: {wrong}")
 
 
 class _NoRedirects(urllib.request.HTTPRedirectHandler):
@@ -123,11 +138,7 @@ class ServiceRemote:
 
     def manifests(self) -> list[dict]:
         found = [m for page in self.pages() for m in page]
-        if found:
-            from .catalog import validate_manifests
-
-            wrong = validate_manifests(self.spark.createDataFrame(found, MANIFEST)).where("not valid").first()
-            need(wrong is None, f"a manifest of the remote isn't well formed: {wrong}")
+        _well_formed(self.spark, found)
         return found
 
     def upload(self, batch: str, manifest: dict) -> None:
@@ -138,13 +149,14 @@ class ServiceRemote:
             self.request("PUT", f"{own}/files/{urllib.parse.quote(f['path'])}", at, {"content-type": "application/octet-stream"}).close()
         self.request("POST", f"{own}/commit", b"").close()
 
-    def fetch(self, manifest: dict, target: str) -> None:
+    def fetch(self, manifest: dict, target: str) -> set[tuple[str, int, str]]:
         own = _route(manifest)
         for f in manifest["files"]:
             at = Path(target.removeprefix("file://")) / f["path"]
             at.parent.mkdir(parents=True, exist_ok=True)
             with self.request("GET", f"{own}/files/{urllib.parse.quote(f['path'])}") as reply, open(at, "wb") as out:
                 shutil.copyfileobj(reply, out, 1 << 20)
+        return {(r["path"], r["size"], r["sha256"]) for r in FS.digests(self.spark, target, [f["path"] for f in manifest["files"]]).collect()}
 
 
 def _route(manifest: dict) -> str:
@@ -161,8 +173,7 @@ def download(spark: SparkSession, remote, manifest: dict, cache: str) -> str:
     if not FS.exists(spark, f"{final}/manifest.json"):
         tmp = f"{cache}/{A.STAGING}/{uuid.uuid4().hex}"
         try:
-            remote.fetch(manifest, tmp)
-            found = {(r["path"], r["size"], r["sha256"]) for r in FS.digests(spark, tmp, [f["path"] for f in manifest["files"]]).collect()}
+            found = remote.fetch(manifest, tmp)
             need(found == {(f["path"], f["size"], f["sha256"]) for f in manifest["files"]}, "what came from the remote isn't what its manifest says")
             FS.write(spark, f"{tmp}/manifest.json", dumps(manifest).encode())
             FS.move(spark, tmp, final)

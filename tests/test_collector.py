@@ -192,6 +192,31 @@ def served(tmp_path, monkeypatch):
     server.shutdown()
 
 
+def test_a_batch_id_is_claimed_once_and_manifests_are_read_once(spark, tmp_path, monkeypatch):
+    from sessionloom.functions import filesystem as FS
+
+    place = f"file://{tmp_path}/claims/x/.claim"
+    assert FS.create(spark, place, b"one") and not FS.create(spark, place, b"two") and FS.read(spark, place) == b"one"
+    root, names = two_batches(spark, tmp_path)
+    far = remote.connect(spark, config.Store("far", f"file://{tmp_path}/far"))
+    first = archive.manifest(spark, f"{root}/{names[0]}")
+    FS.create(spark, f"file://{tmp_path}/far/{names[0]}/.claim", b"somebody else's")
+    with pytest.raises(ValueError, match="another batch"):
+        far.upload(f"{root}/{names[0]}", first)
+    FS.delete(spark, f"file://{tmp_path}/far/{names[0]}")
+    # two that upload the same batch agree, whoever claims it
+    for _ in range(2):
+        far.upload(f"{root}/{names[0]}", first)
+    assert [m["batch_id"] for m in far.manifests()] == [names[0]]
+    read, real = [], FS.read
+    monkeypatch.setattr(FS, "read", lambda s, p: read.append(p) or real(s, p))
+    remote.sync(spark, root, "far", far)
+    read.clear()
+    assert sorted(m["batch_id"] for m in far.manifests()) == sorted(names) and len(read) == len(names) - 1
+    far.manifests()
+    assert len(read) == len(names) - 1
+
+
 def test_service_remote(spark, tmp_path, served, monkeypatch):
     root, names = two_batches(spark, tmp_path)
     web = remote.connect(spark, served)
