@@ -1,27 +1,19 @@
 """Helpers shared by the training-data operators.
 
-Everything the operators keep between jobs goes under the folder that
-``spark.checkpoint.dir`` names (or the SparkContext's checkpoint folder), the
-one place that the driver and all executors share.  Only where neither is set
-and the master is local (plain tests) is a temporary folder made and set; a
-cluster without such a folder is an error.
+What the operators keep between jobs goes under the folder that all executors
+share (``functions.workspace``).
 """
 
 from __future__ import annotations
 
-import atexit
 import functools
-import os
-import tempfile
-import threading
-import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_lock = threading.Lock()
-_written: list[tuple[SparkSession, str]] = []
+from ..functions.workspace import delete, drop, exists, fresh_dir, shared_dir, ship, staged
+
+__all__ = ["delete", "drop", "exists", "fresh_dir", "shared_dir", "staged"]
 
 #: Arrow batches stay small because one text may be very long.
 BATCH_ROWS = 256
@@ -33,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
 
     Sets two Arrow session options, and only ever to smaller batches.
     """
-    _ship(spark)
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -41,86 +33,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def _ship(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    with _lock:
-        if getattr(sc, "_sessionloom_shipped", False):
-            return
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        if os.path.isdir(package):
-            root = os.path.dirname(package)
-            folder = tempfile.mkdtemp(prefix="sessionloom-")
-            target = os.path.join(folder, "sessionloom_src.zip")
-            with zipfile.ZipFile(target, "w") as out:
-                for at, _, names in os.walk(package):
-                    for name in names:
-                        if name.endswith(".py"):
-                            full = os.path.join(at, name)
-                            out.write(full, os.path.relpath(full, root))
-            sc.addPyFile(target)
-        sc._sessionloom_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder URI that the driver and every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sessionloom-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") + "/sessionloom"
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing path for one run's tables; removed at exit."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: after it, a lost executor costs a reread of shared
-    files and not the work that made them.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sessionloom_path = path
-    return out
-
-
-def drop(table: DataFrame) -> None:
-    """Remove a staged table all of whose readers have been written themselves."""
-    delete(table.sparkSession, table._sessionloom_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system, whatever its scheme."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(jsc.hadoopConfiguration()).exists(at))
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # the session is gone; nothing to clean with
-            return
-
-
 def column_index(df: DataFrame, name: str) -> int:
     """Place of the column ``name``: an exact match first, then one that differs in case."""
     names = df.columns
