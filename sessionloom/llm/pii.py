@@ -256,14 +256,16 @@ def _totals(bitmap):
     return run
 
 
-def learn_patterns(scanned: DataFrame, rows: DataFrame, support: int = 3, confidence: float = 0.7, rounds: int = 5) -> DataFrame:
+def learn_patterns(scanned: DataFrame, rows: DataFrame, support: int = 3, confidence: float = 0.7) -> DataFrame:
     """``pattern, kind, confidence`` of the patterns that mark a kind.
 
     A pattern needs ``support`` different instances of a kind, and a share of
     ``confidence`` of its mentions that are such; instances are the rules' seeds
     and, from the second round on, tokens of the kind's shape that patterns have
-    found, which count as much as the best of those is worth.  It ends after a round without a new instance, or after ``rounds``,
-    which bounds how far a chain of contexts may lead from the seeds.
+    found, which count as much as the best of those is worth.  It ends after a
+    round without a new instance, however far a chain of contexts leads from the
+    seeds: what patterns are worth only grows with their instances, so there are
+    at most as many rounds as instances.
     """
     slot = scanned.select(F.explode("slots").alias("s")).select(F.col("s.kind").alias("seed"), F.col("s.value").alias("value"), F.col("s.suits").alias("suits"), F.explode("s.patterns").alias("pattern"))
     edges = slot.groupBy("pattern", "value", "seed").agg(F.count(F.lit(1)).alias("n"), F.max("suits").alias("suits"))
@@ -290,7 +292,7 @@ def learn_patterns(scanned: DataFrame, rows: DataFrame, support: int = 3, confid
     mentions = staged(own.join(everywhere, "pattern", "left").select("pattern", F.greatest("mentions", F.coalesce("n", F.lit(0))).alias("mentions")), "pii-mentions")
     held = staged(known.groupBy("pattern", "value", "kind").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")), "pii-held")
     scores, before = seeds, n_seeds
-    for _ in range(rounds):
+    while True:
         mass = held.join(scores, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= support)
         share = F.least(F.col("mass") / (F.col("mentions") + 1), F.lit(0.999))
         marks = mass.join(mentions, "pattern").select("pattern", "kind", share.alias("confidence")).where(F.col("confidence") >= confidence)

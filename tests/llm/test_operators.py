@@ -304,6 +304,19 @@ def test_discovered_instances_induce_patterns(spark):
     assert got == want
 
 
+def test_a_chain_of_contexts_is_followed_to_its_end(spark):
+    """Eight generations from the seeds: each context teaches instances, of which the next context is learnt."""
+    rows = [f"text via0 lane0 user{i}@host{i}.com more" for i in range(60)]
+    for g in range(1, 9):
+        for near in (g - 1, g):
+            rows += [f"text via{near} lane{near} kin{g}n{i % 4}[at]host.com more" for i in range(60)]
+    rows.append("text via8 lane8 last[at]host.com more")
+    found = {r.doc_id: [tuple(s) for s in r["all"]] for r in pii.find_pii(table(spark, list(enumerate(rows)))).collect()}
+    for i, text in enumerate(rows):
+        start = text.index("lane") + 6
+        assert found[i] == [(start, 0, text.index(" more"))], text
+
+
 def test_decontamination(spark, docs, nothing):
     rnd = random.Random(2)
     items = [(k, " ".join(f"q{rnd.randint(0, 5000)}" for _ in range(30))) for k in range(20)] + [(50, None), (51, ""), (52, "two words"), (None, "a b c d e f g"), (3, None)]
