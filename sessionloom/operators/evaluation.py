@@ -154,19 +154,19 @@ class ReplyLog:
         fs.move(beside, path)
 
 
-def _judged(asked: DataFrame, plan_ids: DataFrame, judge: Complete, model: str, log: ReplyLog, at_once: int | None = None) -> DataFrame:
+def _judged(asked: DataFrame, plan_ids: DataFrame, judge: Complete, model: str, log: ReplyLog | None = None, at_once: int | None = None) -> DataFrame:
     """:data:`SCORES` of the questions; at most ``at_once`` are open at a time, over all tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                raw, reward, rationale, error = log.find(r), None, None, None
+                raw, reward, rationale, error = log.find(r) if log else None, None, None, None
                 known = raw is not None
                 try:
                     raw = raw if known else judge(r.system, r.input)
                     reward, rationale = payloads.judgment(raw)
-                    if not known:
+                    if log and not known:
                         log.keep(r, raw)
                 except ValueError as e:
                     error = str(e)
