@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.filesystem import delete, digests, exists, listed, move, read, write
 from ..schemas import EVENTS, MANIFEST, RECORDS, SCHEMA_VERSION
 from ..sources.normalize import stable_id
+from .batchindex import write_index
 from .catalog import MAX_INVENTORY, active_manifests, inventory_problems, validate_manifests
 from .query import distinct_first
 
@@ -44,7 +45,8 @@ def write_batch(records: DataFrame, events: DataFrame, root: str, collector: str
 
     It is made under :data:`STAGING` and gets its place by one rename, so readers
     and other writers see all of it or nothing (on file systems that rename at
-    once; the manifest is the last file in any case).  More than 10,000 sessions
+    once; the manifest is the last file in any case).  What it says about itself
+    (:mod:`.batchindex`) is made there too.  More than 10,000 sessions
     or files, and a manifest that isn't well formed, are errors before that.
     """
     spark = records.sparkSession
@@ -70,6 +72,7 @@ def write_batch(records: DataFrame, events: DataFrame, root: str, collector: str
         wrong = validate_manifests(spark.createDataFrame([manifest], MANIFEST)).where("not valid").first()
         if wrong:
             raise ValueError(f"the batch's manifest isn't well formed: {wrong['problems']}")
+        write_index(spark, path, sum(r["records"] for r in sessions))
         write(spark, f"{path}/manifest.json", json.dumps(manifest).encode())
         if not move(spark, path, final) and not exists(spark, f"{final}/manifest.json"):
             raise ValueError(f"batch {own} couldn't be put in its place")
@@ -104,18 +107,20 @@ def any_batch(spark: SparkSession, root: str) -> bool:
     return bool(fs.globStatus(p))
 
 
-def _tables(spark: SparkSession, root: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Records and events of batches, each id from the first batch that has it."""
-    order = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "_batch string, batch_ord long")
+def stored(spark: SparkSession, root: str, names: list[str], kind: str) -> DataFrame:
+    """The rows of one table (``records`` or ``events``) of batches as they are, with ``batch_id``."""
+    schema = {"records": RECORDS, "events": EVENTS}[kind]
+    if not names:
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("string"))
+    rows = spark.read.schema(schema).parquet(*(f"{root}/{n}/{kind}" for n in names))
+    return rows.withColumn("batch_id", F.regexp_extract(F.col("_metadata.file_path"), f"([^/]+)/{kind}/[^/]+$", 1))
 
-    def table(kind: str, schema) -> DataFrame:
-        if not names:
-            return spark.createDataFrame([], schema)
-        rows = spark.read.schema(schema).parquet(*(f"{root}/{n}/{kind}" for n in names))
-        placed = rows.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), f"([^/]+)/{kind}/[^/]+$", 1)).join(order, "_batch").drop("_batch")
-        return distinct_first(placed)
 
-    return table("records", RECORDS), table("events", EVENTS)
+def _tables(spark: SparkSession, root: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records and events of batches, each id from the first batch that has it."""
+    order = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "batch_id string, batch_ord long")
+    records, events = (distinct_first(stored(spark, root, names, kind).join(order, "batch_id").drop("batch_id")) for kind in ("records", "events"))
+    return records, events
 
 
 def open_archive(spark: SparkSession, root: str, harness: str | None = None, session: str | None = None, sessions: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..functions.files import Folder
 from ..functions.workspace import ship
-from ..operators.archive import open_archive, write_batch
+from ..operators.archive import write_batch
+from ..operators.lookup import known_records
 from ..operators.maintenance import COMPACT_BYTES, compact_all, purge_hook_spool
 from ..sources import normalize
 from ..sources.discover import Identities, candidates, head
@@ -143,7 +144,8 @@ def _parse_lines(batches):
 def store(lines: DataFrame, archive: str, collector: str = "local") -> str | None:
     """Store lines that no active batch of their sessions has; gives the batch's id.
 
-    Only batches whose manifests name a session of these lines are looked at.
+    Only batches whose manifests name a session of these lines, and whose filters
+    may hold an id of theirs, are looked at.
     The batch's id comes from its records, so the same lines again give the same
     batch.  On a file system of this machine one writer stores at a time.
     """
@@ -155,10 +157,7 @@ def store(lines: DataFrame, archive: str, collector: str = "local") -> str | Non
     try:
         with Folder(archive).locked("writer", wait=True) if local else nullcontext():
             records, events = records_of(parsed), events_of(parsed)
-            # bounded by the lines of a trigger
-            sessions = [(r["harness"], r["session_id"]) for r in records.select("harness", "session_id").distinct().collect()]
-            known = open_archive(spark, archive, sessions=sessions)[0].select("id")
-            records = records.join(known, "id", "left_anti")
+            records = records.join(known_records(spark, archive, records), "id", "left_anti")
             events = events.join(records.select(F.col("id").alias("record_id")), "record_id", "left_semi")
             return None if records.isEmpty() else write_batch(records, events, archive, collector)
     finally:
