@@ -16,6 +16,7 @@ came from a remote) is read where another would be left out, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -75,20 +76,25 @@ def write_index(spark: SparkSession, batch: str, records: int) -> None:
     """Make the tables under ``index/`` of a stored batch with so many records."""
     ship(spark)
     recs, evs = spark.read.schema(RECORDS).parquet(f"{batch}/records"), spark.read.schema(EVENTS).parquet(f"{batch}/events")
-    M.built(recs, F.col("id"), M.blocks_for(F.lit(records))).write.mode("overwrite").parquet(f"{batch}/index/ids")
-    named = evs.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(size / BLOCK_BYTES))).cast("long")
-    ranges = named.groupBy("file").agg(
-        blocks.alias("blocks"), F.min("harness").alias("least_harness"), F.max("harness").alias("greatest_harness"), F.min("session_id").alias("least_session"),
-        F.max("session_id").alias("greatest_session"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
-    )
-    ranges.write.mode("overwrite").parquet(f"{batch}/index/files")
-    files = spark.read.schema(FILES).parquet(f"{batch}/index/files").select("file", "blocks")  # an inventory has at most 10,000 files
-    texts = named.where("text is not null").select("file", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(files), "file").select("file", "blocks", "text")
-    found = texts.mapInArrow(_grams, "file string, blocks long, gram long")
-    M.built(found, F.col("gram"), F.col("blocks"), "file", "blocks").write.mode("overwrite").parquet(f"{batch}/index/grams")
-    _partials(recs, evs).write.mode("overwrite").parquet(f"{batch}/index/sums")
+
+    def put(rows: DataFrame, kind: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{batch}/index/{kind}")
+
+    def texts() -> None:
+        named = evs.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
+        size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))
+        blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(size / BLOCK_BYTES))).cast("long")
+        ends = [f(of).alias(name) for of, least, greatest in (("harness", "least_harness", "greatest_harness"), ("session_id", "least_session", "greatest_session"), ("timestamp", "first_timestamp", "last_timestamp")) for f, name in ((F.min, least), (F.max, greatest))]
+        put(named.groupBy("file").agg(blocks.alias("blocks"), *ends), "files")
+        files = spark.read.schema(FILES).parquet(f"{batch}/index/files").select("file", "blocks")  # an inventory has at most 10,000 files
+        said = named.where("text is not null").select("file", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(files), "file").select("file", "blocks", "text")
+        put(M.built(said.mapInArrow(_grams, "file string, blocks long, gram long"), F.col("gram"), F.col("blocks"), "file", "blocks"), "grams")
+
+    # three jobs that don't need each other
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(put, M.built(recs, F.col("id"), M.blocks_for(F.lit(records))), "ids"), pool.submit(texts), pool.submit(put, _partials(recs, evs), "sums")]
+        for j in jobs:
+            j.result()
 
 
 def table(spark: SparkSession, root: str, names: list[str], kind: str, schema: str) -> DataFrame:

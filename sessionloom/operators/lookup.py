@@ -18,9 +18,13 @@ _OWN = list(SESSION)
 
 
 def indexed(spark: SparkSession, root: str) -> set[str]:
-    """Batches that have an index, by one listing."""
-    p, fs = hadoop(spark, f"{root}/*/index/sums/_SUCCESS")
-    return {s.getPath().getParent().getParent().getParent().getName() for s in fs.globStatus(p) or []}
+    """Batches that have all tables of an index, by one listing each."""
+
+    def having(kind: str) -> set[str]:
+        p, fs = hadoop(spark, f"{root}/*/index/{kind}/_SUCCESS")
+        return {s.getPath().getParent().getParent().getParent().getName() for s in fs.globStatus(p) or []}
+
+    return set.intersection(*(having(k) for k in ("ids", "files", "grams", "sums")))
 
 
 def _active(spark: SparkSession, root: str) -> DataFrame:

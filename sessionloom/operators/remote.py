@@ -25,6 +25,7 @@ from ..functions.payloads import dumps, loads
 from ..schemas import MANIFEST
 from . import archive as A
 from . import maintenance as K
+from .batchindex import write_index
 from .policy import need
 
 ATTEMPTS, TIMEOUT, MAX_LIST = 4, 60.0, 8 << 20
@@ -175,6 +176,7 @@ def download(spark: SparkSession, remote, manifest: dict, cache: str) -> str:
         try:
             found = remote.fetch(manifest, tmp)
             need(found == {(f["path"], f["size"], f["sha256"]) for f in manifest["files"]}, "what came from the remote isn't what its manifest says")
+            write_index(spark, tmp, sum(s["records"] for s in manifest["sessions"]))
             FS.write(spark, f"{tmp}/manifest.json", dumps(manifest).encode())
             FS.move(spark, tmp, final)
         finally:

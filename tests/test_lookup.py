@@ -122,14 +122,14 @@ def test_an_unrelated_batch_of_the_session_stays_closed(spark, tmp_path):
 
 def test_contains_leaves_files_closed_and_finds_the_same(spark, tmp_path):
     root = str(tmp_path / "archive")
-    words = ["granite", "lantern", "meadow", "copper", "whistle"]
+    words = ["granite", "lantern", "copper"]
     names = [put(spark, root, tmp_path / w, transcript(f"s-{w}", f"the {w} stands", f"größer {w}", "same for all", "")) for w in words]
     whole = len(lookup.files_for(spark, root, Query()))
     for w, n in zip(words, names):
         q = Query(text=f"{w} st")
         assert {b for b, _ in lookup.files_for(spark, root, q)} == {n} and len(lookup.files_for(spark, root, q)) < whole
         assert same(spark, root, q) == 1
-    for q, n in ((Query(text="same for all"), 5), (Query(text="größer c"), 1), (Query(text="ame"), 5), (Query(text="never said"), 0), (Query(text=""), 20), (Query(session="s-copper"), 5), (Query(harness="pi"), 0), (Query(until="2025-06-01T07:00:01Z", text="the "), 5), (Query(since="2026-01-01T00:00:00Z"), 0)):
+    for q, n in ((Query(text="same for all"), 3), (Query(text="größer c"), 1), (Query(text="ame"), 3), (Query(text="never said"), 0), (Query(text=""), 12), (Query(session="s-copper"), 5), (Query(harness="pi"), 0), (Query(until="2025-06-01T07:00:01Z", text="the "), 3), (Query(since="2026-01-01T00:00:00Z"), 0)):
         assert same(spark, root, q) == n, q
     assert lookup.files_for(spark, root, Query(since="2026-01-01T00:00:00Z")) == [] and lookup.files_for(spark, root, Query(text="never said")) == []
     for other in names[1:]:
