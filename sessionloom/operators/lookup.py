@@ -100,6 +100,8 @@ def find(spark: SparkSession, root: str, q: Query) -> DataFrame:
     order = batches.select("batch_id", "ord")
     rows = spark.read.schema(EVENTS).parquet(*(f"{root}/{b}/events/{f}" for b, f in files))
     met = rows.where(q.on_events()).withColumn("batch_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/events/[^/]+$", 1)).join(F.broadcast(order), "batch_id")
+    if len({b for b, _ in files}) == 1 and batches.limit(2).count() == 1:
+        return distinct_first(met.withColumnRenamed("ord", "batch_ord").drop("batch_id")).where(q.on_events())
     asked = met.select(F.col("record_id").alias("id"), *SESSION, F.col("ord").alias("own")).distinct()
     earlier = _holders(spark, root, asked, batches, indexed(spark, root)).where("ord < own")
     names = sorted(r["batch_id"] for r in earlier.select("batch_id").distinct().collect())  # a catalog, not data
