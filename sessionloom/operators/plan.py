@@ -40,7 +40,7 @@ def match_steps(oracle: DataFrame, candidate: DataFrame, mode: str, required: tu
     """
     if mode == "bm25":
         found = M.bm25(oracle.select("pair", F.col("idx").alias("doc"), F.col("search").alias("text")), candidate.select("pair", F.col("idx").alias("query"), F.col("search").alias("text")), ("pair",))
-        matched = M.monotone(found.select("pair", F.col("query").alias("candidate_step"), F.col("doc").alias("oracle_step"), "score"), threshold)
+        matched = M.monotone(found.select("pair", F.col("query").alias("candidate_step"), F.col("doc").alias("oracle_step"), "score", "weight"), threshold)
     elif mode in ("strict", "unordered"):
         matched = (M.strict if mode == "strict" else M.unordered)(oracle, candidate).withColumn("similarity", F.lit(None).cast("double"))
     elif mode == "required":

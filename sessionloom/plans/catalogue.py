@@ -486,7 +486,7 @@ scored as (select q.pair, q.idx as c, ot.idx as o, sum(ln(1 + (docs - df + 0.5)
 def align_monotone(spark, d):
     o, c = lift.run_pairs(spark, d)
     scored = M.bm25(o.select("pair", F.col("idx").alias("doc"), "text"), c.select("pair", F.col("idx").alias("query"), "text"), ("pair",))
-    aligned = M.monotone(scored.select("pair", F.col("query").alias("candidate_step"), F.col("doc").alias("oracle_step"), "score"))
+    aligned = M.monotone(scored.select("pair", F.col("query").alias("candidate_step"), F.col("doc").alias("oracle_step"), "score", "weight"))
     return aligned.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -505,7 +505,7 @@ def _bm25_documents(spark, d):
 
 @register("bm25_scores", _BM25 + "select doc, query, round(score, 6) as score from s")
 def bm25_scores(spark, d):
-    return _bm25_documents(spark, d).withColumn("score", F.round("score", 6))
+    return _bm25_documents(spark, d).select("doc", "query", F.round("score", 6).alias("score"))
 
 
 @register("bm25_topk", _BM25 + ", r as (select *, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from s) select query, doc, cast(rank as integer) as rank from r where rank <= 5")
