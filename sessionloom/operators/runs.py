@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payloads
@@ -50,8 +50,12 @@ def run_mark(harness: str, session: str, events: list[dict], final_output: str |
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
+#: Steps that a worker has as Python objects at once.
+_AT_ONCE = 256
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, _AT_ONCE) for b in batches for k in range(0, b.num_rows, _AT_ONCE)):
         kinds, keys, evidence, search, ids = [], [], [], [], []
         for events in batch.column(2).to_pylist():
             head = events[0]
@@ -78,19 +82,30 @@ def first_of_each(events: DataFrame) -> DataFrame:
     return events.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def trajectories(events: DataFrame, leaves: DataFrame | None = None, given: DataFrame | None = None) -> Runs:
+def keeper(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """What writes a table under its name below a folder that all executors share, and reads it back."""
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    return keep
+
+
+def trajectories(events: DataFrame, leaves: DataFrame | None = None, given: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda table, _: table) -> Runs:
     """All sessions of ``events`` as runs.
 
     Each id counts once; a session whose entries form a tree is cut to one branch
     (``leaves``); ``given`` (``harness, session_id, final_output``) replaces the
     output found at the end.  A session without a step has a run with none.
+    ``keep`` (:func:`keeper`) stores each table before the next is made of it.
     """
     one = T.on_branch(first_of_each(events), leaves)
-    ordered = T.chronology(one).withColumn("run", stable_id(*SESSION))
+    ordered = keep(T.chronology(one).withColumn("run", stable_id(*SESSION)), "events")
     marked = T.steps(ordered)
     struct = F.struct(*(F.col(n) for n in _NAMES))
     grouped = marked.groupBy("run", F.col("step").cast("long").alias("idx")).agg(F.array_sort(F.collect_list(struct)).alias("events"))
-    steps = keyed_steps(grouped)
+    steps = keep(keyed_steps(grouped), "steps")
 
     found = T.outputs(ordered)
     if given is not None:
@@ -102,7 +117,7 @@ def trajectories(events: DataFrame, leaves: DataFrame | None = None, given: Data
     runs = marks.join(found, list(SESSION)).join(counted, "run", "left")
     whole = F.concat_ws("\n", F.col("harness"), F.col("session_id"), F.transform("marks", lambda m: m["mark"]), _mark(F.col("final_output")), F.col("final_output_source"))
     runs = runs.select("run", *SESSION, F.coalesce("steps", F.lit(0)).alias("steps"), "final_output", "final_output_source", F.sha2(whole, 256).alias("trajectory_id"))
-    return Runs(runs, steps, ordered)
+    return Runs(keep(runs, "runs"), steps, ordered)
 
 
 def stored(runs: Runs, folder: str) -> Runs:
@@ -110,13 +125,8 @@ def stored(runs: Runs, folder: str) -> Runs:
 
     A plan reads steps several times; without this each reading makes them anew.
     """
-    spark = runs.runs.sparkSession
-    out = {}
-    for name in ("runs", "steps", "events"):
-        table = getattr(runs, name)
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
-    return Runs(**out)
+    keep = keeper(runs.runs.sparkSession, folder)
+    return Runs(**{name: keep(getattr(runs, name), name) for name in ("runs", "steps", "events")})
 
 
 def document(runs: Runs, harness: str | None, session: str) -> dict:

@@ -40,7 +40,7 @@ with s as (
 
 def _runs(spark, d):
     """All conversations as runs; written once, as a query reads them several times."""
-    return R.stored(R.trajectories(lift.conversation_events(spark, d)), fresh_dir(spark, "runs"))
+    return R.trajectories(lift.conversation_events(spark, d), keep=R.keeper(spark, fresh_dir(spark, "runs")))
 
 
 def _pairs(runs):
@@ -160,7 +160,7 @@ _TOOL_PAIRS = _TOOLS + """, both_sides as (
 
 
 def _tool_runs(spark, d):
-    return R.stored(R.trajectories(lift.tool_events(spark, d)), fresh_dir(spark, "runs"))
+    return R.trajectories(lift.tool_events(spark, d), keep=R.keeper(spark, fresh_dir(spark, "runs")))
 
 
 def _tool_plan(spark, d, mode, required=()):
