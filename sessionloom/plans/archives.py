@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.workspace import fresh_dir
+from ..functions.workspace import fresh_dir, ship
 from ..operators import archive as A
 from ..operators import lookup as L
 from ..operators.query import Query
@@ -16,6 +19,8 @@ from .registration import register
 
 #: Sessions of a batch, of which an inventory has at most 10,000: room for uneven shares.
 SESSIONS = 6000
+#: Tasks that a batch is dealt by, and batches that are written side by side.
+SPREAD, AT_ONCE = 4, 6
 
 
 def stored_events(spark: SparkSession, d: str) -> str:
@@ -28,15 +33,26 @@ def stored_events(spark: SparkSession, d: str) -> str:
     e = lift.events(spark, d).withColumn("payload_json", F.when(F.col("is_hook"), '{"hook_event_name":"stop"}').otherwise(F.coalesce("payload_json", F.lit("{}"))))
     user = F.substring("session_id", 2, 20).cast("long")
     shares = -(-spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count() // SESSIONS) or 1
-    even = (user % 2 == 0) | (user % 10 == 5)
-    for name, part in (("even", even), ("odd", user % 2 == 1)):
-        for k in range(shares):
-            own = e.where(part & (F.pmod(F.xxhash64("session_id"), F.lit(shares)) == k))
-            events = own.select(*((F.col(x.name) if x.name in own.columns else F.lit(None).cast(x.dataType)).alias(x.name) for x in EVENTS))
-            made = {"id": F.col("record_id"), "source_path": F.col("source_id"), "captured_at": F.col("timestamp"), "status": F.lit("parsed"), "adapter_version": F.lit("1"), "raw": F.encode("text", "UTF-8"), "diagnostic": F.lit(None).cast("string")}
-            records = own.withColumns(made).select(*(x.name for x in RECORDS))
-            if not records.isEmpty():
-                A.write_batch(records, events, root, "me", name=f"{name}-{k}")
+    parts = F.array_compact(F.array(F.when((user % 2 == 0) | (user % 10 == 5), "even"), F.when(user % 2 == 1, "odd")))
+    dealt = e.withColumn("share", F.pmod(F.xxhash64("session_id"), F.lit(shares))).withColumn("part", F.explode(parts)).withColumn("part", F.concat_ws("-", "part", "share"))
+    # the table is read once: each batch has a folder of its own
+    folder = fresh_dir(spark, "dealt")
+    dealt.drop("share").repartition("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).write.partitionBy("part").parquet(folder)
+    every = spark.read.parquet(folder)
+
+    def put(name: str) -> None:
+        own = spark.read.schema(StructType([x for x in every.schema if x.name != "part"])).parquet(f"{folder}/part={name}")
+        events = own.select(*((F.col(x.name) if x.name in own.columns else F.lit(None).cast(x.dataType)).alias(x.name) for x in EVENTS))
+        made = {"id": F.col("record_id"), "source_path": F.col("source_id"), "captured_at": F.col("timestamp"), "status": F.lit("parsed"), "adapter_version": F.lit("1"), "raw": F.encode("text", "UTF-8"), "diagnostic": F.lit(None).cast("string")}
+        records = own.withColumns(made).select(*(x.name for x in RECORDS))
+        A.write_batch(records, events, root, "me", name=name)
+
+    names = sorted(r["part"] for r in every.select("part").distinct().collect())  # a catalog, not data
+    ship(spark)
+    # batches don't need each other
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for job in [pool.submit(put, n) for n in names]:
+            job.result()
     return root
 
 
