@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.workspace import fresh_dir, staged
-from .matching import B, K1, TERM, tokens
+from ..functions.workspace import staged
+from .matching import B, K1, TERM, bm25_corpus, tokens
 
 #: Documents in a group, on average; so many postings a block has at most, or nearly.
 GROUP = 512
@@ -139,5 +139,8 @@ def search(index: TextIndex, queries: DataFrame, k: int, digits: int = 6) -> Fou
 
 
 def bm25_top(corpus: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """``query, doc, score, rank`` by an index made for this call."""
-    return search(build(corpus, fresh_dir(corpus.sparkSession, "textindex")), queries, k, digits).top
+    """``query, doc, score, rank`` as :func:`search` gives them, of a corpus that is asked this once: without an index, which costs more than one answer."""
+    scored = bm25_corpus(corpus, queries).withColumn("score", F.round("score", digits))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    # a task keeps its best k for each query before anything is shuffled
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "doc", "score", "rank")

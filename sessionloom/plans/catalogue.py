@@ -500,7 +500,7 @@ q as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '
 
 def _bm25_documents(spark, d):
     docs, items = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
-    return M.bm25(docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("query"), "text"))
+    return M.bm25_corpus(docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text"), items.select(F.col("item_id").alias("query"), "text"))
 
 
 @register("bm25_scores", _BM25 + "select doc, query, round(score, 6) as score from s")
