@@ -1,8 +1,8 @@
 """Bigram language model in a log-frequency Bloom filter.
 
-Training tokens are counted exactly: each task sends, for each block of the hash
-space, its sorted distinct n-gram hashes with counts, packed into one row, and
-blocks are merged where the shuffle brings them together.  A count is quantised
+Training tokens are counted exactly: each task sends, for each group of blocks of
+the hash space, its sorted distinct n-gram hashes with counts, packed into one row,
+and blocks are merged where the shuffle brings them together.  A count is quantised
 to a level ``q`` on a logarithmic scale, and a block's filter holds the entries
 (n-gram, 1) to (n-gram, q), so that a reader finds a count by asking for one
 level after the other until one is missing.
@@ -12,7 +12,9 @@ Probabilities are smoothed with a Dirichlet prior, p(w|v) = (c(vw) + K p(w)) /
 
 The filter is broadcast if its size is within a stated bound; beyond it its
 blocks stay where they are and what texts ask of them is brought there by a
-shuffle, so that the same bits answer at every size.  Words are known by
+shuffle, so that the same bits answer at every size.  There texts are read once:
+what a group of blocks is asked is answered for many chunks of texts at once, with
+exact counts of words beside the filter's.  Words are known by
 64-bit hashes: of V distinct ones, V squared / 2**65 pairs are expected to clash.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, lean, pick, prepare, shuffle_partitions, staged
-from .words import grams, hashed, mix, words
+from .words import coded, joined, mix
 
 #: Stand for the begin and the end of a text among word hashes.
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -35,6 +37,8 @@ BASE = 1.5
 BITS, PROBES, LEVELS = 8, 4, 60
 _FLUSH = 2_000_000
 _CHUNK = 1 << 20
+#: Bytes of texts that are taken apart together.
+_TEXTS, _SCORED_TEXTS = 8 << 20, 2 << 20
 _STEPS = np.floor(np.log(np.arange(1, 1 << 12)) / np.log(BASE) + 1e-9).astype(np.int64) + 1
 
 
@@ -65,13 +69,49 @@ def block_bits(n_bytes: int) -> int:
     return max(4, math.ceil(math.log2(max(1.0, n_bytes / 1024)) / 2))
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of a text's words, then that of its end."""
-    return np.append(hashed(words(text)), END)
+def group_bits(bits: int) -> int:
+    """How many leading bits name a group of blocks, the unit that is sent and asked: four blocks, one if there are few."""
+    return max(4, bits - 2)
 
 
-def bigrams(h: np.ndarray) -> np.ndarray:
-    return grams(np.concatenate([[BEGIN], h]).astype(np.uint64), 2)
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after the other: hashes of the distinct tokens, the tokens (words, then an end) as places among these, and how many each text has."""
+    h, inner, lengths = coded(texts)
+    ends = np.cumsum(lengths + 1) - 1
+    word = np.ones(len(inner) + len(ends), bool)
+    word[ends] = False
+    places = np.full(len(word), len(h), np.int64)
+    places[word] = inner
+    return np.append(h, END), places, lengths + 1
+
+
+def bigrams(every: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash for each token and the one before it in its text."""
+    before = np.concatenate([[BEGIN], every[:-1]]).astype(np.uint64)
+    before[np.cumsum(lengths) - lengths] = BEGIN
+    return joined(before, every)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held.clear()
+            size = 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _groups(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Sorted hashes by their leading bits: group, start and end of each that there is."""
+    groups, starts = np.unique(h >> np.uint64(64 - bits), return_index=True)
+    return zip(groups.tolist(), starts.tolist(), [*starts[1:].tolist(), len(h)])
 
 
 # --- counting --------------------------------------------------------------
@@ -92,38 +132,44 @@ def _unpacked(blob: bytes, n: int, unpack) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(d, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
 
 
-def _count(bits: int):
+def _added(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order].astype(np.int64)
+    first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
+    return h[first], np.add.reduceat(c, first)
+
+
+def _count(coarse: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        held: list[list[np.ndarray]] = [[], []]
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             rows: list[tuple[int, int, int, bytes]] = []
-            for kind, arrays in enumerate(held, 1):
-                h, c = np.unique(np.concatenate(arrays), return_counts=True)
-                ends = np.searchsorted(h >> np.uint64(64 - bits), np.arange(1 << bits), side="right")
-                start = 0
-                for block, end in enumerate(ends):
-                    if end > start:
-                        rows.append((kind, block, int(end - start), _packed(h[start:end], c[start:end], pack)))
-                    start = end
-                arrays.clear()
-            kinds, blocks, n, blobs = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(blocks, pa.int32()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "block", "n", "blob"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = token_hashes(text)
-                held[0].append(h)
-                held[1].append(bigrams(h))
-                size += len(h)
-                if size >= _FLUSH:
-                    yield flush()
-                    size = 0
+            one = _added(*(np.concatenate(x) for x in zip(*counted)))
+            two = np.unique(np.concatenate(pairs), return_counts=True)
+            counted.clear()
+            pairs.clear()
+            for kind, (h, c) in enumerate((one, two), 1):
+                for group, start, end in _groups(h, coarse):
+                    rows.append((kind, group, end - start, _packed(h[start:end], c[start:end], pack)))
+            kinds, groups, n, blobs = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(groups, pa.int32()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "part", "n", "blob"])
+
+        for batch in _gathered(batches, _TEXTS):
+            u, places, lengths = tokens(batch.column(0))
+            counted.append((u, np.bincount(places, minlength=len(u))))
+            pairs.append(bigrams(u[places], lengths))
+            size += len(places)
+            if size >= _FLUSH:
+                yield flush()
+                size = 0
         if size:
             yield flush()
 
@@ -157,8 +203,8 @@ def build_filter(h: np.ndarray, c: np.ndarray, per_entry: int = BITS) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _merge(keep: tuple[int, ...], per_entry: int):
-    """Counts of a block's rows, added up; rows come sorted by kind and block."""
+def _merge(keep: tuple[int, ...], per_entry: int, bits: int):
+    """Blocks with the counts of a group's rows, added up; rows come sorted by kind and group."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,28 +214,26 @@ def _merge(keep: tuple[int, ...], per_entry: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         at: tuple[int, int] | None = None
 
-        def done() -> pa.RecordBatch:
-            h, c = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order].astype(np.int64)
-            first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-            h, c = h[first], np.add.reduceat(c, first)
-            kind, block = at
+        def done() -> Iterator[pa.RecordBatch]:
+            every, counts = _added(*(np.concatenate(x) for x in zip(*held)))
+            kind = at[0]
             held.clear()
-            blob = _packed(h, np.minimum(c, (1 << 32) - 1), pack) if kind in keep else None
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((kind, pa.int32()), (block, pa.int32()), (len(h), pa.int64()), (int(c.sum()), pa.int64()), (blob, pa.binary()), (build_filter(h, c, per_entry), pa.binary()))],
-                ["kind", "block", "n", "tokens", "blob", "filter"],
-            )
+            for block, start, end in _groups(every, bits):
+                h, c = every[start:end], counts[start:end]
+                blob = _packed(h, np.minimum(c, (1 << 32) - 1), pack) if kind in keep else None
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in ((kind, pa.int32()), (block, pa.int32()), (len(h), pa.int64()), (int(c.sum()), pa.int64()), (blob, pa.binary()), (build_filter(h, c, per_entry), pa.binary()))],
+                    ["kind", "block", "n", "tokens", "blob", "filter"],
+                )
 
         for batch in batches:
-            for kind, block, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if at is not None and at != (kind, block):
-                    yield done()
-                at = (kind, block)
+            for kind, part, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if at is not None and at != (kind, part):
+                    yield from done()
+                at = (kind, part)
                 held.append(_unpacked(blob, n, unpack))
         if held:
-            yield done()
+            yield from done()
 
     return run
 
@@ -269,44 +313,34 @@ def _score(model_of):
 
         model, row = model_of.value, TaskContext.get().partitionId() << 40
         hot_h, hot_c = model.hot
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hs = [token_hashes(x) for x in batch.column(1).to_pylist()]
-            lengths = np.array([len(x) for x in hs])
-            ends = np.cumsum(lengths)
-            every = np.concatenate(hs)
-            u, inverse = np.unique(every, return_inverse=True)
+        words_f, pairs_f = model.filters
+        for batch in _gathered(batches, _SCORED_TEXTS):
+            u, places, lengths = tokens(batch.column(1))
+            starts = np.cumsum(lengths) - lengths
             at = np.minimum(np.searchsorted(hot_h, u), max(len(hot_h) - 1, 0))
-            exact = np.where(hot_h[at] == u, hot_c[at], 0)[inverse] if len(hot_h) else np.zeros(len(every), np.int64)
-            known, logs = exact > 0, np.log10(exact + 1.0)
-            starts = ends - lengths
-            rare, times = [], []
-            for s, e in zip(starts, ends):
-                x, n = np.unique(every[s:e][~known[s:e]], return_counts=True)
-                rare.append(x.view(np.int64))
-                times.append(n)
-            score = np.zeros(len(hs))
-            if model.filters:
-                words_f, pairs_f = model.filters
-                c = TYPICAL[words_f.levels(u)][inverse]
-                pairs, back = np.unique(np.concatenate([bigrams(x) for x in hs]), return_inverse=True)
-                both = TYPICAL[pairs_f.levels(pairs)][back]
-                score = model.scores(c, both, lengths)
+            exact = np.where(hot_h[at] == u, hot_c[at], 0) if len(hot_h) else np.zeros(len(u), np.int64)
+            known, logs = (exact > 0)[places], np.log10(exact + 1.0)[places]
+            # a text's other words, each once, with how often it has them
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            rare, times = np.unique(text[~known] * len(u) + places[~known], return_counts=True)
+            offsets = pa.array(np.searchsorted(rare, np.arange(len(lengths) + 1) * len(u)).astype(np.int32))
+            rare = u[rare % len(u)].view(np.int64)
+            pairs, back = np.unique(bigrams(u[places], lengths), return_inverse=True)
+            score = model.scores(TYPICAL[words_f.levels(u)][places], TYPICAL[pairs_f.levels(pairs)][back], lengths)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.arange(row, row + len(hs))),
+                    pa.array(np.arange(row, row + len(lengths))),
                     pa.array(lengths),
                     pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                     pa.array(np.add.reduceat(logs, starts)),
                     pa.array(score),
-                    pa.array(rare, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(rare)),
+                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
                 ],
                 ["doc_id", "row", "n_tokens", "known", "logs", "score", "rare", "times"],
             )
-            row += len(hs)
+            row += len(lengths)
 
     return run
 
@@ -314,115 +348,162 @@ def _score(model_of):
 _SCORED = "doc_id long, row long, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"
 
 
-_ASKED = "kind int, block int, chunk long, n long, blob binary"
+_ASKED = "kind int, part int, chunk long, n long, blob binary, counts binary, ids array<long>"
+
 
+def _asked_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 7
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "part", "chunk", "n", "blob", "counts", "ids"])
 
-def _asked_rows(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 5
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "block", "chunk", "n", "blob"])
+
+def _plain(raw: np.ndarray, dtype: type) -> np.ndarray:
+    """Undo :func:`_planes`."""
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
 
 
-def _asked(bits: int, asks: bool):
-    """Chunks of texts, each known by its first row: the n-grams it asks of each block (``asks``), or else where they stand in the texts."""
+def _asked(coarse: int):
+    """Chunks of texts: the n-grams each asks of each group of blocks (kinds 1 and 2), and its tokens with the ids of its texts (kind 0).
+
+    A chunk is known by its place and its content, so that what a repeated task makes of rows in another order is never mixed with what it made at first.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         import zstandard
+        from pyspark import TaskContext
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        chunk = -1
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows, places = [], [np.array([len(x) for x in held], np.uint32)]
-            for kind, h in ((1, np.concatenate(held)), (2, np.concatenate([bigrams(x) for x in held]))):
-                u, back = np.unique(h, return_inverse=True)
-                places.append(back.astype(np.uint32))
-                ends = np.searchsorted(u >> np.uint64(64 - bits), np.arange(1 << bits), side="right") if asks else []
-                start = 0
-                for block, end in enumerate(ends):
-                    if end > start:
-                        rows.append((kind, block, chunk, int(end - start), pack(_planes(np.diff(u[start:end], prepend=np.uint64(0))))))
-                    start = end
-            if not asks:
-                rows.append((0, 0, chunk, len(held), pack(b"".join(_planes(x) for x in places))))
-            return _asked_rows(rows)
-
-        for batch in batches:
-            if chunk < 0 and batch.num_rows:
-                chunk = batch.column(2)[0].as_py() << 40
-            for text in batch.column(1).to_pylist():
-                held.append(token_hashes(text))
-                size += len(held[-1])
-                if size >= _CHUNK:
-                    yield flush()
-                    chunk, size = chunk + len(held), 0
-                    held.clear()
-        if held:
-            yield flush()
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(_gathered(batches, _TEXTS)):
+            u, places, lengths = tokens(batch.column(1))
+            h, back = np.unique(u, return_inverse=True)
+            places, ids = back[places], batch.column(0).to_pylist()
+            pairs = np.unique(bigrams(h[places], lengths))
+            own = b"".join(_planes(x) for x in (lengths.astype(np.uint32), places.astype(np.uint32), np.diff(h, prepend=np.uint64(0))))
+            chunk = xxhash.xxh64_intdigest(own + repr((task, number, ids)).encode()) >> 1
+            rows = [(0, chunk & 0x7FFFFFFF, chunk, len(ids), pack(own), None, ids)]
+            for kind, x in ((1, h), (2, pairs)):
+                for part, start, end in _groups(x, coarse):
+                    rows.append((kind, part, chunk, end - start, pack(_planes(np.diff(x[start:end], prepend=np.uint64(0)))), None, None))
+            yield _asked_rows(rows)
 
     return run
 
 
-def _plain(raw: np.ndarray, dtype: type) -> np.ndarray:
-    """Undo :func:`_planes`."""
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
-
-
 def _answered(bits: int):
-    """Levels of what is asked of a block; rows come sorted by kind and block, each block's filter (chunk -1) first."""
+    """Levels of what is asked of a group of blocks, for words exact counts too; rows come sorted by kind and group, each group's blocks (chunk below 0) first."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        at, own = None, None
+        at: tuple[int, int] | None = None
+        own: Filter | None = None
+        blocks: list[tuple[int, bytes]] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        asks: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def answers() -> pa.RecordBatch:
+            """Of many chunks at once."""
+            every = np.concatenate([h for _, h in asks])
+            levels, counts, rows, start = own.levels(every).astype(np.uint8), None, [], 0
+            if at[0] == 1:
+                counts = np.zeros(len(every), np.uint32)
+                if counted:
+                    h, c = (np.concatenate(x) for x in zip(*counted))
+                    found = np.minimum(np.searchsorted(h, every), len(h) - 1)
+                    counts = np.where(h[found] == every, c[found], np.uint32(0))
+            for chunk, h in asks:
+                end = start + len(h)
+                rows.append((*at, chunk, len(h), pack(levels[start:end].tobytes()), None if counts is None else pack(_planes(counts[start:end])), None))
+                start = end
+            asks.clear()
+            return _asked_rows(rows)
+
         for batch in batches:
-            rows = []
-            for kind, block, chunk, n, blob in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if chunk < 0:
-                    at, own = (kind, block), Filter(bits, [(block, blob)])
-                    continue
-                h = np.cumsum(_plain(np.frombuffer(unpack(blob), np.uint8), np.uint64), dtype=np.uint64)
-                found = own.levels(h) if at == (kind, block) else np.zeros(n, np.int64)
-                rows.append((kind, block, chunk, n, pack(found.astype(np.uint8).tobytes())))
-            yield _asked_rows(rows)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                kind, part, chunk, n, blob, counts, _ = row
+                if (kind, part) != at:
+                    if asks:
+                        yield answers()
+                        size = 0
+                    at, own = (kind, part), None
+                    blocks.clear()
+                    counted.clear()
+                if kind == 0:
+                    yield _asked_rows([row])
+                elif chunk < 0:
+                    blocks.append((chunk, blob))
+                    if counts is not None:
+                        counted.append(_unpacked(counts, n, unpack))
+                else:
+                    own = own or Filter(bits, [(block & (1 << bits) - 1, data) for block, data in blocks])
+                    asks.append((chunk, np.cumsum(_plain(np.frombuffer(unpack(blob), np.uint8), np.uint64), dtype=np.uint64)))
+                    size += n
+                    if size >= _CHUNK:
+                        yield answers()
+                        size = 0
+        if asks:
+            yield answers()
 
     return run
 
 
 def _put_together(model: Model):
-    """Scores of a chunk's texts; rows come sorted by chunk, kind and block, so that the levels are in the order of the hashes."""
+    """What is known of a chunk's texts; rows come sorted by chunk, kind and group, so that the answers are in the order of the hashes."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        at, texts, places, levels = None, 0, b"", {1: [], 2: []}
+        at: int | None = None
+        texts: tuple[list, bytes] | None = None
+        levels: dict[int, list[bytes]] = {1: [], 2: []}
+        counts: list[np.ndarray] = []
 
         def done() -> pa.RecordBatch:
-            raw = np.frombuffer(unpack(places), np.uint8)
-            lengths = _plain(raw[: 4 * texts], np.uint32).astype(np.int64)
-            total = int(lengths.sum())
-            backs = (_plain(raw[4 * (texts + k * total) : 4 * (texts + (k + 1) * total)], np.uint32) for k in (0, 1))
-            c, both = (TYPICAL[np.frombuffer(b"".join(levels[kind]), np.uint8)][back] for kind, back in zip((1, 2), backs))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + texts)), pa.array(model.scores(c, both, lengths))], ["row", "asked"])
+            ids, own = texts
+            raw = np.frombuffer(unpack(own), np.uint8)
+            lengths = _plain(raw[: 4 * len(ids)], np.uint32).astype(np.int64)
+            split = 4 * (len(ids) + int(lengths.sum()))
+            places = _plain(raw[4 * len(ids) : split], np.uint32)
+            h = np.cumsum(_plain(raw[split:], np.uint64), dtype=np.uint64)
+            pairs, back = np.unique(bigrams(h[places], lengths), return_inverse=True)
+            one, two = (np.frombuffer(b"".join(levels[kind]), np.uint8) for kind in (1, 2))
+            exact = np.concatenate(counts)
+            if not len(one) == len(exact) == len(h) or len(two) != len(pairs):
+                raise ValueError("answers of a chunk of texts are missing or come twice")
+            starts = np.cumsum(lengths) - lengths
+            known, logs = (exact > 0).astype(np.int64)[places], np.log10(exact + 1.0)[places]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(lengths),
+                    pa.array(np.add.reduceat(known, starts)),
+                    pa.array(np.add.reduceat(logs, starts)),
+                    pa.array(model.scores(TYPICAL[one][places], TYPICAL[two][back], lengths)),
+                ],
+                ["doc_id", "n_tokens", "known", "logs", "score"],
+            )
 
         for batch in batches:
-            for kind, chunk, n, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+            for kind, chunk, n, blob, found, ids in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
                 if chunk != at:
                     if at is not None:
                         yield done()
-                    at, levels = chunk, {1: [], 2: []}
+                    at, texts, levels, counts = chunk, None, {1: [], 2: []}, []
                 if kind == 0:
-                    texts, places = n, blob
+                    texts = ids, blob
                 else:
                     levels[kind].append(unpack(blob))
+                    if kind == 1:
+                        counts.append(_plain(np.frombuffer(unpack(found), np.uint8), np.uint32))
         if at is not None:
             yield done()
 
@@ -430,15 +511,47 @@ def _put_together(model: Model):
 
 
 def _asked_scores(rows: DataFrame, merged: DataFrame, model: Model, bits: int, partitions: int) -> DataFrame:
-    """The same scores with the filter's blocks left distributed, for a filter beyond the bound."""
-    # within a union a task's number is not that of the table's own partition
-    rows = rows.withColumn("part", F.spark_partition_id())
-    blocks = merged.select("kind", "block", F.lit(-1).cast("long").alias("chunk"), "n", F.col("filter").alias("blob"))
-    asks = blocks.union(rows.mapInArrow(_asked(bits, True), _ASKED)).repartition(2 * partitions, "kind", "block").sortWithinPartitions("kind", "block", "chunk")
-    answers = asks.mapInArrow(_answered(bits), _ASKED).union(rows.mapInArrow(_asked(bits, False), _ASKED))
-    dealt = answers.repartition(2 * partitions, "chunk").sortWithinPartitions("chunk", "kind", "block")
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return dealt.mapInArrow(_put_together(Model(model.tokens, model.types, none, None, model.prior)), "row long, asked double")
+    """The same with the filter's blocks left distributed, for a filter beyond the bound."""
+    coarse = group_bits(bits)
+    # below 0 and in the order of the blocks
+    block = F.col("block").cast("long") - F.lit(1 << bits)
+    blocks = merged.select("kind", F.shiftright("block", bits - coarse).alias("part"), block.alias("chunk"), "n", F.col("filter").alias("blob"), F.col("blob").alias("counts"), F.lit(None).cast("array<long>").alias("ids"))
+    asks = blocks.union(rows.mapInArrow(_asked(coarse), _ASKED)).repartition(2 * partitions, "kind", "part").sortWithinPartitions("kind", "part", "chunk")
+    dealt = asks.mapInArrow(_answered(bits), _ASKED).repartition(2 * partitions, "chunk").sortWithinPartitions("chunk", "kind", "part")
+    return dealt.mapInArrow(_put_together(model), "doc_id long, n_tokens long, known long, logs double, score double")
+
+
+def _broadcast_scores(rows: DataFrame, merged: DataFrame, tokens: int, types: int, prior: float, bits: int, common_words: int) -> DataFrame:
+    """What is known of texts by a filter that every worker holds; exact counts of words beyond the most common ones are joined."""
+    unigrams = staged(merged.where("kind = 1").select("n", "blob").mapInArrow(_rows, "h long, c long"), "unigrams")
+
+    # the least count whose words, with all more frequent ones, are within the bound
+    step = F.floor(F.log2("c") * 8).cast("int")
+    steps = sorted(((r["step"], r["n"]) for r in unigrams.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken, least = 0, None
+    for at, n in steps:
+        if taken + n > common_words:
+            break
+        taken, least = taken + n, at
+    hot = unigrams.where(step >= least).toArrow() if least is not None else None
+    hot_h = hot.column(0).to_numpy().view(np.uint64) if hot is not None else np.zeros(0, np.uint64)
+    hot_c = hot.column(1).to_numpy() if hot is not None else np.zeros(0, np.int64)
+    order = np.argsort(hot_h, kind="stable")
+
+    found = merged.select("kind", "block", "filter").toArrow()
+    parts: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}
+    for kind, block, data in zip(*(found.column(k).to_pylist() for k in range(3))):
+        parts[kind].append((block, data))
+    del found
+    filters = tuple(Filter(bits, parts.pop(k)) for k in (1, 2))
+    model = Model(tokens, types, (hot_h[order], hot_c[order]), filters, prior)
+    scored = staged(rows.mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(model)), _SCORED), "scored")
+
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
+    rest = rare.join(unigrams, "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    known = F.col("known") + F.coalesce("more", F.lit(0))
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    return scored.drop("rare", "times").join(rest, "row", "left").select("doc_id", "n_tokens", known.alias("known"), logs.alias("logs"), "score")
 
 
 def lm_scores(
@@ -452,7 +565,7 @@ def lm_scores(
     ``max_filter_mb`` bounds a filter that is broadcast (a larger one gives the
     same scores from where it lies), ``bits_per_entry`` sets how often it has
     what was never put in (8: one probe in 42), and ``common_words`` bounds the
-    exact counts beside it; the counts of other words are joined.  The filter's
+    exact counts broadcast with it; those of other words are joined.  The filter's
     layout goes by the size of the training texts alone, so the same rows have
     the same scores however they are partitioned.
 
@@ -465,55 +578,20 @@ def lm_scores(
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     learnt = pick(training, text=text_col)
     bits = block_bits(learnt.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    sent = learnt.mapInArrow(_count(bits), "kind int, block int, n long, blob binary")
-    dealt = sent.repartition(2 * partitions, "kind", "block").sortWithinPartitions("kind", "block")
+    sent = learnt.mapInArrow(_count(group_bits(bits)), "kind int, part int, n long, blob binary")
+    dealt = sent.repartition(2 * partitions, "kind", "part").sortWithinPartitions("kind", "part")
     schema = "kind int, block int, n long, tokens long, blob binary, filter binary"
-    merged = staged(dealt.mapInArrow(_merge((1,), bits_per_entry), schema), "ngrams")
+    merged = staged(dealt.mapInArrow(_merge((1,), bits_per_entry, bits), schema), "ngrams")
     sums = merged.where("kind = 1").agg(F.sum("tokens"), F.sum("n")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
-    unigrams = staged(merged.where("kind = 1").select("n", "blob").mapInArrow(_rows, "h long, c long"), "unigrams")
-
-    # the least count whose words, with all more frequent ones, are within the bound
-    step = F.floor(F.log2("c") * 8).cast("int")
-    steps = sorted(((r["step"], r["n"]) for r in unigrams.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    taken, least = 0, None
-    for at, n in steps:
-        if taken + n > common_words:
-            break
-        taken, least = taken + n, at
-    hot = unigrams.where(step >= least).toArrow() if least is not None else None
-    hot_h = hot.column(0).to_numpy().view(np.uint64) if hot is not None else np.zeros(0, np.uint64)
-    hot_c = hot.column(1).to_numpy() if hot is not None else np.zeros(0, np.int64)
-    order = np.argsort(hot_h, kind="stable")
-
     size = merged.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    filters = None
     if size <= max_filter_mb << 20:
-        found = merged.select("kind", "block", "filter").toArrow()
-        parts: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}
-        for kind, block, data in zip(*(found.column(k).to_pylist() for k in range(3))):
-            parts[kind].append((block, data))
-        del found
-        filters = tuple(Filter(bits, parts.pop(k)) for k in (1, 2))
-    model = Model(tokens, types, (hot_h[order], hot_c[order]), filters, prior)
-    scored = staged(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORED), "scored")
-
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    rest = rare.join(unigrams, "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    out = scored.drop("rare", "times").join(rest, "row", "left")
-    score = F.col("score")
-    if filters is None:
-        out = out.join(_asked_scores(rows, merged, model, bits, partitions), "row", "left")
-        score = F.col("asked")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(model.size))
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        logs.alias("base_score"),
-        score.alias("score"),
-    )
+        out = _broadcast_scores(rows, merged, tokens, types, prior, bits, common_words)
+    else:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out = _asked_scores(rows, merged, Model(tokens, types, none, None, prior), bits, partitions)
+    logs = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))
+    return out.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), logs.alias("base_score"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
