@@ -146,10 +146,15 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def _mixed(members: DataFrame, by: str) -> DataFrame:
+def _files(table: DataFrame) -> int:
+    """In how many files to write what is no larger than a stored table: as many as there are tasks to read it, which may be far fewer than a shuffle's."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+
+
+def _mixed(members: DataFrame, by: str, files: int) -> DataFrame:
     """``a, id, c``: the members ``id`` of what holds, ``by`` its column, several components ``c``."""
     mixed = members.groupBy(by).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(by)
-    return staged(members.join(mixed, by).select("a", "id", "c").distinct(), "mixed")
+    return staged(members.join(mixed, by).select("a", "id", "c").distinct().coalesce(files), "mixed")
 
 
 @lean
@@ -184,7 +189,7 @@ def _within_families(member: DataFrame, sets: DataFrame) -> DataFrame:
     ties = member.where("id <> a").select("a", F.col("id").alias("b"))
     families = staged(components(ties), "families")
     own = member.groupBy("id").agg(F.min("c").alias("c")).join(families.select("id", F.col("component").alias("f")), "id")
-    own = staged(own, "family-members")
+    own = staged(own.coalesce(_files(member)), "family-members")
     sizes = own.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("f").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("x"))
     several = sizes.where(F.col("n") > F.col("x.n")).select("f", F.col("x.c").alias("large"), _tiles(F.col("n")).alias("right"), _tiles(F.col("n") - F.col("x.n")).alias("left"))
     placed = own.join(several, "f").join(sets, "id").withColumn("h", F.xxhash64("id"))
@@ -273,12 +278,13 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = staged(rows.mapInArrow(_sign, _SIGNED), "signatures")
     named = signed.where("doc_id is not null and n_shingles > 0")
     # the least document of each class of equal sets; minima are taken before the shuffle
-    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    few = _files(signed)
+    classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("id")).coalesce(few), "classes")
     reps = named.join(classes, (named.digest == classes.digest) & (named.doc_id == classes.id)).select("id", "n_shingles", "halves", "sketch")
-    reps = staged(reps.dropDuplicates(["id", "sketch"]), "representatives")
+    reps = staged(reps.dropDuplicates(["id", "sketch"]).coalesce(few), "representatives")
 
     buckets = _buckets(reps)
-    stars = staged(_sketched(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), reps), "stars")
+    stars = staged(_sketched(buckets.where("a <> id").select("a", F.col("id").alias("b")).distinct(), reps).coalesce(few), "stars")
     met = buckets.select("id").distinct()
     sets = staged(rows.join(met, rows.doc_id == met.id, "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, s binary").dropDuplicates(["id", "s"]), "sets")
     # the likeliest link of each class first, then those that still join two components
@@ -286,14 +292,16 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = staged(_full(likely, sets), "links-likely")
     labels = staged(components(links), "labels")
     more = _labelled(stars, labels).where("ca <> cb").join(likely, ["a", "b"], "left_anti")
-    links = links.union(staged(_full(more, sets), "links-stars"))
-    labels = staged(components(links), "labels")
+    more = staged(_full(more, sets), "links-stars")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = staged(components(links), "labels")
     # what else shares a bucket across components
     named_components = labels.select("id", F.col("component").alias("c"))
-    member = _mixed(buckets.join(named_components, "id", "left").withColumn("c", F.coalesce("c", "id")), "key")
+    member = _mixed(buckets.join(named_components, "id", "left").withColumn("c", F.coalesce("c", "id")), "key", few)
     drop(buckets)
     shared = _shared(sets.join(member.select("id").distinct(), "id", "left_semi"), reps)
-    member = _mixed(member.join(shared, "id", "left_semi"), "a")
+    member = _mixed(member.join(shared, "id", "left_semi"), "a", few)
     found = staged(_within_families(member, sets), "links-rest")
     if not found.isEmpty():
         labels = staged(components(links.union(found)), "labels")
@@ -305,7 +313,7 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     # an id with several texts is one document: their components are one
     repeated = every.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("component").alias("k"), F.count(F.lit(1)).alias("n"))
-    repeated = staged(repeated.where("lo <> hi or (k > 0 and k < n)").select("doc_id", "lo"), "repeated")
+    repeated = staged(repeated.where("lo <> hi or (k > 0 and k < n)").select("doc_id", "lo").coalesce(few), "repeated")
     if not repeated.isEmpty():
         every = staged(every.join(repeated, "doc_id", "left"), "every")
         ties = every.where("component <> lo").select(F.col("lo").alias("a"), F.col("component").alias("b"))
